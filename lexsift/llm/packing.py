@@ -9,9 +9,12 @@ documents into the planned bins by their rank among documents of the same length
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 CAPACITY = 2048
+MARKS = ".,;:!?#*$%&|"
+LETTERS = re.compile("[a-z]+").fullmatch
 _CACHE: dict[str, "WordIds"] = {}
 
 
@@ -35,30 +40,60 @@ class WordIds:
     whole.  The memory holds at most ``bound`` words of at most 64 characters.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+        self.merges = self.tokenizer.model
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._encode([text])[0]
         words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in known})
-        ids = dict(zip(missing, self._encode(missing), strict=True))
-        found = b"".join([known[w] if w in known else ids[w] for w in words])
-        if len(known) + len(ids) > self.bound:
-            known.clear()
-        known.update((w, x) for w, x in list(ids.items())[: self.bound] if len(w) <= 64)
-        return found
+        ids = list(map(known.get, words))
+        if None in ids:
+            missing = {w for w, x in zip(words, ids, strict=True) if x is None}
+            fresh = self._learn(missing)
+            ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            if len(known) + len(fresh) > self.bound:
+                known.clear()
+            known.update((w, x) for w, x in islice(fresh.items(), self.bound) if len(w) <= 64)
+        return b"".join(ids)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not yet known, and of their parts.
+
+        Marks at a word's end are a token run of their own.  Words are known by their lower case,
+        which the tokenizer takes anyway; only in scripts where the two surely agree.
+        """
+        known, split, plain = self.known, {}, set()
+        for word in words:
+            core = word.rstrip(MARKS)
+            if core and core[-1].isalnum():
+                low = core.lower() if max(core) < "\u0250" else core
+                if low != word:
+                    split[word] = low, word[len(core) :]
+                    plain.add(low)
+                    if len(core) < len(word):
+                        plain.add(word[len(core) :])
+                    continue
+            plain.add(word)
+        fresh, others = {}, []
+        for word in plain:
+            if word in known:
+                fresh[word] = known[word]
+            elif LETTERS(word):  # a single run of letters goes straight to the merges
+                fresh[word] = array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
+            else:
+                others.append(word)
+        fresh.update(zip(others, self._encode(others), strict=True))
+        for word, (low, marks) in split.items():
+            fresh[word] = fresh[low] + fresh[marks] if marks else fresh[low]
+        return fresh
 
 
 def word_ids(path: str) -> WordIds:
