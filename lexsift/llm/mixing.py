@@ -54,12 +54,20 @@ def calibrate(docs: DataFrame, topic: Column | None = None, source_targets: Data
     return _calibrate(rows, source_targets, language_targets, topic_targets, power, keep, rounds, close)[0]
 
 
+def _cell_columns(topic: Column | None) -> list[Column]:
+    text, blank = F.col("text").cast("string"), F.lit("")
+    kind = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), blank)
+    return [F.coalesce(F.col("source").cast("string"), blank).alias("source"), F.coalesce(F.col("lang").cast("string"), blank).alias("language"), kind.alias("topic")]
+
+
 def cell_rows(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """(doc_id, source, language, topic, n_tokens), written down once."""
-    text = F.col("text").cast("string")
-    kind = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
-    blank = F.lit("")
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), blank).alias("source"), F.coalesce(F.col("lang").cast("string"), blank).alias("language"), kind.alias("topic"), token_count(text).alias("n_tokens")), "cells")
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_cell_columns(topic), token_count(F.col("text").cast("string")).alias("n_tokens")), "cells")
+
+
+def _chance(seed: int) -> Column:
+    """A number from 0 to 1 that depends on doc_id alone."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.lit(seed)), 11) / F.lit(2.0**53)
 
 
 def _calibrate(rows: DataFrame, source_targets, language_targets, topic_targets, power, keep, rounds, close) -> tuple[DataFrame, Column]:
@@ -129,19 +137,31 @@ def _calibrate(rows: DataFrame, source_targets, language_targets, topic_targets,
     return lines, (label, theme)
 
 
-def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
+DEFAULTS = {"source_targets": None, "language_targets": None, "topic_targets": None, "power": 0.7, "keep": 0.8, "rounds": 50, "close": 1e-9}
+
+
+def mix(docs: DataFrame, seed: int = 11, topic: Column | None = None, **options) -> DataFrame:
     """(doc_id, source, language, topic, n_tokens, weight, probability, kept) for every row of ``docs``.
 
     Options are those of ``calibrate``.  ``kept`` compares a hash of doc_id with the probability
-    of the document's cell, so a repeated row has the same fate.  Texts without words are in no
-    cell of their own: they take their cell's probability, or 1 where it has no words at all.  A
-    null doc_id hashes like any other value.  An empty table gives an empty result.
+    of the document's cell, so a repeated row has the same fate.  Documents of a cell without any
+    word have weight and probability 1.  A null doc_id hashes like any other value.  An empty
+    table gives an empty result.  Extra columns are ignored.
     """
-    topic = options.pop("topic", None)
-    defaults = {"source_targets": None, "language_targets": None, "topic_targets": None, "power": 0.7, "keep": 0.8, "rounds": 50, "close": 1e-9}
     rows = cell_rows(docs, topic)
-    cells, (label, theme) = _calibrate(rows, **(defaults | options))
-    chance = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), F.lit(seed)), 11) / F.lit(2.0**53)
+    cells, (label, theme) = _calibrate(rows, **(DEFAULTS | options))
     named = rows.withColumns({"language": label, "topic": theme})
     joined = named.join(cells.drop("tokens"), ["source", "language", "topic"], "left")
-    return joined.select("doc_id", "source", "language", "topic", "n_tokens", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("probability", F.lit(1.0)).alias("probability")).withColumn("kept", chance < F.col("probability"))
+    one = F.lit(1.0)
+    return joined.select("doc_id", "source", "language", "topic", "n_tokens", F.coalesce("weight", one).alias("weight"), F.coalesce("probability", one).alias("probability"), (_chance(seed) < F.coalesce("probability", one)).alias("kept"))
+
+
+def sample(docs: DataFrame, seed: int = 11, topic: Column | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with all their columns.
+
+    A document's cell is computed again from its own row, and only the table of cells is joined.
+    """
+    cells, (label, theme) = _calibrate(cell_rows(docs, topic), **(DEFAULTS | options))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), _chance(seed).alias("chance"), *_cell_columns(topic)).withColumns({"language": label, "topic": theme})
+    joined = keyed.join(cells.drop("tokens", "weight"), ["source", "language", "topic"], "left")
+    return joined.filter(F.col("chance") < F.coalesce("probability", F.lit(1.0))).select("whole.*")
