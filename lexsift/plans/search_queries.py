@@ -1,3 +1,223 @@
-"""Registered search queries."""
+"""Registered search queries, over the test tables seen as reviews."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexsift.functions import codec
+from lexsift.functions.tokens import tokens
+from lexsift.operators import lookup, rank, wildcard
+from lexsift.operators.index import SearchIndex
+from lexsift.sources.dump import as_record, parse_records
+from lexsift.sources.tables import reviews_of_tables
+
+TERMS = ("the", "OF", "and", "zzzzq", "in")
+WILD = ("wh*", "*ION", "e*n*d", "*")
+PRODUCTS = ("src0", "src7", "SRC0", "nowhere")
+IDS = (-1, 0, 1, 99, 100, 101, 1000, 1001)
+VSM, VSM_WILD, UNKNOWN = ("the", "of"), ("wh*", "and", "the", "the"), ("*ing", "zzzzq")
+LM, LM_WILD, LAMBDA = ("the", "of", "and", "the"), ("wh*", "and", "the"), 0.5
+PRODUCT_QUERY = ("en*", "*ion", "the")
+SHORT = ("*a*", "*7*", "*")
+PATTERNS = ("wh*", "wh*n", "*ion", "t*e", "e*n*d", "*q*", "Be*ng", "xyzzy*")
+
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def index_of(spark: SparkSession, folder: str) -> SearchIndex:
+    """The index of a folder's reviews, built once in a session; its frames are cached and can be rebuilt."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.build(reviews_of_tables(spark, folder)).cached()
+    return _INDEXES[key]
+
+
+def _rounded(scores: DataFrame, key: str) -> DataFrame:
+    return scores.select(key, F.round("rank", 9).alias("rank"))
+
+
+def _log_rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("review_id", rank.log_rank().alias("log_rank"))
+
+
+def vocabulary(spark, folder):
+    return index_of(spark, folder).lexicon.select("token")
+
+
+def parse_reviews(spark, folder):
+    reviews = reviews_of_tables(spark, folder)
+    written = reviews.select("review_id", as_record(F.col("product_id"), (F.col("help_num"), F.col("help_den")), F.col("score"), F.col("text")).alias("record"))
+    return parse_records(written).filter("ok").select("review_id", "product_id", "help_num", "help_den", "score", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+def tokenize(spark, folder):
+    words = reviews_of_tables(spark, folder).select("review_id", F.posexplode(tokens(F.col("text"))).alias("position", "token"))
+    return words.select("review_id", (F.col("position") + 1).cast("long").alias("position"), "token")
+
+
+def term_frequencies(spark, folder):
+    return index_of(spark, folder).postings.select("token", "review_id", "tf")
+
+
+def review_length(spark, folder):
+    return index_of(spark, folder).reviews.select("review_id", F.col("length").cast("long").alias("length"))
+
+
+def token_ids(spark, folder):
+    return index_of(spark, folder).token_ids()
+
+
+def product_ids(spark, folder):
+    return index_of(spark, folder).product_ids()
+
+
+def lexicon_stats(spark, folder):
+    return index_of(spark, folder).lexicon
+
+
+def posting_gaps(spark, folder):
+    return codec.gaps(index_of(spark, folder).postings)
+
+
+def posting_decode(spark, folder):
+    gapped = codec.gaps(index_of(spark, folder).postings)
+    return codec.decoded(gapped.withColumn("position", F.col("review_id")))
+
+
+def product_postings(spark, folder):
+    return index_of(spark, folder).products.select("product_id", "n_reviews", F.array_join(F.transform("review_ids", lambda x: x.cast("string")), ",").alias("review_ids"))
+
+
+def posting_bytes(spark, folder):
+    gapped = codec.gaps(index_of(spark, folder).postings)
+    return gapped.groupBy("token").agg(F.sum(codec.code_bytes(F.col("gap"))).alias("gap_bytes"), F.sum(codec.code_bytes(F.col("tf"))).alias("tf_bytes"))
+
+
+def front_coding_prefix(spark, folder):
+    return codec.front_coded(index_of(spark, folder).token_ids())
+
+
+def bigram_index(spark, folder):
+    return index_of(spark, folder).bigrams
+
+
+def bigram_ids(spark, folder):
+    return index_of(spark, folder).bigram_ids()
+
+
+def permuterm_index(spark, folder):
+    return index_of(spark, folder).permuterm.select("rotation", "token", F.col("place").cast("int").alias("place"))
+
+
+def review_attributes(spark, folder):
+    return lookup.review_attributes(index_of(spark, folder), IDS)
+
+
+def token_frequency(spark, folder):
+    return lookup.frequencies(index_of(spark, folder), TERMS).select("term", "df")
+
+
+def token_collection_frequency(spark, folder):
+    return lookup.frequencies(index_of(spark, folder), TERMS).select("term", "cf")
+
+
+def wildcard_frequency(spark, folder):
+    return lookup.frequencies(index_of(spark, folder), WILD).select("term", "df")
+
+
+def wildcard_collection_frequency(spark, folder):
+    return lookup.frequencies(index_of(spark, folder), WILD).select("term", "cf")
+
+
+def reviews_with_token(spark, folder):
+    return lookup.reviews_with(index_of(spark, folder), TERMS)
+
+
+def reviews_with_wildcard(spark, folder):
+    return lookup.reviews_with(index_of(spark, folder), WILD)
+
+
+def corpus_stats(spark, folder):
+    return index_of(spark, folder).stats
+
+
+def product_reviews(spark, folder):
+    return lookup.reviews_of(index_of(spark, folder), PRODUCTS)
+
+
+def wildcard_expand(spark, folder):
+    return wildcard.expand_by(index_of(spark, folder), PATTERNS, "like")
+
+
+def wildcard_permuterm(spark, folder):
+    return wildcard.expand_by(index_of(spark, folder), PATTERNS, "permuterm")
+
+
+def wildcard_bigram(spark, folder):
+    return wildcard.expand_by(index_of(spark, folder), PATTERNS, "bigram")
+
+
+def wildcard_bigram_short(spark, folder):
+    return wildcard.expand_by(index_of(spark, folder), SHORT, "bigram")
+
+
+def query_terms(spark, folder):
+    return spark.createDataFrame([(t, n) for t, n in rank.term_counts([*VSM_WILD, "The", "it's", ""]).items()], "term string, qtf long")
+
+
+def query_vector(spark, folder):
+    weighed = rank.weigh(index_of(spark, folder), VSM_WILD)
+    return spark.createDataFrame([(t.term, float(t.weight)) for t in weighed], "term string, weight double").select("term", F.round("weight", 9).alias("weight"))
+
+
+def vsm_scores(spark, folder):
+    return _rounded(rank.vsm_scores(index_of(spark, folder), VSM_WILD), "review_id")
+
+
+def vsm_topk(spark, folder):
+    return _rounded(rank.vector_space_search(index_of(spark, folder), VSM, 10), "review_id")
+
+
+def vsm_wildcard_topk(spark, folder):
+    return _rounded(rank.vector_space_search(index_of(spark, folder), VSM_WILD, 20), "review_id")
+
+
+def vsm_unknown_term(spark, folder):
+    return _rounded(rank.vector_space_search(index_of(spark, folder), UNKNOWN, 20), "review_id")
+
+
+def lm_scores(spark, folder):
+    return _log_rounded(rank.lm_scores(index_of(spark, folder), LM, LAMBDA))
+
+
+def lm_topk(spark, folder):
+    return _log_rounded(rank.language_model_search(index_of(spark, folder), LM, LAMBDA, 10))
+
+
+def lm_wildcard_topk(spark, folder):
+    return _log_rounded(rank.language_model_search(index_of(spark, folder), LM_WILD, LAMBDA, 20))
+
+
+def lm_unknown_term(spark, folder):
+    return _log_rounded(rank.language_model_search(index_of(spark, folder), UNKNOWN, LAMBDA, 20))
+
+
+def product_scores(spark, folder):
+    return _rounded(rank.product_scores(index_of(spark, folder), PRODUCT_QUERY), "product_id")
+
+
+def product_topk(spark, folder):
+    return _rounded(rank.product_search(index_of(spark, folder), PRODUCT_QUERY, 5), "product_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        vocabulary, parse_reviews, tokenize, term_frequencies, review_length, token_ids, product_ids, lexicon_stats, posting_gaps, posting_decode,
+        product_postings, posting_bytes, front_coding_prefix, bigram_index, bigram_ids, permuterm_index, review_attributes, token_frequency,
+        token_collection_frequency, wildcard_frequency, wildcard_collection_frequency, reviews_with_token, reviews_with_wildcard, corpus_stats,
+        product_reviews, wildcard_expand, wildcard_permuterm, wildcard_bigram, wildcard_bigram_short, query_terms, query_vector, vsm_scores, vsm_topk,
+        vsm_wildcard_topk, vsm_unknown_term, lm_scores, lm_topk, lm_wildcard_topk, lm_unknown_term, product_scores, product_topk,
+    )
+}
