@@ -3,7 +3,7 @@
 Words fall into bins of about equal mass, in order of frequency, and bins into classes:
 P(word | history) = P(class | history) * P(bin | class, history) * P(word | bin).
 The first two factors are softmaxes over sums of weight rows, one row for each active feature:
-the previous word, the previous two, and words two and three back (skips), all hashed.  The last
+the previous word, the previous two, and the word two back (a skip), all hashed.  The last
 factor is the word's share of its bin.  All words outside a bounded head share one bin, which
 also has room for an unseen word, so probabilities of the vocabulary and one unknown add up to 1.
 
@@ -33,7 +33,7 @@ CLASSES = 32  # and as many bins in each
 HEAD = 1 << 18  # most words with an id of their own
 ROWS = 1 << 14  # hashed weight rows of either softmax
 TAILS = 4096  # ids that other words share as history
-ROUNDS, BATCH, RATE = 2, 4096, 0.15
+ROUNDS, BATCH, RATE = 2, 2048, 0.1  # small batches keep their rows in the cache
 CHUNK, FAN = 64, 32  # weight rows travel in so many chunks; changes are added so many at a time
 FLUSH = 200_000
 _STATE: dict[str, object] = {}
@@ -118,24 +118,28 @@ def features(ids: np.ndarray, first: np.ndarray, bins: np.ndarray) -> tuple[np.n
     start = np.int64(1 << 40)
     place = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         shifted = np.r_[np.full(min(k, len(ids)), start), ids[:-k]] if len(ids) > k else np.full(len(ids), start)
         back.append(np.where(place >= k, shifted, start))
-    one, two, three = back
-    classes = np.stack([_mixed(1, one), _mixed(2, one, two), _mixed(3, two), _mixed(4, three)], axis=1)
+    one, two = back
     group = bins // CLASSES
-    within = np.stack([_mixed(5, group), _mixed(6, group, one), _mixed(7, group, two)], axis=1)
+    classes = np.stack([_mixed(1, one), _mixed(2, one, two), _mixed(3, two)], axis=1)
+    within = np.stack([_mixed(4, group, one), _mixed(5, group, two)], axis=1)
     return classes, within
 
 
-def _log_softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _exponentials(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised probabilities of all outcomes and their sums; logits are kept within float32's range."""
+    logits = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
+        logits += np.take(weights, rows[:, k], axis=0)
     logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    np.clip(logits, -80, 60, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits @ _ONES
 
 
 class Weights:
@@ -153,18 +157,20 @@ class Weights:
         for at in range(0, len(ids), BATCH):
             part = slice(at, at + BATCH)
             b, n = bins[part], np.arange(len(bins[part]))
-            out[part] = _log_softmax(self.classes, rows_c[part], vocabulary.class_start)[n, b // CLASSES].astype(float)
-            out[part] += _log_softmax(self.within, rows_w[part], vocabulary.bin_start[b // CLASSES])[n, b % CLASSES]
+            value, total = _exponentials(self.classes, rows_c[part], vocabulary.class_start)
+            out[part] = np.log(value[n, b // CLASSES].astype(float) / total)
+            value, total = _exponentials(self.within, rows_w[part], vocabulary.bin_start[b // CLASSES])
+            out[part] += np.log(value[n, b % CLASSES].astype(float) / total)
         return out
 
 
 class Trainer:
-    """Minibatch AdaGrad from given weights, remembering how often each row was used."""
+    """Minibatch AdaGrad, a step size for each row, from given weights; counts the use of each row."""
 
     def __init__(self, vocabulary: Vocabulary, weights: Weights, rate: float = RATE):
         self.vocabulary, self.start, self.rate = vocabulary, weights, rate
         self.weights = [weights.classes.copy(), weights.within.copy()]
-        self.squares = [np.full(w.shape, 1e-2, np.float32) for w in self.weights]
+        self.squares = [np.full(ROWS, 1e-2, np.float32) for _ in self.weights]
         self.used = [np.zeros(ROWS, np.int64) for _ in self.weights]
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
@@ -177,18 +183,19 @@ class Trainer:
             self._step(1, both[1][part], self.vocabulary.bin_start[group[part]], bins[part] % CLASSES)
 
     def _step(self, which: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
-        weights, n = self.weights[which], len(rows)
-        error = np.exp(_log_softmax(weights, rows, bias))
-        error[np.arange(n), target] -= 1
+        weights, squares = self.weights[which], self.squares[which]
+        error, total = _exponentials(weights, rows, bias)
+        error /= total[:, None]
+        error[np.arange(len(rows)), target] -= 1
         flat = rows.astype(np.uint16).ravel()
         order = np.argsort(flat, kind="stable")
         sorted_rows = flat[order]
-        starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        touched = sorted_rows[starts].astype(np.int64)
-        gradient = np.add.reduceat(error[order // rows.shape[1]], starts)
-        self.squares[which][touched] += gradient * gradient
-        weights[touched] -= self.rate * gradient / np.sqrt(self.squares[which][touched])
-        self.used[which][touched] += np.diff(np.r_[starts, len(flat)])
+        ends = np.flatnonzero(np.r_[sorted_rows[1:] != sorted_rows[:-1], True])
+        touched, count = sorted_rows[ends].astype(np.int64), np.diff(np.r_[-1, ends])
+        gradient = np.add.reduceat(np.take(error, order // rows.shape[1], axis=0), ends - count + 1)
+        squares[touched] += np.einsum("ij,ij->i", gradient, gradient) / CLASSES
+        weights[touched] = np.take(weights, touched, axis=0) - gradient * (self.rate / np.sqrt(squares[touched]))[:, None]
+        self.used[which][touched] += count
 
     def changes(self) -> Iterator[dict]:
         """Chunks of rows: change times use, and use, as float32 bytes."""
