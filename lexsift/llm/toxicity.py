@@ -9,7 +9,7 @@ average is linear, a trained model scores a word once: documents are means of wo
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,23 +75,23 @@ class Model:
         self.bias = np.zeros(2, np.float32)
         self.rarity = np.zeros(BUCKETS, np.float32)
 
-    def fit(self, docs: list[list[bytes]], labels: np.ndarray, epochs: int = 4, rate: float = 0.5) -> "Model":
+    def fit(self, docs: Iterable[list[bytes]], labels: np.ndarray, epochs: int = 4, rate: float = 0.5) -> "Model":
         """Learn from texts and their labels, 0 or 1; without both labels only the bias is learnt."""
         toxic = (labels.sum() + 0.5) / (len(labels) + 1.0)
         self.bias = np.log(np.array([1 - toxic, toxic], np.float32))
-        if not len(docs) or labels.min() == labels.max():
+        if not len(labels) or labels.min() == labels.max():
             return self
         known: dict[bytes, np.ndarray] = {}
-        bags = [bag(words, known) for words in docs]
+        bags = [bag(words, known) for words in docs]  # texts may come one by one
         del known
         seen = np.zeros(BUCKETS, np.int64)
         for buckets, _ in bags:
             seen[buckets] += 1
-        self.rarity = np.where(seen > 1, GAIN * np.log((len(docs) + 1) / (seen + 1)), 0).astype(np.float32)
+        self.rarity = np.where(seen > 1, GAIN * np.log((len(bags) + 1) / (seen + 1)), 0).astype(np.float32)
         squares = np.full(BUCKETS, 1e-8, np.float32)
-        left = total = epochs * len(docs)
+        left = total = epochs * len(bags)
         for _ in range(epochs):
-            for at in self.rng.permutation(len(docs)):
+            for at in self.rng.permutation(len(bags)):
                 buckets, shares = bags[at]
                 step = rate * left / total
                 left -= 1
@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "toxic").toArrow()
-    words = [ascii_words(t) for t in as_bytes(rows.column(0).combine_chunks())] if rows.num_rows else []
-    return Model().fit(words, np.array(rows.column(1).to_pylist(), int))
+    toxic = np.array(rows.column(1).to_pylist(), int)
+    return Model().fit((ascii_words(t) for chunk in rows.column(0).chunks for t in as_bytes(chunk)), toxic)
 
 
 def _chances(texts: pa.Array, table: np.ndarray, bias: float, token: int) -> np.ndarray:
