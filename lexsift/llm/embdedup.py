@@ -22,7 +22,7 @@ from .components import components, forest
 
 THRESHOLD = 0.93
 #: Distinct vectors per centroid, most centroids, cells a vector visits, rows of a block.
-PER_CELL, MOST_CELLS, VISITS, BLOCK = 8192, 4096, 4, 4096
+PER_CELL, MOST_CELLS, VISITS, BLOCK = 1 << 16, 4096, 4, 4096
 #: Width of the confidence bound in standard deviations.
 SIGMAS = 5.0
 PLANES = 4

@@ -56,4 +56,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_url_filter, op6_simhash_dedup, op7_mixing, op8_pii, op9_exact_topk, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+_FINITE = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+#: The other operators train models, hash or tokenise beyond SQL; the tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": f"""
+WITH RECURSIVE finite AS ({_FINITE}),
+usable AS (SELECT * FROM finite WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a), degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings v JOIN roots r ON r.a = v.vec_id LEFT JOIN degrees d ON d.a = v.vec_id""",
+    "op9_exact_topk": f"""
+WITH finite AS ({_FINITE}), whole AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM finite WHERE vec_id IS NOT NULL),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+           FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}

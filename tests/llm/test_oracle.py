@@ -1,0 +1,16 @@
+"""Queries that SQL can express, against it."""
+
+import duckdb
+import pytest
+
+from lexsift.llm import queries
+
+
+@pytest.mark.parametrize("name", queries.ORACLE)
+def test_query_equals_its_sql(spark, sf, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    got, want = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())

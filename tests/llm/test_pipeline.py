@@ -1,0 +1,49 @@
+"""The pipeline's stages, each against a plain version on what its predecessor kept."""
+
+import numpy as np
+import public_tokenizers
+from test_dedup_and_search import plain_fingerprint, reach
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from lexsift.llm import mixing, pii, toxicity
+from lexsift.llm.common import ascii_words
+
+
+def test_stages_one_by_one(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = [docs.collect()]
+    frames = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path / str(k))
+        stage(spark, frames[-1], sf).write.parquet(path)
+        frames.append(spark.read.parquet(path))
+        seen.append(frames[-1].collect())
+        if k < 4:
+            assert frames[-1].columns == docs.columns
+    scorer = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")).scorer()
+    clean = [r for r in seen[0] if 1 / (1 + np.exp(-scorer(ascii_words((r.text or "").encode())))) < 0.3]
+    assert sorted(r.doc_id for r in seen[1]) == sorted(r.doc_id for r in clean) and len(clean) > 0.5 * len(seen[0])
+
+    fps = [plain_fingerprint(r.text) for r in clean]
+    roots = reach(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    first = {min(clean[j].doc_id for j in range(len(fps)) if roots[j] == roots[i]) for i in range(len(fps))}
+    assert {r.doc_id for r in seen[2]} == first and len(seen[2]) == len(first)
+
+    before = {r.doc_id: r for r in seen[2]}
+    assert {r.doc_id for r in seen[3]} == before.keys()
+    for r in seen[3]:
+        old = before[r.doc_id]
+        assert r.n_chars == len(r.text) and (r.lang, r.source) == (old.lang, old.source)
+        if not pii.examine(old.text)[1]:
+            assert r.text == pii.masked(old.text, pii.base_spans(old.text))
+        assert not pii.base_spans(r.text)
+
+    kept = {r.doc_id for r in mixing.mix(frames[3]).filter("kept").collect()}
+    assert {r.doc_id for r in seen[4]} == kept and 0.4 * len(seen[3]) < len(kept)
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r.length for r in seen[5]) == sum(len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen[4])
+    assert {r.doc_id for r in seen[5]} == kept
+    result = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert result == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in seen[5]}
