@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,40 +45,58 @@ class PretokenTrie:
 
     LONG = 256  #: longer pre-tokens are scored alone and leave no nodes
 
-    def __init__(self, scores: dict[str, int], bound: int = 500_000):
+    def __init__(self, scores: dict[str, int], bound: int = 1_000_000):
         self.scores = {p: s * SHIFT - 1 for p, s in scores.items()}
         self.byte = (min(scores.values(), default=0) - UNIT) * SHIFT - 1
-        self.reach = max(map(len, scores), default=1)
+        # Lengths of the pieces that end with three given characters; shorter ones are always tried.
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        for piece in sorted(scores, key=len):
+            if len(piece) >= 3 and len(piece) not in self.lengths.get(piece[-3:], ()):
+                self.lengths[piece[-3:]] = (*self.lengths.get(piece[-3:], ()), len(piece))
         self.bound = bound
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.forward = [0]
-        self.terminal: dict[str, int] = {}
-
-    def _step(self, text: str, end: int, forward_at) -> int:
-        """Best value of text[:end], given those of shorter prefixes."""
-        get, best = self.scores.get, forward_at(end - 1) + self.byte * len(text[end - 1].encode())
-        for start in range(max(0, end - self.reach), end):
-            score = get(text[start:end])
+        self.terminal: dict[int, int] = {}
+        self.words: dict[bytes, int] = {}
+
+    def total(self, words: dict[bytes, int]) -> int:
+        """Tokens of counted words as they stand in a text, each after the mark of a word's start."""
+        known, total = self.words, 0
+        for word, times in words.items():
+            tokens = known.get(word)
+            if tokens is None:
+                tokens = self.count("▁" + word.decode("utf-8", "replace"))
+                if len(word) <= self.LONG:
+                    if len(known) > self.bound:
+                        known.clear()
+                    known[word] = tokens
+            total += times * tokens
+        return total
+
+    def _step(self, text: str, end: int, forward: list[int], path: Sequence[int]) -> int:
+        """Best value of text[:end]; that of text[:k] is forward[path[k]]."""
+        get, best = self.scores.get, forward[path[end - 1]] + self.byte * len(text[end - 1].encode())
+        for length in (1, 2, *self.lengths.get(text[end - 3 : end], ())) if end > 2 else range(1, end + 1):
+            if length > end:
+                break
+            score = get(text[end - length : end])
             if score is not None:
-                value = forward_at(start) + score
+                value = forward[path[end - length]] + score
                 if value > best:
                     best = value
         return best
 
     def count(self, pretoken: str) -> int:
         """Tokens of the best segmentation, the fewest if several have its score."""
-        known = self.terminal.get(pretoken)
-        if known is not None:
-            return known
         if len(pretoken) > self.LONG:
             values = [0]
             for end in range(1, len(pretoken) + 1):
-                values.append(self._step(pretoken, end, values.__getitem__))
+                values.append(self._step(pretoken, end, values, range(end)))
             return -values[-1] % SHIFT
-        if len(self.forward) > self.bound or len(self.terminal) > self.bound:
+        if len(self.forward) > self.bound:
             self.clear()
         child, forward, path, node = self.child, self.forward, [0], 0
         for end, character in enumerate(pretoken, 1):
@@ -85,10 +104,11 @@ class PretokenTrie:
             node = child.get(edge, -1)
             if node < 0:
                 node = child[edge] = len(forward)
-                forward.append(self._step(pretoken, end, lambda at, path=path: forward[path[at]]))
+                forward.append(self._step(pretoken, end, forward, path))
             path.append(node)
-        found = self.terminal[pretoken] = -forward[node] % SHIFT
-        return found
+        if node not in self.terminal:
+            self.terminal[node] = -forward[node] % SHIFT
+        return self.terminal[node]
 
 
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
@@ -109,12 +129,8 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
             rows = [], [], []
             for raw in as_bytes(batch.column(1)):
                 words = raw.split()
-                own: dict[bytes, int] = {}
-                for w in words:
-                    own[w] = own.get(w, 0) + 1
-                total = 0
-                for w, times in own.items():
-                    total += times * trie.count("▁" + w.decode("utf-8", "replace"))
+                own = Counter(words)
+                total = trie.total(own)
                 for values, value in zip(rows, (len(words), len(own), total), strict=True):
                     values.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in rows)], schema=schema)
