@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, ascii_words, id_remainder
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
+STORED, KNOWN = 4096, 30_000
 #: Averages of few-percent signals are small; the gain brings them into the softmax's range.
 GAIN = 10.0
 #: Words without signal added to every text, so that a few odd words are little evidence.
@@ -46,19 +47,26 @@ def csr(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bag(words: list[bytes], known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares: the mean over words of the mean over their buckets."""
+    """Buckets of a text and their shares: the mean over words of the mean over their buckets.
+
+    Thousands of bags are held at once, so they are stored in four bytes a bucket: shares are
+    half-precision numbers times STORED.
+    """
     own: dict[bytes, int] = {}
     for w in words:
         own[w] = own.get(w, 0) + 1
-        if w not in known:
-            known[w] = np.array(pieces(w), np.int32)
     if not own:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float16)
+    if len(known) > KNOWN:
+        known.clear()
+    for w in own:
+        if w not in known:
+            known[w] = np.array(pieces(w), np.uint16)
     parts = [known[w] for w in own]
     sizes = np.array([len(p) for p in parts])
     shares = np.repeat(np.fromiter(own.values(), float) / sizes / (len(words) + SHRINK), sizes)
     buckets, place = np.unique(np.concatenate(parts), return_inverse=True)
-    return buckets, np.bincount(place, shares, len(buckets)).astype(np.float32)
+    return buckets, (np.bincount(place, shares, len(buckets)) * STORED).astype(np.float16)
 
 
 class Model:
@@ -95,7 +103,7 @@ class Model:
                 buckets, shares = bags[at]
                 step = rate * left / total
                 left -= 1
-                inputs, vectors = shares * self.rarity[buckets], self.vectors[buckets]
+                inputs, vectors = shares.astype(np.float32) / STORED * self.rarity[buckets], self.vectors[buckets]
                 hidden = inputs @ vectors
                 logits = hidden @ self.softmax + self.bias
                 error = np.exp(logits - logits.max())
