@@ -18,16 +18,33 @@ def code_bytes(number: Column) -> Column:
     return F.when(number < one, 1).when(number < two, 2).when(number < three, 3).otherwise(4)
 
 
-def gaps(postings: DataFrame) -> DataFrame:
-    """(token, review_id, tf, gap): the step from the token's previous review, the first from 0."""
-    order = Window.partitionBy("token").orderBy("review_id")
-    return postings.select("token", "review_id", "tf", (F.col("review_id") - F.lag("review_id", 1, 0).over(order)).cast("int").alias("gap"))
-
-
-def decoded(gapped: DataFrame) -> DataFrame:
-    """Review ids again, as running sums of ``gapped(token, position, gap, tf)``."""
-    order = Window.partitionBy("token").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return gapped.select("token", F.sum("gap").over(order).cast("int").alias("review_id"), "tf")
+#: Numbers in a stretch of a posting list.  Stretches are worked on apart and then joined up,
+#: so the list of a word that is in every review is no single task's work.
+STRETCH = 1 << 20
+
+
+def gaps(postings: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
+    """``postings(key, review_id, ...)`` with gap: the step from the key's previous review, the first from 0."""
+    cut = F.floor(F.col("review_id") / stretch).cast("long")
+    placed = postings.withColumn("_part", cut)
+    last = placed.groupBy(key, "_part").agg(F.max("review_id").alias("_last"))
+    parts = Window.partitionBy(key).orderBy("_part")
+    ahead = last.select(key, "_part", F.lag("_last", 1, 0).over(parts).alias("_ahead"))
+    inside = Window.partitionBy(key, "_part").orderBy("review_id")
+    stepped = placed.withColumn("_before", F.lag("review_id").over(inside)).join(ahead, [key, "_part"])
+    gap = (F.col("review_id") - F.coalesce("_before", "_ahead")).cast("int")
+    return stepped.select(*postings.columns, gap.alias("gap"))
+
+
+def decoded(gapped: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
+    """(key, review_id, tf): review ids again, as running sums of ``gapped(key, position, gap, tf)``."""
+    placed = gapped.withColumn("_part", F.floor(F.col("position") / stretch).cast("long"))
+    sums = placed.groupBy(key, "_part").agg(F.sum("gap").alias("_sum"))
+    parts = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(parts), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(key, "_part").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumn("_run", F.sum("gap").over(inside)).join(ahead, [key, "_part"])
+    return summed.select(key, (F.col("_ahead") + F.col("_run")).cast("int").alias("review_id"), "tf")
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexsift.functions.codec import gaps
 from lexsift.functions.tokens import bigram_id, bigrams, rotations, tokens
 
 MANIFEST, VERSION = "manifest.json", 1
@@ -89,8 +90,13 @@ class SearchIndex:
 
     @property
     def products(self) -> DataFrame:
-        """(product_id, n_reviews, review_ids): ids in order."""
-        return self.reviews.groupBy("product_id").agg(F.count("*").alias("n_reviews"), F.sort_array(F.collect_list("review_id")).alias("review_ids"))
+        """(product_id, n_reviews)."""
+        return self.reviews.groupBy("product_id").agg(F.count("*").alias("n_reviews"))
+
+    @property
+    def product_postings(self) -> DataFrame:
+        """(product_id, review_id, gap): a row for each review, not a list that one task would hold."""
+        return gaps(self.reviews.select("product_id", "review_id"), "product_id")
 
     def token_ids(self) -> DataFrame:
         return dense_ids(self.lexicon, "token", "token_id", 2)

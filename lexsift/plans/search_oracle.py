@@ -109,7 +109,8 @@ ORACLE = {
     "lexicon_stats": BASE + "SELECT token, df, cf FROM lexicon",
     "posting_gaps": BASE + "SELECT token, review_id, tf, gap FROM gaps",
     "posting_decode": BASE + "SELECT token, review_id, tf FROM postings",
-    "product_postings": BASE + "SELECT product_id, count(*) AS n_reviews, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) AS review_ids FROM reviews GROUP BY product_id",
+    "product_postings": BASE + "SELECT product_id, review_id, CAST(review_id - lag(review_id, 1, 0) OVER (PARTITION BY product_id ORDER BY review_id) AS INTEGER) AS gap FROM reviews",
+    "product_counts": BASE + "SELECT product_id, count(*) AS n_reviews FROM reviews GROUP BY product_id",
     "posting_bytes": BASE + "SELECT token, CAST(sum(CASE WHEN gap < 64 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 4194304 THEN 3 ELSE 4 END) AS BIGINT) AS gap_bytes, CAST(sum(CASE WHEN tf < 64 THEN 1 WHEN tf < 16384 THEN 2 WHEN tf < 4194304 THEN 3 ELSE 4 END) AS BIGINT) AS tf_bytes FROM gaps GROUP BY token",
     "front_coding_prefix": BASE + """, paired AS (SELECT token_id, token, lag(token) OVER (PARTITION BY token_id // 10 ORDER BY token_id) AS before FROM numbered),
 common AS (SELECT token_id, token, CAST(coalesce(len(list_filter(range(1, least(length(token), length(before)) + 1), lambda i: starts_with(token, before[1:i]))), 0) AS INTEGER) AS prefix FROM paired)

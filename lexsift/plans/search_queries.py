@@ -77,7 +77,7 @@ def lexicon_stats(spark, folder):
 
 
 def posting_gaps(spark, folder):
-    return codec.gaps(index_of(spark, folder).postings)
+    return codec.gaps(index_of(spark, folder).postings.select("token", "review_id", "tf"))
 
 
 def posting_decode(spark, folder):
@@ -86,7 +86,11 @@ def posting_decode(spark, folder):
 
 
 def product_postings(spark, folder):
-    return index_of(spark, folder).products.select("product_id", "n_reviews", F.array_join(F.transform("review_ids", lambda x: x.cast("string")), ",").alias("review_ids"))
+    return index_of(spark, folder).product_postings
+
+
+def product_counts(spark, folder):
+    return index_of(spark, folder).products
 
 
 def posting_bytes(spark, folder):
@@ -215,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vocabulary, parse_reviews, tokenize, term_frequencies, review_length, token_ids, product_ids, lexicon_stats, posting_gaps, posting_decode,
-        product_postings, posting_bytes, front_coding_prefix, bigram_index, bigram_ids, permuterm_index, review_attributes, token_frequency,
+        product_postings, product_counts, posting_bytes, front_coding_prefix, bigram_index, bigram_ids, permuterm_index, review_attributes, token_frequency,
         token_collection_frequency, wildcard_frequency, wildcard_collection_frequency, reviews_with_token, reviews_with_wildcard, corpus_stats,
         product_reviews, wildcard_expand, wildcard_permuterm, wildcard_bigram, wildcard_bigram_short, query_terms, query_vector, vsm_scores, vsm_topk,
         vsm_wildcard_topk, vsm_unknown_term, lm_scores, lm_topk, lm_wildcard_topk, lm_unknown_term, product_scores, product_topk,

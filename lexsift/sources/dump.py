@@ -45,23 +45,26 @@ def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     reviews: review_id from 1 in file order without holes, product_id, help_num, help_den, score,
     text.  rejects: the malformed records and what precedes a file's first one.  Files are split
-    at record marks and read in parallel; ids come from the number of good records in each block.
+    at record marks and read in parallel.  Ids come from the place within a block and the number of good
+    records in the blocks before, a small table, so texts are not shuffled to be numbered.
     """
     raw = spark.read.option("lineSep", f"\n{PRODUCT}").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r\n|\r$", "\n").alias("value"))
-    head = F.col("value").startswith(PRODUCT)
     # Only the first piece of a file still has its mark, or is what stands before the first record.
+    head = F.col("value").startswith(PRODUCT)
     record = F.when(head, F.substring("value", len(PRODUCT) + 1, 2147483647)).otherwise(F.col("value"))
-    junk = (F.col("block") == 0) & (F.col("at") == F.min("at").over(Window.partitionBy("file", "block"))) & ~head
-    parsed = parse_records(raw.select("file", "block", "at", junk.alias("junk"), record.alias("record")))
-    good = F.col("ok") & ~F.col("junk")
-    kept = parsed.filter(good)
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    sizes = kept.groupBy("file", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
-    placed = kept.withColumn("inside", inside).join(sizes.select("file", "block", before.alias("before")), ["file", "block"])
-    reviews = placed.select((F.col("before") + F.col("inside")).cast("int").alias("review_id"), "product_id", "help_num", "help_den", "score", "text")
-    return reviews, parsed.filter(~good).select("file", "record")
+    parsed = parse_records(raw.select("file", "block", "at", head.alias("head"), record.alias("record")))
+    # A row for each block: where its numbers start, and which of them are no good records.
+    at, first = F.col("at"), F.min("at")
+    blocks = parsed.groupBy("file", "block").agg(first.alias("start"), F.count("*").alias("n"), F.min_by("head", "at").alias("headed"), F.collect_list(F.when(~F.col("ok"), at)).alias("bad"))
+    before_first = F.when((F.col("block") == 0) & ~F.col("headed"), F.array("start")).otherwise(F.array().cast("array<bigint>"))
+    blocks = blocks.select("file", "block", "start", "n", F.array_union("bad", before_first).alias("bad"))
+    ahead = F.coalesce(F.sum(F.col("n") - F.size("bad")).over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parsed.join(blocks.select("file", "block", "start", "bad", ahead.alias("ahead")), ["file", "block"])
+    good = ~F.array_contains("bad", at)
+    number = F.col("ahead") + at - F.col("start") + 1 - F.size(F.filter("bad", lambda x: x < at))
+    reviews = placed.filter(good).select(number.cast("int").alias("review_id"), "product_id", "help_num", "help_den", "score", "text")
+    return reviews, placed.filter(~good).select("file", "record")
 
 
 def as_record(product: Column, helpful: tuple[Column, Column], score: Column, text: Column) -> Column:
