@@ -68,3 +68,17 @@ def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 20_000) -> Iter
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker keeps between tasks, such as remembered words; the last key only.
+
+    Workers outlive a query, so the memory of one operator must not stay while the next one works.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

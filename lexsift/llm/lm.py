@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_words, materialise
+from .common import as_bytes, ascii_words, kept, materialise
 
 END = b"\n"  # no word holds a line break
 CLASSES = 32  # and as many bins in each
@@ -36,7 +36,6 @@ TAILS = 4096  # ids that other words share as history
 ROUNDS, BATCH, RATE = 2, 2048, 0.1  # small batches keep their rows in the cache
 CHUNK, FAN = 64, 32  # weight rows travel in so many chunks; changes are added so many at a time
 FLUSH = 200_000
-_STATE: dict[str, object] = {}
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -225,14 +224,6 @@ def _texts(batch: pa.RecordBatch, column: int, ids: Ids, most: int = 1 << 17) ->
         yield places, tokens, np.array(flat, np.int64), np.array(first)
 
 
-def _kept(key: str, make):
-    """One value for each key in a worker, so that its tasks share what is costly to build."""
-    if key not in _STATE:
-        _STATE.clear()
-        _STATE[key] = make()
-    return _STATE[key]
-
-
 def _added(batches: list[pa.RecordBatch] | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     size = ROWS // CHUNK
     change, used = np.zeros((size, CLASSES)), np.zeros(size)
@@ -251,7 +242,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weig
         now = spark.sparkContext.broadcast((weights.classes, weights.within))  # fixed size
 
         def run(it: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            own = _kept(name, lambda: (lambda v: (v, v.ids()))(Vocabulary(*shared.value)))
+            own = kept(("lm", name), lambda: (lambda v: (v, v.ids()))(Vocabulary(*shared.value)))
             trainer, task = Trainer(own[0], Weights(*now.value)), TaskContext.get().partitionId()
             for batch in it:
                 for _, _, ids, first in _texts(batch, 0, own[1]):
@@ -322,7 +313,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, most: int = H
         return v, v.ids(), Weights(classes, within), np.log10(v.counts + 1.0)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, ids_of, w, base = _kept(name, make)
+        v, ids_of, w, base = kept(("lm", name), make)
         key, size = TaskContext.get().partitionId() << 40, len(v.words)
         for batch in it:
             doc_ids, helds = batch.column(0).to_pylist(), batch.column(2).to_pylist()

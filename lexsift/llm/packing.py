@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import kept, materialise
 
 CAPACITY = 2048
 MARKS = ".,;:!?#*$%&|"
 LETTERS = re.compile("[a-z]+").fullmatch
-_CACHE: dict[str, "WordIds"] = {}
 
 
 class WordIds:
@@ -96,12 +95,6 @@ class WordIds:
         return fresh
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _CACHE:
-        _CACHE[path] = WordIds(path)
-    return _CACHE[path]
-
-
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, chunk, slot (and ids).
 
@@ -115,7 +108,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, chunk, seen = word_ids(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, chunk, seen = kept(("words", tokenizer_path), lambda: WordIds(tokenizer_path)), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in it:
             out: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

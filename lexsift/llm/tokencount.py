@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, kept
 
 #: Scores are millionths; a value holds the score above 32 bits and, against it, the tokens used,
 #: so that the larger value has the better score and then the fewer tokens.
 UNIT, SHIFT = 1_000_000, 1 << 32
-_TRIES: dict[tuple, "PretokenTrie"] = {}
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, int]:
@@ -122,9 +121,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_distinct", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (model_path,) not in _TRIES:
-            _TRIES[(model_path,)] = PretokenTrie(zipf_scores(load_pieces(model_path)))
-        trie = _TRIES[(model_path,)]
+        trie = kept(("trie", model_path), lambda: PretokenTrie(zipf_scores(load_pieces(model_path))))
         for batch in it:
             rows = [], [], []
             for raw in as_bytes(batch.column(1)):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_words, id_remainder
+from .common import as_bytes, ascii_words, id_remainder, kept
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 STORED, KNOWN = 4096, 30_000
@@ -28,7 +28,6 @@ SHRINK = 10
 SAMPLE = 8000
 CUT = 0.3
 EDGES = b".,;:!?\"'()[]{}<>*#&%$|/\\-_~`=+"
-_SCORERS: dict[int, "Scorer"] = {}
 
 
 def pieces(word: bytes) -> list[int]:
@@ -165,10 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _chances(texts: pa.Array, table: np.ndarray, bias: float, token: int) -> np.ndarray:
     """Probabilities of texts; the scorer and its memory stay with the worker."""
-    if token not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[token] = Scorer(table, bias)
-    odds = np.array([_SCORERS[token](ascii_words(t)) for t in as_bytes(texts)], float)
+    scorer = kept(("toxicity", token), lambda: Scorer(table, bias))
+    odds = np.array([scorer(ascii_words(t)) for t in as_bytes(texts)], float)
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
