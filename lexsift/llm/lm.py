@@ -3,7 +3,8 @@
 Words fall into bins of about equal mass, in order of frequency, and bins into classes:
 P(word | history) = P(class | history) * P(bin | class, history) * P(word | bin).
 The first two factors are softmaxes over sums of weight rows, one row for each active feature:
-the previous word, the previous two, and the word two back (a skip), all hashed.  The last
+the previous word, the previous two, and words two and (for classes) three back (skips), and
+for bins the class alone, all hashed.  The last
 factor is the word's share of its bin.  All words outside a bounded head share one bin, which
 also has room for an unseen word, so probabilities of the vocabulary and one unknown add up to 1.
 
@@ -117,13 +118,13 @@ def features(ids: np.ndarray, first: np.ndarray, bins: np.ndarray) -> tuple[np.n
     start = np.int64(1 << 40)
     place = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
     back = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         shifted = np.r_[np.full(min(k, len(ids)), start), ids[:-k]] if len(ids) > k else np.full(len(ids), start)
         back.append(np.where(place >= k, shifted, start))
-    one, two = back
+    one, two, three = back
     group = bins // CLASSES
-    classes = np.stack([_mixed(1, one), _mixed(2, one, two), _mixed(3, two)], axis=1)
-    within = np.stack([_mixed(4, group, one), _mixed(5, group, two)], axis=1)
+    classes = np.stack([_mixed(1, one), _mixed(2, one, two), _mixed(3, two), _mixed(6, three)], axis=1)
+    within = np.stack([_mixed(4, group, one), _mixed(5, group, two), _mixed(7, group), _mixed(8, group, one, two)], axis=1)
     return classes, within
 
 
@@ -164,12 +165,12 @@ class Weights:
 
 
 class Trainer:
-    """Minibatch AdaGrad, a step size for each row, from given weights; counts the use of each row."""
+    """Minibatch AdaGrad, a step size for each weight, from given weights; counts the use of each row."""
 
     def __init__(self, vocabulary: Vocabulary, weights: Weights, rate: float = RATE):
         self.vocabulary, self.start, self.rate = vocabulary, weights, rate
         self.weights = [weights.classes.copy(), weights.within.copy()]
-        self.squares = [np.full(ROWS, 1e-2, np.float32) for _ in self.weights]
+        self.squares = [np.full(w.shape, 1e-2, np.float32) for w in self.weights]
         self.used = [np.zeros(ROWS, np.int64) for _ in self.weights]
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
@@ -192,8 +193,12 @@ class Trainer:
         ends = np.flatnonzero(np.r_[sorted_rows[1:] != sorted_rows[:-1], True])
         touched, count = sorted_rows[ends].astype(np.int64), np.diff(np.r_[-1, ends])
         gradient = np.add.reduceat(np.take(error, order // rows.shape[1], axis=0), ends - count + 1)
-        squares[touched] += np.einsum("ij,ij->i", gradient, gradient) / CLASSES
-        weights[touched] = np.take(weights, touched, axis=0) - gradient * (self.rate / np.sqrt(squares[touched]))[:, None]
+        square = np.take(squares, touched, axis=0)
+        square += gradient * gradient
+        squares[touched] = square
+        gradient *= self.rate
+        gradient /= np.sqrt(square, out=square)
+        weights[touched] = np.take(weights, touched, axis=0) - gradient
         self.used[which][touched] += count
 
     def changes(self) -> Iterator[dict]:

@@ -166,6 +166,20 @@ def test_lm_probabilities_add_up_to_one():
     assert abs(inside + np.exp(logs[300]) + idle - 1) < 1e-4
 
 
+def test_lm_has_all_its_features_and_a_step_size_for_each_weight():
+    rows = lambda *history, b=40: [r[3] for r in lm.features(np.array([*history, 9]), np.array([0]), np.full(4, b))]
+    base = rows(1, 2, 3)
+    moved = lambda *history: [(a != b).tolist() for a, b in zip(base, rows(*history))]
+    # columns of classes: previous, previous two, two back, three back; of bins: previous, two back, class alone, previous two
+    assert moved(5, 2, 3) == [[False, False, False, True], [False] * 4]
+    assert moved(1, 5, 3) == [[False, True, True, False], [False, True, False, True]]
+    assert moved(1, 2, 5) == [[True, True, False, False], [True, False, False, True]]
+    v = lm.Vocabulary([f"w{i}".encode() for i in range(300)], np.arange(300, 0, -1), 46000, 300)
+    trainer = lm.Trainer(v, lm.Weights())
+    trainer.learn(np.arange(200) % 7, np.array([0]))
+    assert all(len(np.unique(q[u.argmax()])) > 1 for q, u in zip(trainer.squares, trainer.used))
+
+
 def test_lm_without_training_rows_and_without_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     got = lm.score(df, F.lit(True)).collect()
