@@ -1,7 +1,7 @@
 """Near-duplicate vectors by randomised-rotation binary codes with correction factors.
 
 Unit vectors of one label are dealt to cells around sampled centroids; each lives in its
-nearest cell and also visits the next ones.  Within a cell a resident is known by the signs of
+nearest cell and also visits every other that may hold a vector within the threshold.  Within a cell a resident is known by the signs of
 its rotated coordinates and one stored factor; a visitor by rotated coordinates rounded at
 random to four bits.  Bit counts of the two give an unbiased estimate of the cosine with a
 confidence bound; only pairs whose bound reaches the threshold are computed exactly.
@@ -21,8 +21,10 @@ from .common import materialise
 from .components import components, forest
 
 THRESHOLD = 0.93
-#: Distinct vectors per centroid, most centroids, cells a vector visits, rows of a block.
-PER_CELL, MOST_CELLS, VISITS, BLOCK = 1 << 16, 4096, 4, 4096
+#: Distinct vectors per centroid, most centroids, rows of a block.
+PER_CELL, MOST_CELLS, BLOCK = 1 << 16, 4096, 4096
+#: What rounding may add to a cosine; the bounds on cells are wider by it.
+ROUNDING = 1e-6
 #: Width of the confidence bound in standard deviations.
 SIGMAS = 5.0
 PLANES = 4
@@ -83,7 +85,7 @@ def can_link() -> Column:
     return F.coalesce(F.col("label").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell: int = PER_CELL, visits: int = VISITS, block: int = BLOCK, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell: int = PER_CELL, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding, label)``.
 
     Vectors link if they have the same label and their cosine in double precision reaches the
@@ -93,8 +95,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
     vectors.  A null vec_id is kept and never kept=True.
 
     Centroids are a sample of distinct vectors, one for ``per_cell`` of them and at most
-    MOST_CELLS; every vector is searched.  A pair is missed only if neither visits the other's
-    cell, or with the probability of a deviation by SIGMAS.
+    MOST_CELLS; every vector is searched.  Cells are passed by only where a bound shows that they
+    hold no link, so a pair is missed only with the probability of a deviation by SIGMAS.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
@@ -105,7 +107,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
     per_dim = {r[0]: r[1] for r in distinct.groupBy("dim").count().collect()}  # a corpus has few dimensions
     results = []
     for dim, number in sorted(per_dim.items()):
-        results.append(_search(distinct.filter(F.col("dim") == dim), dim, number, threshold, per_cell, visits, block, seed))
+        results.append(_search(distinct.filter(F.col("dim") == dim), dim, number, threshold, per_cell, block, seed))
     if results:
         found = results[0]
         for more in results[1:]:
@@ -122,48 +124,82 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _search(distinct: DataFrame, dim: int, number: int, threshold: float, per_cell: int, visits: int, block: int, seed: int) -> DataFrame:
+def visited(vectors: np.ndarray, centres: np.ndarray, lowest: np.ndarray, threshold: float) -> list[list[int]]:
+    """For each unit vector its own cell, then all others that it has to visit.
+
+    A link of ``threshold`` spans an angle t.  A cell is out of reach if the vector is further from
+    its centroid than t and the cell's radius, or further than t from the plane between its own
+    centroid and that one, beyond which all the cell's residents lie.  Both bounds hold from either end of a link,
+    so of two cells only one is visited from the other, by the parity of their numbers.
+    """
+    cosines = vectors @ centres.T
+    own, rows, every = cosines.argmax(axis=1), np.arange(len(vectors)), np.arange(len(centres))
+    reach = np.arccos(np.clip(threshold, -1, 1)) + np.arccos(np.clip(lowest - ROUNDING, -1, 1))
+    near = (cosines >= np.cos(np.minimum(reach, np.pi)) - ROUNDING) & (lowest < 2)
+    if threshold > 0:  # an angle under 90 degrees
+        apart = np.sqrt(np.maximum(2 - 2 * (centres[own] @ centres.T), 0))
+        near &= cosines[rows, own][:, None] - cosines <= np.sqrt(1 - min(threshold, 1) ** 2) * apart + ROUNDING
+    near &= ((every + own[:, None]) % 2 == 1) == (every < own[:, None])
+    near[rows, own] = False
+    return [[int(o), *np.flatnonzero(n).tolist()] for o, n in zip(own, near, strict=True)]
+
+
+def _search(distinct: DataFrame, dim: int, number: int, threshold: float, per_cell: int, block: int, seed: int) -> DataFrame:
     """(a, n, b): rows with n are numbers of links of vector a; rows with b link a and b."""
     k = max(1, min(MOST_CELLS, number // per_cell))
     sample = distinct.orderBy(F.xxhash64("key")).limit(k).select("v").collect()  # at most MOST_CELLS vectors
     centres = unit(np.array([r[0] for r in sample]).reshape(-1, dim))
-    turn, visits = rotation(dim, seed), min(visits, len(centres))
+    turn = rotation(dim, seed)
+
+    def nearness(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.full(len(centres), 2.0)
+        for batch in it:
+            for at in range(0, batch.num_rows, 512):
+                cosines = unit(np.stack(batch.column("v").slice(at, 512).to_numpy(zero_copy_only=False))) @ centres.T
+                low = np.minimum(low, np.where(cosines >= cosines.max(axis=1, keepdims=True) - ROUNDING, cosines, 2.0).min(axis=0))
+        some = np.flatnonzero(low < 2)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(low[some])], names=["cell", "low"])
+
+    lowest = np.full(len(centres), 2.0)  # the least cosine of a cell's residents with its centroid; 2 for an empty cell
+    if len(centres) > 1:
+        for cell, low in distinct.select("v").mapInArrow(nearness, "cell int, low double").groupBy("cell").agg(F.min("low")).collect():
+            lowest[cell] = low
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
                 v = unit(np.stack(batch.column("v").to_numpy(zero_copy_only=False)))
-                near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :visits]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary()), batch.column("label"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["rep", "copies", "v", "label", "cells"])
+                near = [cells for at in range(0, len(v), 512) for cells in visited(v[at : at + 512], centres, lowest, threshold)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary()), batch.column("label"), pa.array(near, pa.list_(pa.int32()))], names=["rep", "copies", "v", "label", "cells"])
 
     placed = materialise(distinct.select("rep", "copies", "v", F.col("label").cast("string").alias("label")).mapInArrow(place, "rep long, copies long, v binary, label string, cells array<int>"), "placed")
     # Residents and visitors of a cell in blocks of bounded size, by a hash of the id.
     sizes = placed.select("label", F.col("cells")[0].alias("cell"), F.lit(1).alias("h")).union(placed.select("label", F.explode("cells"), F.lit(0))).groupBy("label", "cell").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("g")).filter("h > 0").select("label", "cell", F.ceil(F.col("h") / block).cast("int").alias("nh"), F.ceil(F.col("g") / block).cast("int").alias("ng"))
     slot = F.xxhash64("rep")
-    home = placed.select("*", F.col("cells")[0].alias("cell")).join(sizes, ["label", "cell"]).select("*", F.pmod(slot, F.col("nh")).alias("bh"), F.explode(F.sequence(F.lit(0), F.col("ng") - 1)).alias("bg")).withColumn("side", F.lit(0))
-    guest = placed.select("*", F.explode("cells").alias("cell")).join(sizes, ["label", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("bh"), F.pmod(slot, F.col("ng")).alias("bg")).withColumn("side", F.lit(1))
-    names = ["label", "cell", "bh", "bg", "side", "rep", "copies", "v", "cells"]
+    home = placed.select("*", F.col("cells")[0].alias("cell"), F.col("cells")[0].alias("home")).join(sizes, ["label", "cell"]).select("*", F.pmod(slot, F.col("nh")).alias("bh"), F.explode(F.sequence(F.lit(0), F.col("ng") - 1)).alias("bg")).withColumn("side", F.lit(0))
+    guest = placed.select("*", F.explode("cells").alias("cell"), F.col("cells")[0].alias("home")).join(sizes, ["label", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("bh"), F.pmod(slot, F.col("ng")).alias("bg")).withColumn("side", F.lit(1))
+    names = ["label", "cell", "bh", "bg", "side", "rep", "copies", "v", "home"]
     both = home.select(*(F.col(c).cast("long") if c in ("bh", "bg") else F.col(c) for c in names)).union(guest.select(*(F.col(c).cast("long") if c in ("bh", "bg") else F.col(c) for c in names)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def side(s: int):
             rows = pdf[pdf.side == s].sort_values("rep")
-            return rows.rep.to_numpy(), rows.copies.to_numpy(), np.frombuffer(b"".join(rows.v), "<f8").reshape(-1, dim), np.stack(rows.cells) if len(rows) else np.zeros((0, visits), int)
+            return rows.rep.to_numpy(), rows.copies.to_numpy(), np.frombuffer(b"".join(rows.v), "<f8").reshape(-1, dim), (rows.home == rows.cell).to_numpy()
 
-        hid, hcopies, hv, hcells = side(0)
-        gid, gcopies, gv, gcells = side(1)
+        hid, hcopies, hv, _ = side(0)
+        gid, gcopies, gv, resident = side(1)
         ids = np.unique(np.r_[hid, gid])
         n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if len(hid) and len(gid):
             codes, rng = Codes(hv, turn), np.random.default_rng(seed)
-            hat, gat, ghome = np.searchsorted(ids, hid), np.searchsorted(ids, gid), gcells[:, 0]
+            hat, gat = np.searchsorted(ids, hid), np.searchsorted(ids, gid)
             for at in range(0, len(gid), 512):
                 estimate, rounding = codes.estimates(gv[at : at + 512], turn, rng)
                 g, h = np.nonzero(estimate >= threshold - codes.slack(threshold, rounding))
                 g += at
-                # A pair that meets in both cells counts where the smaller id visits.
-                once = (gid[g] < hid[h]) | ~(hcells[h] == ghome[g][:, None]).any(axis=1)
-                g, h = g[once & (gid[g] != hid[h])], h[once & (gid[g] != hid[h])]
+                # Two residents of one cell meet twice there; a pair of two cells meets in one of them.
+                once = (gid[g] < hid[h]) | ~resident[g]
+                g, h = g[once], h[once]
                 for part in range(0, len(g), 1 << 16):
                     x, y = g[part : part + (1 << 16)], h[part : part + (1 << 16)]
                     hit = np.einsum("ij,ij->i", gv[x], hv[y]) >= threshold

@@ -126,6 +126,35 @@ def test_embedding_dedup_against_all_pairs(spark, sf):
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_pairs(n, seed):
+    """Random unit vectors, and as many whose cosines with them are from 0.931 to 0.94."""
+    rng = np.random.default_rng(seed)
+    a, b = embdedup.unit(rng.standard_normal((n, 64))), rng.standard_normal((n, 64))
+    b = embdedup.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(0.931, 0.94, (n, 1))
+    return np.r_[a, c * a + np.sqrt(1 - c**2) * b]
+
+
+def test_embedding_dedup_misses_no_pair_with_many_cells(spark):
+    v = near_pairs(600, 8)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    links = plain_links(rows)
+    degree = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    roots = reach(len(rows), links)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embdedup.near_duplicates(df, per_cell=30, block=256).collect()  # forty cells
+    assert len(links) >= 600 and sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, int(degree[i]), roots[i]) for i in range(len(rows))]
+
+
+def test_cells_out_of_reach_are_passed_by():
+    rng = np.random.default_rng(2)
+    centres = embdedup.unit(rng.standard_normal((40, 64)))
+    own = np.repeat(np.arange(40), 50)
+    v = embdedup.unit(centres[own] + 0.02 * rng.standard_normal((2000, 64)))
+    low = np.array([(v[own == c] @ centres[c]).min() for c in range(40)])
+    assert embdedup.visited(v, centres, low, 0.93) == [[c] for c in own.tolist()]
+
+
 def test_code_estimates_are_unbiased_and_within_bounds():
     rng = np.random.default_rng(1)
     a = embdedup.unit(rng.standard_normal((200, 64)))
