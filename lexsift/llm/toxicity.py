@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from .common import as_bytes, ascii_words, id_remainder, kept
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 STORED, KNOWN = 4096, 30_000
+#: Bytes of a word that is not long.  A long word, such as a passage without white space, is not
+#: remembered and counts as a word for every so many bytes.
+LONG = 64
 #: Averages of few-percent signals are small; the gain brings them into the softmax's range.
 GAIN = 10.0
 #: Words without signal added to every text, so that a few odd words are little evidence.
@@ -30,10 +34,18 @@ CUT = 0.3
 EDGES = b".,;:!?\"'()[]{}<>*#&%$|/\\-_~`=+"
 
 
-def pieces(word: bytes) -> list[int]:
+def weight(word: bytes) -> int:
+    """How many words a word counts as."""
+    return max(1, -(-len(word) // LONG))
+
+
+def pieces(word: bytes) -> list[int] | np.ndarray:
     """Buckets of a word: the word itself and its n-grams of 3 to 5 characters with both edges."""
     core = word.strip(EDGES) or word
-    text = f"<{core.decode('utf-8', 'replace').lower()[:64]}>"
+    text = f"<{core.decode('utf-8', 'replace').lower()}>"
+    if len(word) > LONG:  # two bytes a bucket
+        longer = (text[i : i + n].encode() for n in range(SHORTEST, LONGEST + 1) for i in range(len(text) - n + 1))
+        return np.fromiter((zlib.crc32(g) % BUCKETS for g in chain([text.encode() + b"\0"], longer)), np.uint16)
     grams = [text.encode() + b"\0"]
     for n in range(SHORTEST, LONGEST + 1):
         grams += [text[i : i + n].encode() for i in range(len(text) - n + 1)]
@@ -59,11 +71,12 @@ def bag(words: list[bytes], known: dict[bytes, np.ndarray]) -> tuple[np.ndarray,
     if len(known) > KNOWN:
         known.clear()
     for w in own:
-        if w not in known:
+        if w not in known and len(w) <= LONG:
             known[w] = np.array(pieces(w), np.uint16)
-    parts = [known[w] for w in own]
+    parts = [known[w] if len(w) <= LONG else pieces(w) for w in own]
     sizes = np.array([len(p) for p in parts])
-    shares = np.repeat(np.fromiter(own.values(), float) / sizes / (len(words) + SHRINK), sizes)
+    times = np.array([n * weight(w) for w, n in own.items()], float)
+    shares = np.repeat(times / sizes / (times.sum() + SHRINK), sizes)
     buckets, place = np.unique(np.concatenate(parts), return_inverse=True)
     return buckets, (np.bincount(place, shares, len(buckets)) * STORED).astype(np.float16)
 
@@ -121,7 +134,7 @@ class Model:
 
 
 class Scorer:
-    """Log-odds of documents; remembers those of at most ``bound`` words of at most 64 bytes."""
+    """Log-odds of documents; remembers those of at most ``bound`` words of at most LONG bytes."""
 
     def __init__(self, table: np.ndarray, bias: float, bound: int = 400_000):
         self.table, self.bias, self.bound, self.known = table, bias, bound, {}
@@ -133,18 +146,22 @@ class Scorer:
     def __call__(self, words: list[bytes]) -> float:
         if not words:
             return self.bias
-        known = self.known
+        known, number = self.known, len(words)
         missing = list({w for w in words if w not in known})
         if missing:
             fresh = dict(zip(missing, self.word_scores(missing).tolist(), strict=True))
             if len(known) + len(fresh) > self.bound:
                 known = {}
             total = sum([known[w] if w in known else fresh[w] if w in fresh else self.known[w] for w in words])
+            for w in words:
+                if len(w) > LONG:
+                    total += fresh[w] * (weight(w) - 1)
+                    number += weight(w) - 1
             self.known = known
-            known.update((w, s) for w, s in list(fresh.items())[: self.bound] if len(w) <= 64)
+            known.update((w, s) for w, s in list(fresh.items())[: self.bound] if len(w) <= LONG)
         else:
             total = sum([known[w] for w in words])
-        return self.bias + total / (len(words) + SHRINK)
+        return self.bias + total / (number + SHRINK)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -110,6 +110,24 @@ def test_misspellings_share_vectors():
     assert scorer([]) == scorer.bias
 
 
+def test_all_of_a_long_word_is_scored():
+    rng = np.random.default_rng(4)
+    plain = [f"{a}{b}".encode() for a in ("an", "er", "on", "st", "th") for b in ("ing", "tion", "ed", "le", "ou", "re")]
+    docs = [[plain[i] for i in rng.integers(0, len(plain), 30)] for _ in range(400)]
+    labels = np.array([k % 5 == 0 for k in range(400)], int)
+    for k in range(0, 400, 5):
+        docs[k][3] = docs[k][9] = b"worthless"
+    scorer = toxicity.Model().fit(docs, labels).scorer()
+    for mark in ("_", "-", "\u00a0", "."):
+        clean, bad = (mark.join([*(w.decode() for w in plain[:26]), *[w] * 6]).encode() for w in ("erle", "worthless"))
+        assert scorer([bad]) > 0 > scorer([clean]) and scorer([bad, b"le"]) > scorer([clean, b"le"])
+        one, two = (dict(zip(*toxicity.bag([w], {}))) for w in (bad, clean))
+        assert one != two
+    joined = [["_".join(w.decode() for w in d).encode()] for d in docs]
+    learnt = toxicity.Model().fit(joined, labels).scorer()
+    assert np.mean([learnt(d) for d, t in zip(joined, labels) if t]) > np.mean([learnt(d) for d, t in zip(joined, labels) if not t]) + 1
+
+
 def test_toxicity_edge_rows(spark):
     docs = spark.createDataFrame([(1, "fine words", 3), (2, None, 4), (2, "", 5), (None, "x" * 50_000, 6)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 0), (2, 0)], "doc_id long, toxic int")
