@@ -16,9 +16,11 @@ from .common import cut, materialise
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, RATIO = 0.85, 12, 1.0
+#: Rounds end once no rank changes by more than its share TOLERANCE, so also not while new hosts are
+#: reached; ranks that have not settled after ROUNDS are an error.
+DAMPING, ROUNDS, RATIO, TOLERANCE = 0.85, 1000, 1.0, 1e-6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -37,17 +39,19 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return pick(lambda r: r[1] + r[2]), pick(lambda r: r[0])
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of walk.
 
     ``edges(kind, src, dst, w)`` and ``seeds(kind, host)``.  A walk restarts at a seed with
     probability 1 - damping and wherever its host has no edge.  Ranks of a kind add up to 1.
+    Walks go on until no rank changes by more than ``tolerance`` times itself; a host that is
+    reached for the first time changes by all of its rank.
     """
     start = seeds.groupBy("kind").agg(F.count("*").alias("n"))
     start = cut(seeds.join(F.broadcast(start), "kind").select("kind", "host", (1 / F.col("n")).alias("s")))  # a row for each kind of walk
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
     step = materialise(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total")).alias("p")), "steps")
-    rank = start.withColumnRenamed("s", "rank")
+    rank, zero = start.withColumnRenamed("s", "rank"), F.lit(0.0)
     for _ in range(rounds):
         moved = rank.join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("x"))
         moved = cut(moved.groupBy("kind", "host").agg(F.sum("x").alias("x")))
@@ -55,8 +59,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         back = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(1.0 - kept[k])), sorted(kept), F) if kept else F.lit(1.0)
         back = back.otherwise(F.lit(1.0)) if kept else back
         returned = start.select("kind", "host", (F.col("s") * back).alias("x"))
-        rank = moved.union(returned).groupBy("kind", "host").agg(F.sum("x").alias("rank"))
-    return cut(rank)
+        both = moved.withColumn("old", zero).union(returned.withColumn("old", zero)).union(rank.select("kind", "host", zero.alias("x"), F.col("rank").alias("old")))
+        both = cut(both.groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")))
+        rank = both.select("kind", "host", "rank")
+        change = both.agg(F.max(F.try_divide(F.abs(F.col("rank") - F.col("old")), F.greatest("rank", "old")))).first()[0]
+        if not (change or 0.0) > tolerance:
+            return rank
+    raise RuntimeError("ranks did not settle")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:

@@ -77,6 +77,21 @@ def test_url_verdicts_against_a_plain_version(spark, sf):
     assert urlfilter.judge(df.filter("page_id = 9013")).count() == 1
 
 
+def test_trust_and_distrust_reach_as_far_as_links_do(spark):
+    far = [(i, f"http://h{i}.net/", f"<a href='//h{i + 1}.net/'>") for i in range(16)] + [(16, "http://h16.net/", "<a href=//com/de/x>"), (17, "http://com/de/", None)]
+    near = [(20, "http://a.org/", "<a href=https://b.net/>"), (21, "http://b.net/", ""), (22, "http://c.net/", "<a href='/x//y'><a href='#//z'>")]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(far + near, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" and got[i].distrust > 0 for i in range(17))
+    assert (got[21].verdict, got[22].verdict, got[22].trust) == ("allow", "allow", 0.0) and got[21].trust > 0
+
+
+def test_ranks_settle(spark):
+    edges = spark.createDataFrame([("trust", a, b, 1.0) for a, b in ("ab", "ba", "bc", "cd", "dc")], "kind string, src string, dst string, w double")
+    got = {r.host: r.rank for r in urlfilter.propagate(edges, spark.createDataFrame([("trust", "a")], "kind string, host string")).collect()}
+    expect = plain_ranks({(a, b): 1.0 for a, b in ("ab", "ba", "bc", "cd", "dc")}, {"a"}, rounds=500)
+    assert got == pytest.approx(expect, rel=1e-4)
+
+
 def plain_rake(mass, goals, rounds=300):
     cells = {k: v for k, v in mass.items() if v > 0}
     weight = dict.fromkeys(cells, 1.0)
