@@ -92,7 +92,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
     threshold.  Null labels, null, empty or zero vectors and those with null or non-finite
     components link with nothing; vectors of different dimensions never link.  Copies of a
     vector enter the search once and are counted.  Several rows with one vec_id are several
-    vectors.  A null vec_id is kept and never kept=True.
+    vectors.  A null vec_id links like any other and is never kept=True; a component is null if
+    none of its rows has an id.
 
     Centroids are a sample of distinct vectors, one for ``per_cell`` of them and at most
     MOST_CELLS; every vector is searched.  Cells are passed by only where a bound shows that they
@@ -102,7 +103,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     usable = rows.filter(can_link()).withColumn("v", F.col("embedding").cast("array<double>")).withColumn("dim", F.size("v")).withColumn("key", F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.array_join(F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x).cast("string")), ",")), 256))
     grouped = usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"), F.first("dim").alias("dim"))
-    distinct = materialise(grouped, "vectors").filter("rep is not null")
+    distinct = materialise(grouped, "vectors")
+    highest, unnamed = distinct.agg(F.max("rep"), F.count(F.when(F.col("rep").isNull(), 1))).first()
+    if unnamed:  # vectors without any id get numbers above all ids for the search
+        highest = -1 if highest is None else highest
+        distinct = materialise(distinct.withColumn("rep", F.coalesce("rep", F.lit(highest).cast("long") + 1 + F.monotonically_increasing_id())), "numbered")
 
     per_dim = {r[0]: r[1] for r in distinct.groupBy("dim").count().collect()}  # a corpus has few dimensions
     results = []
@@ -117,6 +122,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
         counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
         named = distinct.select("key", "rep", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        if unnamed:
+            named = named.withColumn("component_id", F.when(F.col("component_id") <= highest, F.col("component_id")))
         linked = usable.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
     else:
         linked = spark.createDataFrame([], "vec_id long, n_links long, component_id long")

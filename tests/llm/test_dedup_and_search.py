@@ -146,6 +146,15 @@ def test_embedding_dedup_misses_no_pair_with_many_cells(spark):
     assert len(links) >= 600 and sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, int(degree[i]), roots[i]) for i in range(len(rows))]
 
 
+def test_embedding_dedup_keeps_vectors_without_an_id(spark):
+    v = near_pairs(3, 8)
+    rows = [(7, v[0].tolist(), 1), (None, v[3].tolist(), 1), (None, v[1].tolist(), 1), (None, v[4].tolist(), 1), (None, v[4].tolist(), 1), (None, v[2].tolist(), 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    some = lambda frame: sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embdedup.near_duplicates(frame).collect())
+    assert some(df) == sorted([(7, 1, 7, True), (0, 1, 7, False), (0, 2, 0, False), (0, 2, 0, False), (0, 2, 0, False), (0, 0, 0, False), (0, 0, 0, False)])
+    assert some(df.filter("vec_id is null")) == [(0, 0, 0, False)] * 3 + [(0, 2, 0, False)] * 3
+
+
 def test_cells_out_of_reach_are_passed_by():
     rng = np.random.default_rng(2)
     centres = embdedup.unit(rng.standard_normal((40, 64)))
