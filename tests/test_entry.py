@@ -15,14 +15,30 @@ def test_entry_and_queries(spark):
     assert "vsm_topk" in entry.queries()
 
 
-def test_entry_without_the_removable_part(tmp_path):
-    for name in ("__spark_entry__.py", "lexsift"):
+def _without(tmp_path, names, code, left_out=()):
+    """Run ``code`` where only ``names`` of the repository and the parts of the package not left out stand."""
+    for name in names:
         (tmp_path / name).symlink_to(ROOT / name)
     package = tmp_path / "lexsift"
-    package.unlink()
     package.mkdir()
     for part in (ROOT / "lexsift").iterdir():
-        if part.name not in ("llm", "__pycache__"):
+        if part.name not in ("__pycache__", *left_out):
             (package / part.name).symlink_to(part)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'vsm_topk' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
+
+
+SEARCH_ONLY = "import __spark_entry__ as e; q = e.queries(); assert 'vsm_topk' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+
+
+def test_entry_without_the_removable_part(tmp_path):
+    _without(tmp_path, ["__spark_entry__.py"], SEARCH_ONLY, ["llm"])
+
+
+def test_entry_where_only_the_folder_is_gone(tmp_path):
+    if (ROOT / "corpus_pipeline.py").exists():
+        _without(tmp_path, ["__spark_entry__.py", "corpus_pipeline.py"], SEARCH_ONLY, ["llm"])
+
+
+def test_entry_where_a_package_of_the_removable_part_is_missing(tmp_path):
+    hide = "import sys; sys.modules['public_tokenizers'] = None; "
+    _without(tmp_path, [n for n in ("__spark_entry__.py", "corpus_pipeline.py") if (ROOT / n).exists()], hide + SEARCH_ONLY)
