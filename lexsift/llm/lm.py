@@ -1,17 +1,18 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-Words fall into bins of about equal mass, in order of frequency, and bins into classes:
-P(word | history) = P(class | history) * P(bin | class, history) * P(word | bin).
-The first two factors are softmaxes over sums of weight rows, one row for each active feature:
-the previous word, the previous two, and words two and (for classes) three back (skips), and
-for bins the class alone, all hashed.  The last
-factor is the word's share of its bin.  All words outside a bounded head share one bin, which
-also has room for an unseen word, so probabilities of the vocabulary and one unknown add up to 1.
+Words fall into bins of about equal mass, in order of frequency, bins into classes, and the words of a bin into slots:
+P(word | history) = P(class | history) P(bin | class, history) P(slot | bin, history) P(word | slot).
+All factors but the last are softmaxes over sums of weight rows, one row for each active feature:
+the previous word, the previous two, words two and three back (skips), and the class or bin alone, all
+hashed; slots have the previous word and the bin alone.  The number of rows grows with the square root of the training tokens.  A slot holds one word,
+or in the rare bins a few, which have their shares of it.  Words outside the head have slots by hash, each with
+room for an unseen word, so probabilities of the vocabulary and one unknown word a slot add up to 1.
 
 Training is by rounds of distributed gradient updates: every task runs minibatch AdaGrad over its
 part of the corpus from the common weights, and the changes of a row are averaged by how often
-tasks have used it.  Vocabulary counts, words outside the head and weights never pass through
-the driver but for tables of fixed size.
+tasks have used it.  A task works on as many tokens as the rows need, however the input is split, so
+what a round gains does not shrink with more partitions.  Vocabulary counts and words outside the head never
+pass through the driver.
 """
 
 from __future__ import annotations
@@ -30,15 +31,25 @@ from pyspark.sql import functions as F
 from .common import as_bytes, ascii_words, kept, materialise
 
 END = b"\n"  # no word holds a line break
-CLASSES = 32  # and as many bins in each
-HEAD = 1 << 18  # most words with an id of their own
-ROWS = 1 << 14  # hashed weight rows of either softmax
-TAILS = 4096  # ids that other words share as history
-ROUNDS, BATCH, RATE = 2, 2048, 0.1  # small batches keep their rows in the cache
-CHUNK, FAN = 64, 32  # weight rows travel in so many chunks; changes are added so many at a time
+CLASSES = 32  # as many bins in each, and as many slots in a bin
+BINS = CLASSES * CLASSES
+#: Most words with an id of their own, and most bytes of such a word; all others have slots by hash.
+HEAD, LONGEST = 1 << 18, 64
+TAILS = 4096  # ids that other words share as history; a multiple of CLASSES
+ROUNDS, BATCH, RATE = 2, 4096, 0.1
+#: Weight rows of a softmax for the square root of the training tokens; least and most of them.
+ROWS, FEWEST, MOST = 4, 1 << 16, 1 << 20
+#: Tokens that a training task takes for each weight row, and least tokens for a task.
+PER_ROW, LEAST = 64, 1 << 21
+CHUNK, FAN = 1024, 32  # weight rows travel so many at a time; changes are added so many at a time
 FLUSH = 200_000
 
 
+def rows_for(tokens: int) -> int:
+    """Weight rows of each softmax for so many training tokens."""
+    return int(min(MOST, max(FEWEST, ROWS * tokens**0.5)))
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token binary, c): occurrences in ``docs(text)``, each text followed by END."""
 
@@ -61,33 +72,46 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent words with their class and bin; everything else is the tail, in the last bin."""
+    """The frequent words with class, bin and slot; everything else is the tail, in the slots of the last bin.
+
+    ``tails`` holds tokens and distinct words of the tail for each of its slots.
+    """
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        tail_mass = total - int(counts.sum())
-        self.tail_room = tail_mass + (distinct - len(words)) + 1  # add-one within the tail, unseen words included
-        bins = CLASSES * CLASSES - 1
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, tails: np.ndarray):
+        self.words, self.counts, self.total, self.distinct, self.tails = words, counts, total, distinct, tails
+        self.rows = rows_for(total)
+        bins, n = BINS - 1, len(words)
         before = np.cumsum(counts) - counts / 2
-        self.bin = np.minimum(before * bins // max(1, counts.sum()), bins - 1).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        mass = np.bincount(self.bin, counts, bins + 1).astype(float)
-        self.share = np.log(counts / mass[self.bin]) if len(words) else np.zeros(0)
-        mass[bins] = max(tail_mass, 0.5)
-        mass[mass == 0] = 1e-3  # a bin without words keeps a negligible, proper probability
+        own = np.minimum(before * bins // max(1, counts.sum()), bins - 1).astype(np.int64) if n else np.zeros(0, np.int64)
+        mass = np.bincount(own, counts, bins + 1).astype(float)
+        members = np.bincount(own, minlength=bins)
+        first = np.cumsum(members) - members
+        place = np.arange(n) - first[own]
+        start = np.r_[0.0, np.cumsum(counts)][first]
+        by_mass = np.minimum((before - start[own]) * CLASSES // mass[own], CLASSES - 1).astype(np.int64) if n else own
+        slot = np.where(members[own] > CLASSES, by_mass, place)
+        in_slot = np.bincount(own * CLASSES + slot, counts, BINS * CLASSES).astype(float)
+        share = np.log(counts / in_slot[own * CLASSES + slot]) if n else np.zeros(0)
+        room = tails.sum(axis=1) + 1.0  # add-one within a slot of the tail, an unseen word included
+        in_slot[bins * CLASSES :] = tails[:, 0] + 0.5
+        mass[bins] = in_slot[bins * CLASSES :].sum()
+        mass[mass == 0] = 1e-3  # bins and slots without words keep a negligible, proper probability
+        in_slot = in_slot.reshape(BINS, CLASSES)
+        in_slot += (in_slot == 0) * (1e-6 * in_slot.sum(axis=1, keepdims=True) + 1e-9)
         by_class = mass.reshape(CLASSES, CLASSES)
         self.class_start = np.log(by_class.sum(1) / by_class.sum()).astype(np.float32)
         self.bin_start = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
+        self.slot_start = np.log(in_slot / in_slot.sum(1, keepdims=True)).astype(np.float32)
+        self.alone = np.r_[members < 2, False]  # bins of one word have no third factor
+        # For ids of the head, then for those that tail words share.
+        tail = np.arange(TAILS) % CLASSES
+        self.bin = np.r_[own, np.full(TAILS, bins)].astype(np.int32)
+        self.slot = np.r_[slot, tail].astype(np.int32)
+        self.share = np.r_[share, -np.log(room[tail])]
 
     def ids(self) -> "Ids":
         return Ids(self.words)
 
-    def bins_of(self, ids: np.ndarray) -> np.ndarray:
-        return self.bin_or_tail[np.minimum(ids, len(self.words))]
-
-    @property
-    def bin_or_tail(self) -> np.ndarray:
-        return np.r_[self.bin, CLASSES * CLASSES - 1]
-
 
 class Ids(dict):
     """Word to id; words outside the head share the ids above it by hash."""
@@ -100,32 +124,37 @@ class Ids(dict):
         return self.head + zlib.crc32(word) % TAILS
 
 
-def _mixed(*parts: np.ndarray | int) -> np.ndarray:
-    """Row numbers 1 to ROWS - 1 of hashed features; row 0 is no feature."""
+def _mixed(rows: int, *parts: np.ndarray | int) -> np.ndarray:
+    """Row numbers 0 to rows - 1 of hashed features."""
     h = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         for part in parts:
             h = (h ^ (np.asarray(part).astype(np.uint64) + np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9)
             h = h ^ (h >> np.uint64(29))
-    return (h % np.uint64(ROWS - 1)).astype(np.int64) + 1
+        return ((h >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
 
 
-def features(ids: np.ndarray, first: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class softmax and of the bin softmax for each token of concatenated texts.
-
-    ``first`` holds where texts begin; no feature looks beyond its text.
-    """
+def history(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The words one, two and three back of each token of concatenated texts; none looks beyond its text."""
     start = np.int64(1 << 40)
     place = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
     back = []
     for k in (1, 2, 3):
         shifted = np.r_[np.full(min(k, len(ids)), start), ids[:-k]] if len(ids) > k else np.full(len(ids), start)
         back.append(np.where(place >= k, shifted, start))
+    return back
+
+
+def features(which: int, rows: int, back: list[np.ndarray], group: np.ndarray) -> np.ndarray:
+    """Rows of the softmax of classes (0), bins (1) or slots (2); ``group`` is what the outcome lies in."""
     one, two, three = back
-    group = bins // CLASSES
-    classes = np.stack([_mixed(1, one), _mixed(2, one, two), _mixed(3, two), _mixed(6, three)], axis=1)
-    within = np.stack([_mixed(4, group, one), _mixed(5, group, two), _mixed(7, group), _mixed(8, group, one, two)], axis=1)
-    return classes, within
+    if which == 0:
+        parts = [(1, one), (2, one, two), (3, two), (6, three)]
+    elif which == 1:
+        parts = [(4, group, one), (5, group, two), (7, group), (8, group, one, two)]
+    else:
+        parts = [(9, group, one), (10, group)]
+    return np.stack([_mixed(rows, *p) for p in parts], axis=1)
 
 
 _ONES = np.ones(CLASSES, np.float32)
@@ -142,57 +171,79 @@ def _exponentials(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tu
     return logits, logits @ _ONES
 
 
-class Weights:
-    """Rows of both softmaxes.  Starting weights give each bin its share of the corpus."""
-
-    def __init__(self, classes: np.ndarray | None = None, within: np.ndarray | None = None):
-        self.classes = np.zeros((ROWS, CLASSES), np.float32) if classes is None else classes
-        self.within = np.zeros((ROWS, CLASSES), np.float32) if within is None else within
-
-    def token_logs(self, vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural logs of P(class) * P(bin | class) of each token."""
-        bins = vocabulary.bins_of(ids)
-        out = np.empty(len(ids))
-        rows_c, rows_w = features(ids, first, bins)
-        for at in range(0, len(ids), BATCH):
-            part = slice(at, at + BATCH)
-            b, n = bins[part], np.arange(len(bins[part]))
-            value, total = _exponentials(self.classes, rows_c[part], vocabulary.class_start)
-            out[part] = np.log(value[n, b // CLASSES].astype(float) / total)
-            value, total = _exponentials(self.within, rows_w[part], vocabulary.bin_start[b // CLASSES])
-            out[part] += np.log(value[n, b % CLASSES].astype(float) / total)
-        return out
+def factors(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For batches of tokens, each softmax with its tokens' places, feature rows, starting logits and outcomes."""
+    back = history(ids, first)
+    bins, slots = vocabulary.bin[ids], vocabulary.slot[ids]
+    for at in range(0, len(ids), BATCH):
+        part = slice(at, at + BATCH)
+        some, b = [x[part] for x in back], bins[part]
+        group = b // CLASSES
+        yield 0, part, features(0, vocabulary.rows, some, group), vocabulary.class_start, group
+        yield 1, part, features(1, vocabulary.rows, some, group), vocabulary.bin_start[group], b % CLASSES
+        open_ = np.flatnonzero(~vocabulary.alone[b])
+        if len(open_):
+            inner = b[open_]
+            yield 2, open_ + at, features(2, vocabulary.rows, [x[open_] for x in some], inner), vocabulary.slot_start[inner], slots[part][open_]
+
+
+def blank(rows: int) -> list[np.ndarray]:
+    """Starting weights of the three softmaxes: each word has its share of the corpus."""
+    return [np.zeros((rows, CLASSES), np.float32) for _ in range(3)]
+
+
+def token_logs(vocabulary: Vocabulary, weights: list[np.ndarray], ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural logs of the probability of each token's slot."""
+    out = np.zeros(len(ids))
+    for which, part, rows, bias, target in factors(vocabulary, ids, first):
+        value, total = _exponentials(weights[which], rows, bias)
+        out[part] += np.log(value[np.arange(len(rows)), target].astype(float) / total)
+    return out
+
+
+def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, sums, uses): the sum of values[i] for each row number in rows[i], in halvings of its list."""
+    flat, width = rows.ravel(), rows.shape[1]
+    order = np.argsort(flat.astype(np.uint16), kind="stable") if flat.max(initial=0) < 1 << 16 else np.argsort(flat)
+    sorted_rows = flat[order]
+    ends = np.flatnonzero(np.r_[sorted_rows[1:] != sorted_rows[:-1], True])
+    count = np.diff(np.r_[-1, ends])
+    first, token = ends - count + 1, order // width
+    sums, some = np.take(values, token[first], axis=0), np.flatnonzero(count > 1)
+    if len(some):
+        left = count[some]
+        start = np.cumsum(left) - left
+        lists = np.take(values, token[np.repeat(first[some] - start, left) + np.arange(left.sum())], axis=0)
+        live = start
+        while len(live):
+            half = (left + 1) // 2
+            moved = left - half
+            source = np.repeat(live + half - (np.cumsum(moved) - moved), moved) + np.arange(moved.sum())
+            lists[source - np.repeat(half, moved)] += lists[source]
+            live, left = live[half > 1], half[half > 1]
+        sums[some] = lists[start]
+    return sorted_rows[ends], sums, count
 
 
 class Trainer:
     """Minibatch AdaGrad, a step size for each weight, from given weights; counts the use of each row."""
 
-    def __init__(self, vocabulary: Vocabulary, weights: Weights, rate: float = RATE):
+    def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray], rate: float = RATE):
         self.vocabulary, self.start, self.rate = vocabulary, weights, rate
-        self.weights = [weights.classes.copy(), weights.within.copy()]
-        self.squares = [np.full(w.shape, 1e-2, np.float32) for w in self.weights]
-        self.used = [np.zeros(ROWS, np.int64) for _ in self.weights]
+        self.weights = [w.copy() for w in weights]
+        self.squares = [np.full(w.shape, 1e-2, np.float32) for w in weights]
+        self.used = [np.zeros(len(w), np.int64) for w in weights]
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
-        bins = self.vocabulary.bins_of(ids)
-        both = features(ids, first, bins)
-        group = bins // CLASSES
-        for at in range(0, len(ids), BATCH):
-            part = slice(at, at + BATCH)
-            self._step(0, both[0][part], self.vocabulary.class_start, group[part])
-            self._step(1, both[1][part], self.vocabulary.bin_start[group[part]], bins[part] % CLASSES)
+        for which, _, rows, bias, target in factors(self.vocabulary, ids, first):
+            self._step(which, rows, bias, target)
 
     def _step(self, which: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
         weights, squares = self.weights[which], self.squares[which]
         error, total = _exponentials(weights, rows, bias)
         error /= total[:, None]
         error[np.arange(len(rows)), target] -= 1
-        flat = rows.astype(np.uint16).ravel()
-        order = np.argsort(flat, kind="stable")
-        sorted_rows = flat[order]
-        ends = np.flatnonzero(np.r_[sorted_rows[1:] != sorted_rows[:-1], True])
-        touched, count = sorted_rows[ends].astype(np.int64), np.diff(np.r_[-1, ends])
-        gradient = np.add.reduceat(np.take(error, order // rows.shape[1], axis=0), ends - count + 1)
+        touched, gradient, count = row_sums(error, rows)
         square = np.take(squares, touched, axis=0)
         square += gradient * gradient
         squares[touched] = square
@@ -202,93 +253,137 @@ class Trainer:
         self.used[which][touched] += count
 
     def changes(self) -> Iterator[dict]:
-        """Chunks of rows: change times use, and use, as float32 bytes."""
-        size = ROWS // CHUNK
-        for which, (new, old, used) in enumerate(zip(self.weights, (self.start.classes, self.start.within), self.used, strict=True)):
-            for chunk in range(CHUNK):
-                part = slice(chunk * size, (chunk + 1) * size)
+        """Chunks of rows that were used: mean change in half precision, and use."""
+        for which, (new, old, used) in enumerate(zip(self.weights, self.start, self.used, strict=True)):
+            for chunk in range(-(-len(new) // CHUNK)):
+                part = slice(chunk * CHUNK, (chunk + 1) * CHUNK)
                 if used[part].any():
-                    weight = used[part].astype(np.float32)
-                    yield {"chunk": which * CHUNK + chunk, "change": ((new[part] - old[part]) * weight[:, None]).tobytes(), "used": weight.tobytes()}
-
-
-def _texts(batch: pa.RecordBatch, column: int, ids: Ids, most: int = 1 << 17) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Texts of a batch in portions: their places, tokens, ids in a row, and where each begins."""
-    places, tokens, flat, first = [], [], [], []
-    for place, raw in enumerate(as_bytes(batch.column(column))):
-        words = ascii_words(raw)
-        words.append(END)
-        first.append(len(flat))
-        places.append(place)
-        tokens.append(words)
-        flat += map(ids.__getitem__, words)
-        if len(flat) >= most:
-            yield places, tokens, np.array(flat, np.int64), np.array(first)
-            places, tokens, flat, first = [], [], [], []
-    if places:
-        yield places, tokens, np.array(flat, np.int64), np.array(first)
-
-
-def _added(batches: list[pa.RecordBatch] | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    size = ROWS // CHUNK
-    change, used = np.zeros((size, CLASSES)), np.zeros(size)
-    for c, u in zip(batches.column("change"), batches.column("used"), strict=True):
-        change += np.frombuffer(c.as_py(), np.float32).reshape(size, CLASSES)
-        used += np.frombuffer(u.as_py(), np.float32)
-    return change, used
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
-    """Weights after every text of ``docs(text, part)`` was used in the round ``part`` names."""
-    spark, weights, size = docs.sparkSession, Weights(), ROWS // CHUNK
-    shared = spark.sparkContext.broadcast((vocabulary.words, vocabulary.counts, vocabulary.total, vocabulary.distinct))  # at most HEAD words
-    name = uuid.uuid4().hex
+                    yield {"which": which, "chunk": chunk, "change": (new[part] - old[part]).astype(np.float16).tobytes(), "used": used[part].astype(np.float32).tobytes()}
+
+
+def _mean(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Mean change of a chunk's rows over tasks, weighed by use, and all use."""
+    total, use = 0.0, 0.0
+    for c, u in zip(table.column("change"), table.column("used"), strict=True):
+        used = np.frombuffer(u.as_py(), np.float32)
+        total = total + np.frombuffer(c.as_py(), np.float16).reshape(-1, CLASSES).astype(np.float32) * used[:, None]
+        use = use + used
+    return (total / np.maximum(use, 1)[:, None]).astype(np.float16), use
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, per_row: int = PER_ROW, least: int = LEAST) -> list[np.ndarray]:
+    """Weights after every text of the stored ``encoded(ids, part)`` was used in the round ``part`` names."""
+    spark, weights = encoded.sparkSession, blank(vocabulary.rows)
+    shared, name = spark.sparkContext.broadcast(_parts(vocabulary)), uuid.uuid4().hex  # at most HEAD words
+    tasks = max(1, round(vocabulary.total / rounds / max(least, per_row * vocabulary.rows)))
+    schema = pa.schema([("which", pa.int32()), ("chunk", pa.int32()), ("task", pa.int32()), ("change", pa.binary()), ("used", pa.binary())])
+    ddl = "which int, chunk int, task int, change binary, used binary"
     for number in range(rounds):
-        now = spark.sparkContext.broadcast((weights.classes, weights.within))  # fixed size
+        now = spark.sparkContext.broadcast(weights)  # three tables of rows_for(tokens) rows
 
         def run(it: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            own = kept(("lm", name), lambda: (lambda v: (v, v.ids()))(Vocabulary(*shared.value)))
-            trainer, task = Trainer(own[0], Weights(*now.value)), TaskContext.get().partitionId()
+            own = kept(("lm", name), lambda: Vocabulary(*shared.value))
+            trainer, task = Trainer(own, now.value), TaskContext.get().partitionId()
             for batch in it:
-                for _, _, ids, first in _texts(batch, 0, own[1]):
+                for _, ids, first in _portions(batch.column(0)):
                     trainer.learn(ids, first)
             for row in trainer.changes():
-                yield pa.RecordBatch.from_pylist([row | {"task": task // FAN}], schema=pa.schema([("chunk", pa.int32()), ("task", pa.int32()), ("change", pa.binary()), ("used", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([row | {"task": task // FAN}], schema=schema)
 
         def add(table: pa.Table) -> pa.Table:
-            change, used = _added(table)
-            return pa.table({"chunk": table["chunk"][:1], "task": pa.array([table["task"][0].as_py() // FAN], pa.int32()), "change": [change.astype(np.float32).tobytes()], "used": [used.astype(np.float32).tobytes()]})
-
-        ddl = "chunk int, task int, change binary, used binary"
-        moved = docs.filter(F.col("part") == number).select("text").mapInArrow(run, ddl)
-        for _ in range(3):  # sums of FAN at a time, so that no task holds the changes of all others
-            moved = moved.groupBy("chunk", "task").applyInArrow(add, ddl)
-        classes, within = weights.classes.copy(), weights.within.copy()
-        table = materialise(moved, "changes").groupBy("chunk").applyInArrow(add, ddl).toArrow()
-        for chunk, change, used in zip(table["chunk"].to_pylist(), table["change"], table["used"], strict=True):
-            value, weight = np.frombuffer(change.as_py(), np.float32).reshape(size, CLASSES), np.frombuffer(used.as_py(), np.float32)
-            target = (classes, within)[chunk // CHUNK]
-            target[chunk % CHUNK * size : (chunk % CHUNK + 1) * size] += value / np.maximum(weight, 1)[:, None]
-        weights = Weights(classes, within)
+            change, used = _mean(table)
+            return pa.table([table["which"][:1], table["chunk"][:1], pa.array([table["task"][0].as_py() // FAN], pa.int32()), [change.tobytes()], [used.astype(np.float32).tobytes()]], schema=schema)
+
+        moved = encoded.filter(F.col("part") == number).select("ids").coalesce(tasks).mapInArrow(run, ddl)
+        groups = -(-tasks // FAN)
+        while groups > 1:  # means of FAN at a time, so that no task holds the changes of all others
+            moved, groups = moved.groupBy("which", "chunk", "task").applyInArrow(add, ddl), -(-groups // FAN)
+        table = materialise(moved, "changes").groupBy("which", "chunk").applyInArrow(add, ddl).toArrow()
+        weights = [w.copy() for w in weights]
+        for which, chunk, change in zip(table["which"].to_pylist(), table["chunk"].to_pylist(), table["change"], strict=True):
+            weights[which][chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(change.as_py(), np.float16).reshape(-1, CLASSES)
+        now.destroy()
     return weights
 
 
+def _parts(v: Vocabulary) -> tuple:
+    return v.words, v.counts, v.total, v.distinct, v.tails
+
+
+def _portions(lists: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Stored ids of texts in portions: the number of texts, their ids in a row, and where each begins."""
+    held, size = [], 0
+    for value in lists:
+        held.append(np.frombuffer(value.as_py(), "<i4"))
+        size += len(held[-1])
+        if size >= most:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    sizes = np.array([len(h) for h in held])
+    return len(held), np.concatenate(held).astype(np.int64), np.cumsum(sizes) - sizes
+
+
 def head(vocabulary: DataFrame, most: int = HEAD) -> Vocabulary:
     """The words with the largest counts, all words of a count level or none, at most ``most``."""
-    level = F.floor(F.log("c") * 32)
+    level = F.when(F.length("token") <= LONGEST, F.floor(F.log("c") * 32)).otherwise(-1)
     levels = vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()  # under 1500 levels of 64-bit counts
     taken, least = 0, None
     for row in levels:
-        if taken + row.n > most:
+        if taken + row.n > most or row.level < 0:
             break
         taken, least = taken + row.n, row.level
     total, distinct = sum(r.c for r in levels), sum(r.n for r in levels)
-    rows = vocabulary.filter(level >= least).toArrow() if least is not None else None
-    if rows is None:
-        return Vocabulary([], np.zeros(0, np.int64), total, distinct)
-    words, counts = rows["token"].to_pylist(), rows["c"].to_numpy()
-    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-    return Vocabulary([words[i] for i in order], counts[order], total, distinct)
+    tails = np.zeros((CLASSES, 2), np.int64)
+    slots = vocabulary.filter(level < least) if least is not None else vocabulary
+    for slot, c, n in slots.groupBy(F.crc32("token") % CLASSES).agg(F.sum("c"), F.count("*")).collect():  # a row for each slot
+        tails[slot] = c, n
+    words, counts = [], np.zeros(0, np.int64)
+    if least is not None:
+        rows = vocabulary.filter(level >= least).toArrow()
+        words, counts = rows["token"].to_pylist(), rows["c"].to_numpy()
+        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+        words, counts = [words[i] for i in order], counts[order]
+    return Vocabulary(words, counts, total, distinct, tails)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs(doc_id, text, held_out, part)`` with text as ids, written down once.
+
+    Columns key, doc_id, held_out, part, n_tokens, n_head, base_head, ids, tails, times: the last two
+    are the words outside the head and how often the text has them.
+    """
+    shared, name = docs.sparkSession.sparkContext.broadcast(_parts(vocabulary)), uuid.uuid4().hex  # at most HEAD words
+    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base_head", pa.float64()), ("ids", pa.binary()), ("tails", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
+    schema = pa.schema(fields)
+
+    def make():
+        words, counts, *_ = shared.value
+        return Ids(words), np.log10(counts + 1.0)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, base = kept(("lm", name), make)
+        key, size = TaskContext.get().partitionId() << 40, len(base)
+        for batch in it:
+            columns = [[] for _ in fields]
+            for raw, doc_id, held, part in zip(as_bytes(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = ascii_words(raw)
+                words.append(END)
+                ids = np.fromiter(map(ids_of.__getitem__, words), "<i4", len(words))
+                out = np.flatnonzero(ids >= size)
+                rest = Counter([words[i] for i in out.tolist()])
+                row = (key, doc_id, held, part, len(words), len(words) - len(out), base[ids[ids < size]].sum(), ids.tobytes(), list(rest.keys()), list(rest.values()))
+                key += 1
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
+
+    ddl = "key long, doc_id long, held_out boolean, part long, n_tokens long, n_head long, base_head double, ids binary, tails array<binary>, times array<int>"
+    return materialise(docs.select("doc_id", "text", "held_out", "part").mapInArrow(run, ddl), "encoded")
 
 
 def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, most: int = HEAD) -> DataFrame:
@@ -302,49 +397,26 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, most: int = H
     """
     held = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
-    teaching = rows.filter(~F.col("held_out"))
-    counted = materialise(count_tokens(teaching), "vocabulary")
+    counted = materialise(count_tokens(rows.filter(~F.col("held_out"))), "vocabulary")
     vocabulary = head(counted, most)
-    weights = train(teaching.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("part")), vocabulary, rounds)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary.words, vocabulary.counts, vocabulary.total, vocabulary.distinct, weights.classes, weights.within))
-    name = uuid.uuid4().hex
-    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base_head", pa.float64()), ("logs", pa.float64()), ("tails", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
-    schema = pa.schema(fields)
-
-    def make():
-        *parts, classes, within = shared.value
-        v = Vocabulary(*parts)
-        return v, v.ids(), Weights(classes, within), np.log10(v.counts + 1.0)
+    encoded = encode(rows.withColumn("part", F.when(~F.col("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)))), vocabulary)
+    weights = train(encoded, vocabulary, rounds)
+    shared, name = docs.sparkSession.sparkContext.broadcast((_parts(vocabulary), weights)), uuid.uuid4().hex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, ids_of, w, base = kept(("lm", name), make)
-        key, size = TaskContext.get().partitionId() << 40, len(v.words)
+        v, w = kept(("lm", name), lambda: (Vocabulary(*shared.value[0]), shared.value[1]))
         for batch in it:
-            doc_ids, helds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for places, tokens, ids, first in _texts(batch, 1, ids_of):
-                logs, own = w.token_logs(v, ids, first), ids < size
-                logs[own] += v.share[ids[own]]
-                unigram = np.zeros(len(ids))
-                unigram[own] = base[ids[own]]
-                sums, bases, known = np.add.reduceat(logs, first), np.add.reduceat(unigram, first), np.add.reduceat(own.astype(np.int64), first)
-                ends = np.r_[first[1:], len(ids)]
-                out = []
-                for k, place in enumerate(places):
-                    words = tokens[k]
-                    rest = Counter([words[i] for i in np.flatnonzero(~own[first[k] : ends[k]]).tolist()])
-                    out.append((key, doc_ids[place], helds[place], len(words), int(known[k]), bases[k], sums[k], list(rest.keys()), list(rest.values())))
-                    key += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
-
-    ddl = "key long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, logs double, tails array<binary>, times array<int>"
-    scored = materialise(rows.select("doc_id", "text", "held_out").mapInArrow(run, ddl), "scored")
+            sums = [np.zeros(0)]
+            for _, ids, first in _portions(batch.column(batch.schema.get_field_index("ids"))):
+                sums.append(np.add.reduceat(token_logs(v, w, ids, first) + v.share[ids], first))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sums))], names=[*batch.schema.names[:-1], "logs"])
+
+    ddl = "key long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, logs double"
+    scored = encoded.select("key", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "ids").mapInArrow(run, ddl)
     # Words outside the head, once for each text, meet the counts by a plain shuffle.
-    tails = scored.select("key", F.explode(F.arrays_zip("tails", "times")).alias("t")).select("key", F.col("t.tails").alias("token"), F.col("t.times").alias("times"))
+    tails = encoded.select("key", F.explode(F.arrays_zip("tails", "times")).alias("t")).select("key", F.col("t.tails").alias("token"), F.col("t.times").alias("times"))
     found = tails.join(counted, "token").groupBy("key").agg(F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_tail"))
-    whole = scored.drop("tails", "times").join(found, "key", "left").withColumn("log_tail", F.coalesce("log_tail", F.lit(0.0))).withColumn("n_tail", F.coalesce("n_tail", F.lit(0)))
+    whole = scored.join(found, "key", "left").withColumn("log_tail", F.coalesce("log_tail", F.lit(0.0))).withColumn("n_tail", F.coalesce("n_tail", F.lit(0)))
     room = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
-    tail_room = float(np.log10(vocabulary.tail_room))
-    ten = float(np.log(10))
-    model = F.col("logs") / ten + F.col("log_tail") - (F.col("n_tokens") - F.col("n_head")) * tail_room if vocabulary.total else F.lit(0.0)
+    model = F.col("logs") / float(np.log(10)) + F.col("log_tail") if vocabulary.total else F.lit(0.0)
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.col("n_tail")).cast("long").alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base_head") + F.col("log_tail") - F.col("n_tokens") * room).alias("base_score"), model.alias("score"))

@@ -164,40 +164,97 @@ def test_lm_base_is_exact_and_model_beats_it(spark, most):
     assert sum(r.score for r in kept) > sum(r.base_score for r in kept) * 0.995
 
 
-def test_lm_probabilities_add_up_to_one():
-    words = [f"w{i}".encode() for i in range(300)]
-    counts = np.array([1000 // (i + 1) + 1 for i in range(300)])
-    v = lm.Vocabulary(words, counts, int(counts.sum()) + 40, 320)
+def small_vocabulary(n=300, tail=(40, 20)):
+    words = [f"w{i}".encode() for i in range(n)]
+    counts = np.array([1000 // (i + 1) + 1 for i in range(n)])
+    tails = np.zeros((lm.CLASSES, 2), np.int64)
+    tails[0] = tail
+    return lm.Vocabulary(words, counts, int(counts.sum()) + tail[0], n + tail[1], tails)
+
+
+@pytest.mark.parametrize("n", [300, 40_000])
+def test_lm_probabilities_add_up_to_one(n):
+    v = small_vocabulary(n)
     rng = np.random.default_rng(0)
-    w = lm.Weights(rng.standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32), rng.standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32))
+    weights = [rng.standard_normal((v.rows, lm.CLASSES)).astype(np.float32) for _ in range(3)]
     history = [5, 250, 17]
-    ids = np.array([x for last in range(301) for x in (*history, last)])
-    logs = w.token_logs(v, ids, np.arange(0, len(ids), 4))[3::4]
-    inside = np.exp(logs[:300] + v.share).sum()
-    empty = [b for b in range(lm.CLASSES**2 - 1) if not (v.bin == b).any()]
+    last = [*range(n), *range(n, n + lm.CLASSES)]  # the head, and one id for each slot of the tail
+    ids = np.array([x for word in last for x in (*history, word)])
+    logs = lm.token_logs(v, weights, ids, np.arange(0, len(ids), 4))[3::4]
+    inside = np.exp(logs[:n] + v.share[:n]).sum()
+    tail = np.exp(logs[n:]).sum()  # shares within a slot of the tail, an unseen word included, add up to 1
+    back = [x[3:4] for x in lm.history(ids[:4], np.array([0]))]
     idle = 0.0
-    for b in empty:  # bins without words keep a negligible share
-        classes, within = lm.features(ids[:4], np.array([0]), np.full(4, b))
-        one, all_one = lm._exponentials(w.classes, classes[3:], v.class_start)
-        two, all_two = lm._exponentials(w.within, within[3:], v.bin_start[[b // 32]])
-        idle += float(one[0, b // 32] / all_one[0] * two[0, b % 32] / all_two[0])
-    assert abs(inside + np.exp(logs[300]) + idle - 1) < 1e-4
+    one, all_one = lm._exponentials(weights[0], lm.features(0, v.rows, back, np.array([0])), v.class_start)
+    taken = set(zip(v.bin.tolist(), v.slot.tolist()))
+    for b in range(lm.BINS):  # bins and slots without words keep a negligible share
+        c = np.array([b // 32])
+        two, all_two = lm._exponentials(weights[1], lm.features(1, v.rows, back, c), v.bin_start[c])
+        three, all_three = lm._exponentials(weights[2], lm.features(2, v.rows, back, np.array([b])), v.slot_start[[b]])
+        p = float(one[0, b // 32] / all_one[0] * two[0, b % 32] / all_two[0])
+        empty = [s for s in range(32) if (b, s) not in taken]
+        idle += p if len(empty) == 32 else 0.0 if v.alone[b] else p * float(three[0, empty].sum() / all_three[0])
+    assert abs(inside + tail + idle - 1) < 1e-3 and idle < 0.05
 
 
 def test_lm_has_all_its_features_and_a_step_size_for_each_weight():
-    rows = lambda *history, b=40: [r[3] for r in lm.features(np.array([*history, 9]), np.array([0]), np.full(4, b))]
+    def rows(*history, group=40):
+        back = [x[3:] for x in lm.history(np.array([*history, 9]), np.array([0]))]
+        return [lm.features(which, 1 << 16, back, np.array([group]))[0] for which in range(3)]
+
     base = rows(1, 2, 3)
     moved = lambda *history: [(a != b).tolist() for a, b in zip(base, rows(*history))]
-    # columns of classes: previous, previous two, two back, three back; of bins: previous, two back, class alone, previous two
-    assert moved(5, 2, 3) == [[False, False, False, True], [False] * 4]
-    assert moved(1, 5, 3) == [[False, True, True, False], [False, True, False, True]]
-    assert moved(1, 2, 5) == [[True, True, False, False], [True, False, False, True]]
-    v = lm.Vocabulary([f"w{i}".encode() for i in range(300)], np.arange(300, 0, -1), 46000, 300)
-    trainer = lm.Trainer(v, lm.Weights())
-    trainer.learn(np.arange(200) % 7, np.array([0]))
+    # columns of classes: previous, previous two, two back, three back; of bins: previous, two back, class alone, previous two; of slots: previous, bin alone
+    assert moved(5, 2, 3) == [[False, False, False, True], [False] * 4, [False] * 2]
+    assert moved(1, 5, 3) == [[False, True, True, False], [False, True, False, True], [False, False]]
+    assert moved(1, 2, 5) == [[True, True, False, False], [True, False, False, True], [True, False]]
+    assert all((a != b).all() for a, b in list(zip(base, rows(1, 2, 3, group=41)))[1:])
+    v = small_vocabulary(40_000)
+    trainer = lm.Trainer(v, lm.blank(v.rows))
+    trainer.learn(np.arange(2000) * 17 % 39_000, np.array([0]))
     assert all(len(np.unique(q[u.argmax()])) > 1 for q, u in zip(trainer.squares, trainer.used))
 
 
+def test_lm_row_sums():
+    rng = np.random.default_rng(1)
+    for top in (3, 50, 1 << 17):
+        rows, values = rng.integers(0, top, (500, 4)), rng.standard_normal((500, 32)).astype(np.float32)
+        touched, sums, count = lm.row_sums(values, rows)
+        expect = np.zeros((top, 32))
+        np.add.at(expect, rows.ravel(), np.repeat(values, 4, axis=0))
+        assert touched.tolist() == np.unique(rows).tolist() and count.tolist() == np.bincount(rows.ravel())[touched].tolist()
+        assert np.allclose(sums, expect[touched], atol=1e-3)
+
+
+def test_lm_learns_words_from_history():
+    """Pairs of words that share a bin are told apart by the word before."""
+    v = small_vocabulary(5000)
+    rng = np.random.default_rng(2)
+    first = rng.integers(1000, 1010, 20_000)
+    ids = np.stack([first, first + 2000], axis=1).ravel()
+    trainer = lm.Trainer(v, lm.blank(v.rows))
+    starts = np.arange(0, len(ids), 2)
+    for at in range(0, len(ids), 8000):
+        trainer.learn(ids[at : at + 8000], np.arange(0, 8000, 2))
+    logs = lm.token_logs(v, trainer.weights, ids, starts) + v.share[ids]
+    before = lm.token_logs(v, lm.blank(v.rows), ids, starts) + v.share[ids]
+    assert logs[1::2].mean() > before[1::2].mean() + 3 and before[1::2].mean() < -6
+
+
+def test_lm_gain_does_not_depend_on_partitions(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    gains = []
+    for parts in (1, 64):
+        row = lm.score(docs.repartition(parts), held).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gains.append((row[0] - row[1]) / row[2])
+    assert gains[0] > 0.1 and abs(gains[0] - gains[1]) < 0.05 * gains[0], gains
+
+
+def test_lm_model_grows_with_the_corpus():
+    assert lm.rows_for(10**6) < lm.rows_for(10**9) < lm.rows_for(10**10)
+
+
 def test_lm_without_training_rows_and_without_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     got = lm.score(df, F.lit(True)).collect()
