@@ -19,16 +19,16 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_words, kept, materialise
+from .common import kept, materialise
 
 END = b"\n"  # no word holds a line break
 CLASSES = 32  # as many bins in each, and as many slots in a bin
@@ -42,7 +42,7 @@ ROWS, FEWEST, MOST = 4, 1 << 16, 1 << 20
 #: Tokens that a training task takes for each weight row, and least tokens for a task.
 PER_ROW, LEAST = 64, 1 << 21
 CHUNK, FAN = 1024, 32  # weight rows travel so many at a time; changes are added so many at a time
-FLUSH = 200_000
+SLICE = 1 << 25  # bytes of text that are split into words at a time
 
 
 def rows_for(tokens: int) -> int:
@@ -50,22 +50,33 @@ def rows_for(tokens: int) -> int:
     return int(min(MOST, max(FEWEST, ROWS * tokens**0.5)))
 
 
+def split_words(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Texts in slices of bounded size: where a slice begins, its words in a row (binary), and how many each text has.
+
+    A-Z are lower-cased and words are what stands between ASCII white space; a null is empty.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, end - at), "")))
+        flat = lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)  # edges of a text give empty words
+        before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        yield at, flat.filter(full).cast(pa.binary()), before[offsets[1:]] - before[offsets[:-1]]
+        at = end
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token binary, c): occurrences in ``docs(text)``, each text followed by END."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in it:
-            seen[END] += batch.num_rows
-            for raw in as_bytes(batch.column(0)):
-                seen.update(ascii_words(raw))
-                if len(seen) > FLUSH:
-                    yield tallied(seen)
-                    seen.clear()
-        yield tallied(seen)
-
-    def tallied(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["token", "c"])
+            for _, words, _ in split_words(batch.column(0)):
+                tally = words.value_counts()
+                yield pa.RecordBatch.from_arrays([tally.field(0), tally.field(1)], names=["token", "c"])
 
     partial = docs.select(F.col("text").cast("string")).mapInArrow(run, "token binary, c long")
     return partial.groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
@@ -109,68 +120,76 @@ class Vocabulary:
         self.slot = np.r_[slot, tail].astype(np.int32)
         self.share = np.r_[share, -np.log(room[tail])]
 
-    def ids(self) -> "Ids":
-        return Ids(self.words)
 
+_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
-class Ids(dict):
-    """Word to id; words outside the head share the ids above it by hash."""
 
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.head = len(words)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.head + zlib.crc32(word) % TAILS
-
-
-def _mixed(rows: int, *parts: np.ndarray | int) -> np.ndarray:
-    """Row numbers 0 to rows - 1 of hashed features."""
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of the parts, the last one last."""
     h = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         for part in parts:
-            h = (h ^ (np.asarray(part).astype(np.uint64) + np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (np.asarray(part).astype(np.uint64) + np.uint64(1))) * _SPREAD
             h = h ^ (h >> np.uint64(29))
-        return ((h >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
+    return h
+
+
+#: A hash of each feature of a softmax together with what the outcome lies in.
+_WITHIN = {kind: _mixed(kind, np.arange(BINS)) for kind in range(1, 11)}
 
 
 def history(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The words one, two and three back of each token of concatenated texts; none looks beyond its text."""
+    """Hashes of the word before each token of concatenated texts, of the second and of the third word back, and of the two words before.
+
+    None looks beyond its text.
+    """
     start = np.int64(1 << 40)
     place = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
     back = []
     for k in (1, 2, 3):
         shifted = np.r_[np.full(min(k, len(ids)), start), ids[:-k]] if len(ids) > k else np.full(len(ids), start)
         back.append(np.where(place >= k, shifted, start))
-    return back
+    one, two, three = back
+    return [_mixed(1, one), _mixed(2, two), _mixed(3, three), _mixed(1, one, two)]
 
 
 def features(which: int, rows: int, back: list[np.ndarray], group: np.ndarray) -> np.ndarray:
-    """Rows of the softmax of classes (0), bins (1) or slots (2); ``group`` is what the outcome lies in."""
-    one, two, three = back
+    """Rows, from 0 to rows - 1, of the softmax of classes (0), bins (1) or slots (2); ``group`` is what the outcome lies in."""
+    one, two, three, both = back
     if which == 0:
-        parts = [(1, one), (2, one, two), (3, two), (6, three)]
+        hashes = [one, both, two, three]
     elif which == 1:
-        parts = [(4, group, one), (5, group, two), (7, group), (8, group, one, two)]
+        hashes = [one ^ _WITHIN[4][group], two ^ _WITHIN[5][group], _WITHIN[7][group], both ^ _WITHIN[8][group]]
     else:
-        parts = [(9, group, one), (10, group)]
-    return np.stack([_mixed(rows, *p) for p in parts], axis=1)
+        hashes = [one ^ _WITHIN[9][group], _WITHIN[10][group]]
+    found = np.empty((len(one), len(hashes)), np.int64)
+    for k, h in enumerate(hashes):
+        h = h * _SPREAD >> np.uint64(32)
+        h *= np.uint64(rows)
+        np.right_shift(h, np.uint64(32), out=found[:, k], casting="unsafe")
+    return found
 
 
 _ONES = np.ones(CLASSES, np.float32)
 
 
-def _exponentials(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exponentials(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Unnormalised probabilities of all outcomes and their sums; logits are kept within float32's range."""
     logits = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         logits += np.take(weights, rows[:, k], axis=0)
     logits += bias
-    np.clip(logits, -80, 60, out=logits)
+    if wide:
+        np.clip(logits, -80, 60, out=logits)
     np.exp(logits, out=logits)
     return logits, logits @ _ONES
 
 
+def is_wide(weights: np.ndarray, more: float = 0.0) -> bool:
+    """Whether sums of weights that may yet grow by ``more`` can leave the range in which float32's exponential is safe."""
+    return 4 * (float(np.abs(weights).max(initial=0)) + more) > 45  # starting logits are from -35 to 0
+
+
 def factors(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For batches of tokens, each softmax with its tokens' places, feature rows, starting logits and outcomes."""
     back = history(ids, first)
@@ -194,9 +213,9 @@ def blank(rows: int) -> list[np.ndarray]:
 
 def token_logs(vocabulary: Vocabulary, weights: list[np.ndarray], ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural logs of the probability of each token's slot."""
-    out = np.zeros(len(ids))
+    out, wide = np.zeros(len(ids)), [is_wide(w) for w in weights]
     for which, part, rows, bias, target in factors(vocabulary, ids, first):
-        value, total = _exponentials(weights[which], rows, bias)
+        value, total = _exponentials(weights[which], rows, bias, wide[which])
         out[part] += np.log(value[np.arange(len(rows)), target].astype(float) / total)
     return out
 
@@ -235,13 +254,14 @@ class Trainer:
         self.used = [np.zeros(len(w), np.int64) for w in weights]
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
+        wide = [is_wide(w, 2 * self.rate * (len(ids) / BATCH + 1) ** 0.5) for w in self.weights]  # as far as AdaGrad can move a weight
         for which, _, rows, bias, target in factors(self.vocabulary, ids, first):
-            self._step(which, rows, bias, target)
+            self._step(which, rows, bias, target, wide[which])
 
-    def _step(self, which: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
+    def _step(self, which: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, wide: bool) -> None:
         weights, squares = self.weights[which], self.squares[which]
-        error, total = _exponentials(weights, rows, bias)
-        error /= total[:, None]
+        error, total = _exponentials(weights, rows, bias, wide)
+        error *= (1 / total)[:, None]
         error[np.arange(len(rows)), target] -= 1
         touched, gradient, count = row_sums(error, rows)
         square = np.take(squares, touched, axis=0)
@@ -357,35 +377,56 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Columns key, doc_id, held_out, part, n_tokens, n_head, base_head, ids, tails, times: the last two
     are the words outside the head and how often the text has them.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(_parts(vocabulary)), uuid.uuid4().hex  # at most HEAD words
-    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base_head", pa.float64()), ("ids", pa.binary()), ("tails", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
-    schema = pa.schema(fields)
+    shared, name = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.counts)), uuid.uuid4().hex  # at most HEAD words
 
     def make():
-        words, counts, *_ = shared.value
-        return Ids(words), np.log10(counts + 1.0)
+        words, counts = shared.value
+        return pa.array(words, pa.binary()), np.r_[np.log10(counts + 1.0), np.zeros(TAILS)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, base = kept(("lm", name), make)
-        key, size = TaskContext.get().partitionId() << 40, len(base)
+        words, base = kept(("lm", name), make)
+        key = TaskContext.get().partitionId() << 40
         for batch in it:
-            columns = [[] for _ in fields]
-            for raw, doc_id, held, part in zip(as_bytes(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = ascii_words(raw)
-                words.append(END)
-                ids = np.fromiter(map(ids_of.__getitem__, words), "<i4", len(words))
-                out = np.flatnonzero(ids >= size)
-                rest = Counter([words[i] for i in out.tolist()])
-                row = (key, doc_id, held, part, len(words), len(words) - len(out), base[ids[ids < size]].sum(), ids.tobytes(), list(rest.keys()), list(rest.values()))
-                key += 1
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
-
+            for at, flat, sizes in split_words(batch.column(1)):
+                n = len(sizes)
+                ids, n_head, tails, times = coded(flat, sizes, words)
+                start = np.cumsum(sizes + 1) - sizes - 1
+                keys = pa.array(np.arange(key, key + n))
+                key += n
+                data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * np.r_[start, len(ids)]).astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
+                sums = pa.array(np.add.reduceat(base[ids], start))
+                yield pa.RecordBatch.from_arrays([keys, *(batch.column(c).slice(at, n) for c in (0, 2, 3)), pa.array(sizes + 1), pa.array(n_head), sums, data, tails, times], names=names)
+
+    names = ["key", "doc_id", "held_out", "part", "n_tokens", "n_head", "base_head", "ids", "tails", "times"]
     ddl = "key long, doc_id long, held_out boolean, part long, n_tokens long, n_head long, base_head double, ids binary, tails array<binary>, times array<int>"
     return materialise(docs.select("doc_id", "text", "held_out", "part").mapInArrow(run, ddl), "encoded")
 
 
+def coded(flat: pa.Array, sizes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of texts' words in a row: ids with an END after each text, tokens of the head, words outside it, and their counts."""
+    head, n = len(words), len(sizes)
+    ids = pc.fill_null(pc.index_in(flat, words), -1).to_numpy(zero_copy_only=False).astype("<i4")
+    text = np.repeat(np.arange(n), sizes)
+    out = np.flatnonzero(ids < 0)
+    rare = flat.take(pa.array(out)).dictionary_encode()
+    code, names = rare.indices.to_numpy(zero_copy_only=False), rare.dictionary
+    ids[out] = np.array([head + zlib.crc32(w) % TAILS for w in names.to_pylist()], "<i4")[code]
+    end = pc.index_in(pa.array([END], pa.binary()), words)[0].as_py()
+    whole = np.full(len(ids) + n, head + zlib.crc32(END) % TAILS if end is None else end, "<i4")
+    whole[np.arange(len(ids)) + text] = ids
+    pairs, times = np.unique(text[out] * np.int64(max(1, len(names))) + code, return_counts=True)
+    if end is None:  # a head too small for END
+        pairs, names, times = pairs + pairs // max(1, len(names)), pa.concat_arrays([names, pa.array([END], pa.binary())]), times
+        pairs = np.r_[pairs, np.arange(n) * len(names) + len(names) - 1]
+        order = np.argsort(pairs)
+        pairs, times = pairs[order], np.r_[times, np.ones(n, times.dtype)][order]
+    of = pairs // max(1, len(names))
+    offsets = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, names.take(pa.array(pairs % max(1, len(names))))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+    n_head = sizes + (end is not None) - np.bincount(text[out], minlength=n)
+    return whole, n_head, *lists
+
+
 def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, most: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``.
 
