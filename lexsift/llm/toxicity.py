@@ -9,7 +9,7 @@ average is linear, a trained model scores a word once: documents are means of wo
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_words, id_remainder, kept
+from .common import as_bytes, ascii_words, id_remainder, kept, materialise
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 STORED, KNOWN = 4096, 30_000
@@ -30,6 +30,10 @@ GAIN = 10.0
 SHRINK = 10
 #: Labelled documents the classifier is fitted on at most.
 SAMPLE = 8000
+#: Bytes of their bags at most.
+MOST = 1 << 28
+#: Score of all texts where no label says that one is clean, so that nothing can be told apart.
+UNKNOWN = 0.05
 CUT = 0.3
 EDGES = b".,;:!?\"'()[]{}<>*#&%$|/\\-_~`=+"
 
@@ -95,15 +99,12 @@ class Model:
         self.bias = np.zeros(2, np.float32)
         self.rarity = np.zeros(BUCKETS, np.float32)
 
-    def fit(self, docs: Iterable[list[bytes]], labels: np.ndarray, epochs: int = 4, rate: float = 0.5) -> "Model":
-        """Learn from texts and their labels, 0 or 1; without both labels only the bias is learnt."""
-        toxic = (labels.sum() + 0.5) / (len(labels) + 1.0)
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 4, rate: float = 0.5) -> "Model":
+        """Learn from bags of texts and their labels, 0 or 1; without both labels only the bias is learnt."""
+        toxic = (labels.sum() + 0.5) / (len(labels) + 1.0) if (labels == 0).any() else UNKNOWN
         self.bias = np.log(np.array([1 - toxic, toxic], np.float32))
         if not len(labels) or labels.min() == labels.max():
             return self
-        known: dict[bytes, np.ndarray] = {}
-        bags = [bag(words, known) for words in docs]  # texts may come one by one
-        del known
         seen = np.zeros(BUCKETS, np.int64)
         for buckets, _ in bags:
             seen[buckets] += 1
@@ -164,19 +165,37 @@ class Scorer:
         return self.bias + total / (number + SHRINK)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
     """Fit on at most ``sample`` labelled documents, the first by a hash of their id.
 
     ``labels(doc_id, toxic)``; several labels of a document count as toxic if one does; null
-    labels are no labels.  Whole texts are used.  Without labels the model scores 0.5 at most
-    by its bias, the rate of toxic labels.
+    labels are no labels.  Of a repeated doc_id one row is used.  Whole texts are used, but as bags of
+    buckets that executors make; of those the driver takes the first that fill ``most`` bytes.
+    Unless labels of both kinds are found, all texts score alike: the rate of toxic labels, and UNKNOWN where
+    there is none that is not toxic.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    place = F.xxhash64("doc_id")
+    chosen = named.orderBy(place, "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "toxic").toArrow()
-    toxic = np.array(rows.column(1).to_pylist(), int)
-    return Model().fit((ascii_words(t) for chunk in rows.column(0).chunks for t in as_bytes(chunk)), toxic)
+    single = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.xxhash64("text")).alias("text"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+        for batch in it:
+            made = [bag(ascii_words(t), known) for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.astype("<u2").tobytes() for b, _ in made], pa.binary()), pa.array([x.astype("<f2").tobytes() for _, x in made], pa.binary())], names=["place", "toxic", "buckets", "shares"])
+
+    bags = materialise(single.select(place.alias("place"), "toxic", "text").mapInArrow(run, "place long, toxic int, buckets binary, shares binary"), "bags")
+    total, last = 0, None
+    for at, size in sorted(bags.select("place", F.length("buckets")).collect()):  # at most ``sample`` numbers
+        total += 2 * size
+        if total > most:
+            break
+        last = at
+    rows = bags.filter(F.col("place") <= last if last is not None else F.lit(False)).toArrow().sort_by("place")
+    pairs = [(np.frombuffer(b.as_py(), "<u2"), np.frombuffer(x.as_py(), "<f2")) for b, x in zip(rows["buckets"], rows["shares"], strict=True)]
+    return Model().fit(pairs, np.array(rows["toxic"].to_pylist(), int))
 
 
 def _chances(texts: pa.Array, table: np.ndarray, bias: float, token: int) -> np.ndarray:
@@ -207,6 +226,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     Learns from labels of documents whose crc32(doc_id as text) mod 4 is not 2, and from their
     texts only.  Null ids count as the empty text there.  Null and empty texts get the bias.
+    Without labels of both kinds all texts score alike, below the cut unless toxic labels are common (see ``train``).
     Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
     """
     held = id_remainder("doc_id", 4) == 2

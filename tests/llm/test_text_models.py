@@ -105,7 +105,7 @@ def test_misspellings_share_vectors():
     labels = np.array([k % 5 == 0 for k in range(400)], int)
     for k in range(0, 400, 5):
         docs[k][3] = docs[k][9] = (b"worthless", b"disgusting")[k % 2]
-    scorer = toxicity.Model().fit(docs, labels).scorer()
+    scorer = toxicity.Model().fit([toxicity.bag(d, {}) for d in docs], labels).scorer()
     clean, bad, odd = (scorer([*plain[:26], w, w, w, w]) for w in (b"erle", b"worthless", b"worthles,"))
     assert bad > 0 > clean and odd > clean + (bad - clean) / 3
     assert scorer([]) == scorer.bias
@@ -118,14 +118,14 @@ def test_all_of_a_long_word_is_scored():
     labels = np.array([k % 5 == 0 for k in range(400)], int)
     for k in range(0, 400, 5):
         docs[k][3] = docs[k][9] = b"worthless"
-    scorer = toxicity.Model().fit(docs, labels).scorer()
+    scorer = toxicity.Model().fit([toxicity.bag(d, {}) for d in docs], labels).scorer()
     for mark in ("_", "-", "\u00a0", "."):
         clean, bad = (mark.join([*(w.decode() for w in plain[:26]), *[w] * 6]).encode() for w in ("erle", "worthless"))
         assert scorer([bad]) > 0 > scorer([clean]) and scorer([bad, b"le"]) > scorer([clean, b"le"])
         one, two = (dict(zip(*toxicity.bag([w], {}))) for w in (bad, clean))
         assert one != two
     joined = [["_".join(w.decode() for w in d).encode()] for d in docs]
-    learnt = toxicity.Model().fit(joined, labels).scorer()
+    learnt = toxicity.Model().fit([toxicity.bag(d, {}) for d in joined], labels).scorer()
     assert np.mean([learnt(d) for d, t in zip(joined, labels) if t]) > np.mean([learnt(d) for d, t in zip(joined, labels) if not t]) + 1
 
 
@@ -135,11 +135,24 @@ def test_toxicity_edge_rows(spark):
     got = toxicity.judge(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.judge(docs.limit(0), labels.limit(0)).count() == 0
-    assert toxicity.judge(docs, labels.limit(0)).count() == 4
+    for few in (labels.limit(0), labels.filter("toxic is null"), labels.selectExpr("doc_id", "1 as toxic")):
+        assert [r.predicted for r in toxicity.judge(docs, few).collect()] == [0] * 4  # nothing says what is clean
+        assert toxicity.drop_toxic(docs, few).count() == 4
     kept = toxicity.drop_toxic(docs, labels, cut=2.0)
     assert kept.columns == docs.columns and kept.count() == 4
 
 
+def test_toxicity_samples_documents_within_its_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good words")] * 50 + [(i, f"more words {i}") for i in range(2, 10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, bags, toxic: seen.append((len(bags), toxic.sum())) or self)
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, sample=4)
+    toxicity.train(docs, labels, most=300)
+    assert seen[0] == (9, 5) and seen[1][0] == 4 and 0 < seen[2][0] < 9
+
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
