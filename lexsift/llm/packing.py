@@ -66,15 +66,16 @@ class WordIds:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not yet known, and of their parts.
 
-        Marks at a word's end are a token run of their own.  Words are known by their lower case,
-        which the tokenizer takes anyway; only in scripts where the two surely agree.
+        Marks at a word's end are a token run of their own, if a letter or digit is before them also in
+        lower case.  Words are known by their lower case, which the tokenizer takes anyway; only in
+        scripts where the two surely agree.
         """
         known, split, plain = self.known, {}, set()
         for word in words:
             core = word.rstrip(MARKS)
             if core and core[-1].isalnum():
                 low = core.lower() if max(core) < "\u0250" else core
-                if low != word:
+                if low != word and core[-1].lower()[-1].isalnum():  # a letter may become several, the last one a mark
                     split[word] = low, word[len(core) :]
                     plain.add(low)
                     if len(core) < len(word):

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -48,6 +48,18 @@ def test_word_ids_equal_the_tokenizer(spark, sf):
         assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+BOTH = Tokenizer.from_file(PATH), packing.WordIds(PATH, bound=500)
+
+
+@given(st.one_of(st.text(max_size=40), st.text("Zİıßſ́ŉǰ aB.,#*1é'’<|>\u0307", max_size=30)))
+@example("Zİ#")
+@example("İ. İ#x ŉ! ǅ%")
+@settings(max_examples=1500, deadline=None)
+def test_word_ids_equal_the_tokenizer_on_any_text(text):
+    whole, own = BOTH
+    assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, sf):
     rows = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()] + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(10_001, None), (None, "again"), (None, "again")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, slot int").repartition(5)
