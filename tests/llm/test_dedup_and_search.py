@@ -194,3 +194,36 @@ def test_exact_topk_against_brute_force(spark, sf):
     for sizes in ({}, {"block": 64, "query_block": 4}):
         assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, **sizes).collect())) == sorted(expect)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_exact_topk_of_empty_and_of_huge_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, []) for i in (0, 3, 9, 2)] + [(50 + i, [1e8 * x, 3e7]) for i, x in enumerate(rng.standard_normal(40).tolist())] + [(100, [1e40, -1e300]), (101, [2e13, 1.0]), (150, [-1e13, 0.25])]
+    clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+    live = [(i, [clamp(math.floor(256 * x)) for x in v]) for i, v in rows]
+    expect = []
+    for at, (q, x) in enumerate(live):
+        if q % 50 == 0:
+            best = sorted((-clamp(sum(a * b for a, b in zip(x, y))), i) for other, (i, y) in enumerate(live) if other != at and len(y) == len(x))[:5]
+            expect += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ({}, {"block": 8, "pivots": 3}):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, **sizes).collect())) == sorted(expect)
+
+
+def test_exact_topk_passes_blocks_by(spark):
+    """Queries within tight clusters need no other block than those of their cluster."""
+    rng = np.random.default_rng(6)
+    centres = 4 * rng.standard_normal((16, 32))
+    v = np.repeat(centres, 100, axis=0) + 0.02 * rng.standard_normal((1600, 32))
+    v *= 8 / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    seen = []
+    real = topk.materialise
+    topk.materialise = lambda frame, name: seen.append((name, real(frame, name))) or seen[-1][1]
+    try:
+        topk.top_k(df, F.col("vec_id") % 50 == 0, block=50)
+    finally:
+        topk.materialise = real
+    routed = dict(seen)["routed"].select(F.size("visits").alias("n")).collect()
+    assert len(routed) == 32 and sum(r.n for r in routed) < 32 * 10
