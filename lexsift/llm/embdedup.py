@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import cut, materialise
 from .components import components, forest
 
 THRESHOLD = 0.93
 #: Distinct vectors per centroid, most centroids, rows of a block.
-PER_CELL, MOST_CELLS, BLOCK = 1 << 16, 4096, 4096
+PER_CELL, MOST_CELLS, BLOCK = 1 << 16, 4096, 1 << 14
 #: What rounding may add to a cosine; the bounds on cells are wider by it.
 ROUNDING = 1e-6
 #: Width of the confidence bound in standard deviations.
@@ -96,19 +96,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
     none of its rows has an id.
 
     Centroids are a sample of distinct vectors, one for ``per_cell`` of them and at most
-    MOST_CELLS; every vector is searched.  Cells are passed by only where a bound shows that they
+    MOST_CELLS (beyond, cells get larger); every vector is searched.  Cells are passed by only where a bound shows that they
     hold no link, so a pair is missed only with the probability of a deviation by SIGMAS.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     usable = rows.filter(can_link()).withColumn("v", F.col("embedding").cast("array<double>")).withColumn("dim", F.size("v")).withColumn("key", F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.array_join(F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x).cast("string")), ",")), 256))
     grouped = usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"), F.first("dim").alias("dim"))
-    distinct = materialise(grouped, "vectors")
-    highest, unnamed = distinct.agg(F.max("rep"), F.count(F.when(F.col("rep").isNull(), 1))).first()
-    if unnamed:  # vectors without any id get numbers above all ids for the search
-        highest = -1 if highest is None else highest
-        distinct = materialise(distinct.withColumn("rep", F.coalesce("rep", F.lit(highest).cast("long") + 1 + F.monotonically_increasing_id())), "numbered")
-
+    distinct = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "vectors")  # vec_ids may repeat or be null
     per_dim = {r[0]: r[1] for r in distinct.groupBy("dim").count().collect()}  # a corpus has few dimensions
     results = []
     for dim, number in sorted(per_dim.items()):
@@ -119,11 +114,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, per_cell:
             found = found.union(more)
         found = materialise(found, "links")
         roots = components(found.filter("b is not null").select("a", "b"))
-        counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-        named = distinct.select("key", "rep", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-        if unnamed:
-            named = named.withColumn("component_id", F.when(F.col("component_id") <= highest, F.col("component_id")))
+        counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+        members = cut(roots.join(distinct.select("node", "rep"), "node"))
+        least = members.groupBy("root").agg(F.min("rep").alias("least"))
+        named = distinct.select("key", "node", "rep", "copies").join(counts, "node", "left").join(members.join(least, "root").select("node", "root", "least"), "node", "left")
+        named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
         linked = usable.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
     else:
         linked = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
@@ -177,21 +172,21 @@ def _search(distinct: DataFrame, dim: int, number: int, threshold: float, per_ce
             if batch.num_rows:
                 v = unit(np.stack(batch.column("v").to_numpy(zero_copy_only=False)))
                 near = [cells for at in range(0, len(v), 512) for cells in visited(v[at : at + 512], centres, lowest, threshold)]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary()), batch.column("label"), pa.array(near, pa.list_(pa.int32()))], names=["rep", "copies", "v", "label", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary()), batch.column("label"), pa.array(near, pa.list_(pa.int32()))], names=["node", "copies", "v", "label", "cells"])
 
-    placed = materialise(distinct.select("rep", "copies", "v", F.col("label").cast("string").alias("label")).mapInArrow(place, "rep long, copies long, v binary, label string, cells array<int>"), "placed")
+    placed = materialise(distinct.select("node", "copies", "v", F.col("label").cast("string").alias("label")).mapInArrow(place, "node long, copies long, v binary, label string, cells array<int>"), "placed")
     # Residents and visitors of a cell in blocks of bounded size, by a hash of the id.
     sizes = placed.select("label", F.col("cells")[0].alias("cell"), F.lit(1).alias("h")).union(placed.select("label", F.explode("cells"), F.lit(0))).groupBy("label", "cell").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("g")).filter("h > 0").select("label", "cell", F.ceil(F.col("h") / block).cast("int").alias("nh"), F.ceil(F.col("g") / block).cast("int").alias("ng"))
-    slot = F.xxhash64("rep")
+    slot = F.xxhash64("node")
     home = placed.select("*", F.col("cells")[0].alias("cell"), F.col("cells")[0].alias("home")).join(sizes, ["label", "cell"]).select("*", F.pmod(slot, F.col("nh")).alias("bh"), F.explode(F.sequence(F.lit(0), F.col("ng") - 1)).alias("bg")).withColumn("side", F.lit(0))
     guest = placed.select("*", F.explode("cells").alias("cell"), F.col("cells")[0].alias("home")).join(sizes, ["label", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("bh"), F.pmod(slot, F.col("ng")).alias("bg")).withColumn("side", F.lit(1))
-    names = ["label", "cell", "bh", "bg", "side", "rep", "copies", "v", "home"]
+    names = ["label", "cell", "bh", "bg", "side", "node", "copies", "v", "home"]
     both = home.select(*(F.col(c).cast("long") if c in ("bh", "bg") else F.col(c) for c in names)).union(guest.select(*(F.col(c).cast("long") if c in ("bh", "bg") else F.col(c) for c in names)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def side(s: int):
-            rows = pdf[pdf.side == s].sort_values("rep")
-            return rows.rep.to_numpy(), rows.copies.to_numpy(), np.frombuffer(b"".join(rows.v), "<f8").reshape(-1, dim), (rows.home == rows.cell).to_numpy()
+            rows = pdf[pdf.side == s].sort_values("node")
+            return rows.node.to_numpy(), rows.copies.to_numpy(), np.frombuffer(b"".join(rows.v), "<f8").reshape(-1, dim), (rows.home == rows.cell).to_numpy()
 
         hid, hcopies, hv, _ = side(0)
         gid, gcopies, gv, resident = side(1)
