@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_words, materialise
+from .common import as_bytes, ascii_words, cut, materialise
 from .components import components, forest
 
 DISTANCE = 2
 FAN = 8
 #: Groups with more fingerprints than this are split by further bits.
 CROWDED = 4096
+#: Fingerprints that a task compares at a time, besides those of its last group.
+PORTION = 1 << 20
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -133,18 +135,18 @@ def _halves(places: list[int], distance: int) -> list[list[int]]:
 
 
 def near_links(distinct: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
-    """(a, b) links that connect just the ids ``rep`` of fingerprints linked within ``distance``.
+    """(a, b) links that connect just the fingerprints linked within ``distance``.
 
-    ``distinct(fp, rep)`` has each fingerprint once.  A group agrees on 32 bits; those with
+    ``distinct(fp)`` has each fingerprint once.  A group agrees on 32 bits; those with
     more than ``crowded`` members are dealt again by half of the other bits, after which a group
     has at most 2**16 members whatever the input.  Each group yields a spanning forest, not its
-    pairs.
+    pairs.  A task takes whole groups up to about PORTION fingerprints at a time.
     """
     if not 1 <= distance <= 8:
         raise ValueError("distance must be from 1 to 8")
     code = F.col("fp")
     halves = _halves(list(range(64)), distance)
-    placed = distinct.select("fp", "rep", F.posexplode(F.array(*(_bits(code, h) for h in halves))).alias("way", "key"))
+    placed = distinct.select("fp", F.posexplode(F.array(*(_bits(code, h) for h in halves))).alias("way", "key"))
     full = placed.groupBy("way", "key").agg(F.count("*").alias("n")).filter("n > 1")
     placed = placed.join(full, ["way", "key"])
     again = F.lit(None)
@@ -152,25 +154,36 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, crowded: int = CRO
         rest = [p for p in range(64) if p not in half]
         finer = [F.struct(F.lit(len(halves) + way * len(halves) + k).alias("way"), _bits(code, half + h).alias("key")) for k, h in enumerate(_halves(rest, distance))]
         again = F.when(F.col("way") == way, F.array(*finer)).otherwise(again)
-    dealt = placed.select("fp", "rep", F.explode(F.when(F.col("n") > crowded, again).otherwise(F.array(F.struct("way", "key")))).alias("g")).select("g.way", "g.key", "fp", "rep")
+    dealt = placed.select("fp", F.explode(F.when(F.col("n") > crowded, again).otherwise(F.array(F.struct("way", "key")))).alias("g")).select("g.way", "g.key", "fp")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy() for c in b.columns) for b in it if b.num_rows]
-        if not parts:
+        held, size = [], 0
+        for batch in it:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            size += batch.num_rows
+            if size >= PORTION:
+                way, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.flatnonzero((way == way[-1]) & (key == key[-1]))[0])  # where the last group begins, which may go on
+                yield from linked(way[:whole], key[:whole], fp[:whole])
+                held, size = [(way[whole:], key[whole:], fp[whole:])], len(fp) - whole
+        if size:
+            yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def linked(way: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(fp):
             return
-        way, key, fp, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
         codes = fp.view(np.uint64)
         order = np.lexsort((gray_rank(codes), key, way))
-        way, key, codes, rep = way[order], key[order], codes[order], rep[order]
+        way, key, codes = way[order], key[order], codes[order]
         group = np.cumsum(np.r_[0, (way[1:] != way[:-1]) | (key[1:] != key[:-1])])
         label = np.arange(len(codes))
         for i, j in GrayIndex(codes, group).links(distance):
             label = forest(i, j, len(codes), label)
         child = np.flatnonzero(label != np.arange(len(codes)))
         if len(child):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[label[child]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes[child].view(np.int64)), pa.array(codes[label[child]].view(np.int64))], names=["a", "b"])
 
-    return dealt.repartition("way", "key").mapInArrow(run, "a long, b long")
+    return dealt.repartition("way", "key").sortWithinPartitions("way", "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3) -> DataFrame:
@@ -178,13 +191,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3) -
 
     component_id is the smallest doc_id reachable over fingerprints within ``distance`` bits.
     Null and empty texts have fingerprint 0 and link like any other.  Repeated rows and exact
-    copies share a fingerprint, which enters the search once.  A null doc_id is kept, and names
-    a component only if all its rows have none.  An empty table gives an empty result.
+    copies share a fingerprint, which enters the search once.  A row without a doc_id links and bridges others
+    like any row, and gets the component's smallest doc_id, null if there is none.  An empty table
+    gives an empty result.
     """
     prints = materialise(fingerprints(docs, width), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(near_links(distinct.filter("rep is not null"), distance))
-    named = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(near_links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    members = cut(roots.join(distinct, "fp"))
+    least = members.groupBy("root").agg(F.min("rep").alias("least"))
+    named = distinct.join(members.join(least, "root").select("fp", "root", "least"), "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -65,8 +65,9 @@ def test_gray_index_finds_just_the_near_pairs(rows, seed):
     assert found == {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if group[a] == group[b] and (int(codes[a]) ^ int(codes[b])).bit_count() <= 2}
 
 
-@pytest.mark.parametrize("crowded", [4096, 3])
-def test_simhash_against_all_pairs(spark, sf, crowded):
+@pytest.mark.parametrize("crowded,portion", [(4096, 1 << 20), (3, 1 << 20), (4096, 40)])
+def test_simhash_against_all_pairs(spark, sf, crowded, portion, monkeypatch):
+    monkeypatch.setattr(simhash, "PORTION", portion)
     docs = queries.table(spark, sf, "documents").collect()
     rows = [(d.doc_id, d.text) for d in docs]
     rng = random.Random(5)
@@ -81,15 +82,35 @@ def test_simhash_against_all_pairs(spark, sf, crowded):
     expect = sorted((rows[i][0], f"{fps[i]:016x}", min(rows[j][0] for j in range(len(rows)) if roots[j] == roots[i])) for roots in [reach(len(rows), links)] for i in range(len(rows)))
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
     prints = simhash.fingerprints(df)
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = {r.node: r.root for r in components.components(simhash.near_links(distinct, crowded=crowded)).collect()}
-    got = sorted((r.doc_id, f"{r.fp & (2**64 - 1):016x}", roots.get(r.rep, r.rep)) for r in prints.join(distinct, "fp").collect())
-    assert got == expect
-    if crowded == 4096:
+    roots = {r.node: r.root for r in components.components(simhash.near_links(prints.select("fp").distinct(), crowded=crowded)).collect()}
+    found = prints.collect()
+    least = {}
+    for r in found:
+        root = roots.get(r.fp, r.fp)
+        least[root] = min(r.doc_id, least.get(root, r.doc_id))
+    assert sorted((r.doc_id, f"{r.fp & (2**64 - 1):016x}", least[roots.get(r.fp, r.fp)]) for r in found) == expect
+    if crowded == 4096 and portion > 40:
         whole = simhash.near_duplicates(df).collect()
         assert sorted((r.doc_id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in whole) == expect
 
 
+def test_simhash_rows_without_an_id_link_and_bridge(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    fps, texts = [plain_fingerprint(" ".join(base))], [" ".join(base)]
+    while len(texts) < 3:  # a chain of links whose ends don't link
+        words = texts[-1].split()
+        words[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+        fp = plain_fingerprint(" ".join(words))
+        apart = [(fp ^ x).bit_count() for x in fps]
+        if apart[-1] <= 2 and min(apart[:-1], default=9) > 2:
+            fps.append(fp)
+            texts.append(" ".join(words))
+    rows = [(5, texts[0]), (None, texts[1]), (3, texts[2]), (None, "all alone here now"), (None, "all alone here now")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 3), (3, 3), (5, 3)]
+
+
 def test_simhash_keeps_one_row_of_each_group(spark):
     rows = [(5, "a b c d", "en"), (2, "a b c d", "de"), (2, "a b c d", "de"), (9, "q w e r t", None), (None, "a b c d", "en")]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
