@@ -1,23 +1,30 @@
 """Mixing by iterative proportional fitting, in DataFrame functions only.
 
-Token mass is summed in cells of source, language and topic and raked in turn to the target
-margins.  Sources may be many and stay distributed, one row each with its language-by-topic
-block; the factors of languages and topics are a few numbers that the driver carries from one
-pass to the next.  Documents are then kept with the calibrated probability of their cell.
+Token mass is summed in cells of source, language and topic, and the cells' weights are raked in turn to the
+target margins.  Sources stay distributed.  Where pairs of language and topic are few, which is checked, the
+driver carries their factors from one pass over the sources to the next; else all three margins are
+grouped sums that meet the cells again.  Both give the same weights, and no margin has a bound on its classes.
+Documents are then kept with the calibrated probability of their cell.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import cut, materialise
 
-#: At most so many languages have a class of their own; the rest form one class.
-LANGUAGES = 63
 WHITE = r"[\x20\x09-\x0D]+"
-OTHER = "(other)"
 TOPICS = ("contact", "legal", "technical", "tabular", "prose")
+MARGINS = ("source", "language", "topic")
+SEED, POWER, KEEP = 11, 0.7, 0.8
+#: Rounds of raking at most, and the change of a factor below which raking has settled.
+ROUNDS, CLOSE = 100, 1e-12
+#: Pairs of language and topic whose factors the driver carries at most.
+PAIRS = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -33,135 +40,151 @@ def topic_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")), "contact").when(legal, "legal").when(technical, "technical").when(F.contains(text, F.lit("|")), "tabular").otherwise("prose")
 
 
-def tempered(shares: dict[str, float], power: float) -> dict[str, float]:
-    """Shares raised to a power below 1, which lifts the small ones, and made to add up to 1."""
-    raised = {k: v**power for k, v in shares.items() if v > 0}
-    return {k: v / sum(raised.values()) for k, v in raised.items()}
-
-
-def calibrate(docs: DataFrame, topic: Column | None = None, source_targets: DataFrame | None = None, language_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, power: float = 0.7, keep: float = 0.8, rounds: int = 50, close: float = 1e-9) -> DataFrame:
-    """Cells (source, language, topic, tokens, weight, probability).
-
-    ``docs`` has doc_id, text, lang and source.  ``weight`` is the raked factor of a token; after
-    raking, weighted tokens meet the targets of all three margins.  Targets default to the
-    observed shares raised to ``power``; ``source_targets(source, target)`` need not add up to 1;
-    classes without a target have target 0, and targets of classes without tokens are spread
-    over the others.  ``probability`` is min(1, r * weight), with r such that
-    the expected tokens kept are the share ``keep`` of all (or all that have weight, if fewer).
-    Null sources and languages are classes of their own, named ''.
-    """
-    rows = cell_rows(docs, topic)
-    return _calibrate(rows, source_targets, language_targets, topic_targets, power, keep, rounds, close)[0]
-
-
 def _cell_columns(topic: Column | None) -> list[Column]:
     text, blank = F.col("text").cast("string"), F.lit("")
     kind = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), blank)
     return [F.coalesce(F.col("source").cast("string"), blank).alias("source"), F.coalesce(F.col("lang").cast("string"), blank).alias("language"), kind.alias("topic")]
 
 
-def cell_rows(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """(doc_id, source, language, topic, n_tokens), written down once."""
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_cell_columns(topic), token_count(F.col("text").cast("string")).alias("n_tokens")), "cells")
+def _chance(seed: int) -> Column:
+    """A number from 0 to 1, below 1, that depends on doc_id alone; on the text where there is no doc_id."""
+    named = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(named, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def _chance(seed: int) -> Column:
-    """A number from 0 to 1 that depends on doc_id alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.lit(seed)), 11) / F.lit(2.0**53)
+def cell_rows(docs: DataFrame, topic: Column | None = None, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, language, topic, n_tokens, chance), written down once."""
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_cell_columns(topic), token_count(F.col("text").cast("string")).alias("n_tokens"), _chance(seed).alias("chance")), "cells")
 
 
-def _calibrate(rows: DataFrame, source_targets, language_targets, topic_targets, power, keep, rounds, close) -> tuple[DataFrame, Column]:
-    # Partial sums come before the shuffle, so a source with a third of all rows is a few rows here.
-    cells = rows.groupBy("source", "language", "topic").agg(F.sum("n_tokens").alias("tokens"))
-    largest = [r[0] for r in cells.groupBy("language").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()]
-    names = [r[0] for r in cells.groupBy("topic").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "topic").limit(LANGUAGES).collect()]
-    own = lambda c, some: F.when(F.col(c).isin(some), F.col(c)).otherwise(OTHER) if some else F.lit(OTHER)
-    languages, topics = sorted({*largest, OTHER}), sorted({*names, OTHER})
-    grid = [(x, y) for x in languages for y in topics]
-    label, theme = own("language", largest), own("topic", names)
-    per_source = cells.groupBy("source").agg(*(F.coalesce(F.sum(F.when((label == x) & (theme == y), F.col("tokens"))), F.lit(0)).cast("double").alias(f"c{k}") for k, (x, y) in enumerate(grid)))
-    mass = [F.col(f"c{k}") for k in range(len(grid))]
-    per_source = per_source.select("source", F.array(*mass).alias("block"))
-    total_of = F.aggregate("block", F.lit(0.0), lambda a, x: a + x)
-    if source_targets is None:
-        per_source = per_source.withColumn("target", F.pow(total_of, F.lit(power)))
+def _goals(spark: SparkSession, cells: DataFrame, margin: str, given: DataFrame | dict[str, float] | None, power: float) -> DataFrame:
+    """(margin, goal): target shares of the classes that have tokens; they add up to 1, or are all 0."""
+    seen = cells.groupBy(margin).agg(F.sum("mass").alias("n")).filter("n > 0")
+    if given is None:
+        goals = seen.select(margin, F.pow("n", F.lit(power)).alias("goal"))
     else:
-        given = source_targets.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("target").cast("double").alias("target"))
-        per_source = per_source.join(given.groupBy("source").agg(F.sum("target").alias("target")), "source", "left").withColumn("target", F.when(total_of > 0, F.coalesce("target", F.lit(0.0))).otherwise(0.0))
-    table = materialise(per_source, "sources")
-
-    def grid_sums(factor: Column) -> list[float]:
-        row = table.agg(*(F.coalesce(F.sum(F.element_at("block", k + 1) * factor), F.lit(0.0)).alias(f"g{k}") for k in range(len(grid))), F.coalesce(F.sum("target"), F.lit(0.0)).alias("target")).first()
-        return list(row)
-
-    *observed, target_total = grid_sums(F.lit(1.0))
-    total = sum(observed)
-    by = lambda values, side: {n: sum(v for v, cell in zip(values, grid, strict=True) if cell[side] == n) for n in (languages, topics)[side]}
-    goals = []
-    for side, given in ((0, language_targets), (1, topic_targets)):
-        seen = by(observed, side)
-        goal = tempered({k: v / total for k, v in seen.items()}, power) if given is None and total else {k: (given or {}).get(k, 0.0) for k, v in seen.items() if v > 0}
-        scale = sum(goal.values())
-        goals.append({k: v / scale for k, v in goal.items()} if scale else {})
-    factors = [dict.fromkeys(languages, 1.0), dict.fromkeys(topics, 1.0)]
-
-    def source_factor() -> Column:
-        weights = F.array(*(F.lit(factors[0][x] * factors[1][y]) for x, y in grid))
-        now = F.aggregate(F.zip_with("block", weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.when(now > 0, F.col("target") / (now * F.lit(target_total))).otherwise(0.0)
-
-    for _ in range(rounds if total and target_total else 0):
-        *now, _ = grid_sums(source_factor())
-        moved = 0.0
+        if isinstance(given, dict):
+            told = F.array(*(F.struct(F.lit(k).cast("string").alias(margin), F.lit(float(v)).alias("target")) for k, v in given.items()))
+            given = spark.range(1).select(F.inline(told)) if given else seen.select(margin, F.lit(0.0).alias("target"))
+        given = given.groupBy(F.coalesce(F.col(margin).cast("string"), F.lit("")).alias(margin)).agg(F.sum(F.col("target").cast("double")).alias("goal"))
+        goals = seen.join(given, margin, "left").select(margin, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+    goals = cut(goals)
+    total = goals.agg(F.sum("goal")).first()[0] or 1.0
+    return goals.withColumn("goal", F.col("goal") / total)
+
+
+def _rake_by_cell(cells: DataFrame, start: float, rounds: int, close: float) -> tuple[DataFrame, float]:
+    """Cells with their weight, and the largest change of a factor in the last round; all margins by grouped sums."""
+    cells, left = cut(cells.withColumn("weight", F.lit(start))), 0.0
+    for _ in range(rounds):
+        changes = []
+        for margin in MARGINS:
+            sums = cells.groupBy(margin).agg(F.sum(F.col("mass") * F.col("weight")).alias("_sum"))
+            change = F.when(F.col("_sum") > 0, F.col(f"goal_{margin}") / F.col("_sum")).otherwise(0.0)
+            moved = F.when((F.col(f"goal_{margin}") > 0) & (F.col("_sum") > 0), F.abs(change - 1)).otherwise(0.0)
+            cells = cells.join(sums, margin).withColumns({"weight": F.col("weight") * change, f"_{margin}": moved}).drop("_sum")
+            changes.append(f"_{margin}")
+        cells = cut(cells.withColumn("_moved", F.greatest(*changes[1:])).drop(*changes))
+        left, cells = cells.agg(F.max("_moved")).first()[0], cells.drop("_moved")
+        if left < close:
+            break
+    return cells, left
+
+
+def _rake_by_source(cells: DataFrame, start: float, rounds: int, close: float) -> tuple[DataFrame, float]:
+    """As above, with a row for each source; at most PAIRS sums come to the driver in a round."""
+    numbered = cells.select("language", "topic", "goal_language", "goal_topic").distinct().withColumn("pair", F.row_number().over(Window.orderBy("language", "topic")) - 1)  # at most PAIRS rows
+    numbered = cut(numbered)
+    pairs = [tuple(r)[:4] for r in numbered.orderBy("pair").collect()]
+    goals = [{p[side]: p[side + 2] for p in pairs} for side in (0, 1)]
+    factors = [dict.fromkeys(g, 1.0) for g in goals]
+    block = F.collect_list(F.struct("language", "topic", "pair", "mass")).alias("block")  # at most PAIRS cells
+    table = cut(cells.join(numbered.select("language", "topic", "pair"), ["language", "topic"]).groupBy("source", "goal_source").agg(block))
+
+    def factor(weights: list[float]):
+        now = F.aggregate("block", F.lit(0.0), lambda a, x: a + x.mass * F.element_at(F.lit(weights), x.pair + 1))
+        return F.when(now > 0, F.col("goal_source") / now).otherwise(0.0)
+
+    before, left = [start] * len(pairs), 0.0
+    inner = before
+    for _ in range(rounds):
+        before, left = inner, 0.0
+        sums = table.select(factor(before).alias("f"), F.explode("block").alias("c")).groupBy("c.pair").agg(F.sum(F.col("f") * F.col("c.mass")).alias("s")).collect()
         for side in (0, 1):
-            weighted = [v * factors[0][x] * factors[1][y] for v, (x, y) in zip(now, grid, strict=True)]
-            for k, v in by(weighted, side).items():
-                change = goals[side].get(k, 0.0) / v if v > 0 else 1.0
-                factors[side][k] *= change
-                moved = max(moved, abs(change - 1) if goals[side].get(k) else 0.0)
-        if moved < close:
+            seen = dict.fromkeys(goals[side], 0.0)
+            for k, s in sums:
+                seen[pairs[k][side]] += s * factors[0][pairs[k][0]] * factors[1][pairs[k][1]]
+            for name, s in seen.items():
+                change = goals[side][name] / s if s > 0 else 0.0
+                factors[side][name] *= change
+                left = max(left, abs(change - 1) if goals[side][name] > 0 and s > 0 else 0.0)
+        inner = [factors[0][p[0]] * factors[1][p[1]] for p in pairs]
+        if left < close:
             break
+    rows = table.select("source", factor(before).alias("f"), F.explode("block").alias("c"))
+    return rows.select("source", "c.language", "c.topic", "c.mass", (F.col("f") * F.element_at(F.lit(inner), F.col("c.pair") + 1)).alias("weight")), left
 
-    # The factor r of the budget: 64 trials a pass, each pass narrowing the range.
-    lines = table.select("source", source_factor().alias("f"), F.posexplode("block").alias("k", "tokens")).filter("tokens > 0")
-    inner = F.element_at(F.array(*(F.lit(factors[0][x] * factors[1][y]) for x, y in grid)), F.col("k") + 1)
-    lines = materialise(lines.select("source", F.element_at(F.array(*(F.lit(x) for x, _ in grid)), F.col("k") + 1).alias("language"), F.element_at(F.array(*(F.lit(y) for _, y in grid)), F.col("k") + 1).alias("topic"), "tokens", (F.col("f") * inner * F.lit(total)).alias("weight")), "weights")
-    least, budget = lines.agg(F.min(F.when(F.col("weight") > 0, F.col("weight"))), F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("tokens"))), F.lit(0.0))).first()
-    budget, low, high = min(budget, keep * total), 0.0, 1 / least if least else 1.0
-    for _ in range(5 if least else 0):
-        trials = [low + (high - low) * i / 64 for i in range(65)]
-        sums = lines.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(r) * F.col("weight"))).alias(f"r{i}") for i, r in enumerate(trials))).first()
-        at = next((i for i, s in enumerate(sums) if s >= budget), 64)
-        low, high = trials[max(0, at - 1)], trials[at]
-    lines = lines.withColumn("probability", F.least(F.lit(1.0), F.lit(high) * F.col("weight")))
-    return lines, (label, theme)
 
+def calibrate(rows: DataFrame, source_targets: DataFrame | None = None, language_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, power: float = POWER, keep: float = KEEP, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """Cells (source, language, topic, weight, probability) of ``rows(source, language, topic, n_tokens)``.
 
-DEFAULTS = {"source_targets": None, "language_targets": None, "topic_targets": None, "power": 0.7, "keep": 0.8, "rounds": 50, "close": 1e-9}
+    ``weight`` is the raked factor of a token; after raking, weighted tokens meet the targets of all three
+    margins.  Targets default to the observed shares raised to ``power``, which lifts small ones;
+    ``source_targets(source, target)`` and the others need not add up to 1; classes without a target
+    have target 0, and targets of classes without tokens are spread over the others.  Raking ends when no
+    factor changes by more than ``close``; where ``rounds`` are not enough (targets that the
+    cells can't meet together) the last weights stand, with a warning.  ``probability`` is min(1, r * weight), with
+    r such that the expected tokens kept are the share ``keep`` of all (or all that have weight, if fewer).
+    Cells without tokens are left out.  Null sources and languages are classes of their own, named ''.
+    """
+    # Partial sums come before the shuffle, so a source with a third of all rows is a few rows here.
+    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").cast("double").alias("mass")).filter("mass > 0"))
+    total = cells.agg(F.sum("mass")).first()[0] or 0.0
+    for margin, given in zip(MARGINS, (source_targets, language_targets, topic_targets), strict=True):
+        cells = cells.join(_goals(rows.sparkSession, cells, margin, given, power).withColumnRenamed("goal", f"goal_{margin}"), margin)
+    cells = cut(cells)
+    few = cells.select("language", "topic").distinct().limit(PAIRS + 1).count() <= PAIRS
+    cells, left = (_rake_by_source if few else _rake_by_cell)(cells, 1 / total if total else 0.0, rounds if total else 0, close)
+    if left >= close:
+        warnings.warn(f"margins not met after {rounds} rounds of raking; the last changed a factor by {left:.3g}", stacklevel=2)
+
+    cells = materialise(cells.select(*MARGINS, "mass", (F.col("weight") * total).alias("weight")), "weights")
+    # The factor r of the budget: cells that are kept whole, and the rest in proportion; a larger r only adds whole cells.
+    whole = lambda r: F.col("weight") * F.lit(r) >= 1
+    spread = F.col("mass") * F.col("weight")
+    some, open_ = cells.agg(F.sum(F.when(F.col("weight") > 0, F.col("mass"))), F.sum(spread)).first()
+    budget, kept, r = min(some or 0.0, keep * total), 0.0, 0.0
+    while open_:
+        raised = (budget - kept) / open_
+        if raised <= r:
+            break
+        r = raised
+        kept, open_ = cells.agg(F.coalesce(F.sum(F.when(whole(r), F.col("mass"))), F.lit(0.0)), F.sum(F.when(~whole(r), spread))).first()
+    if total and not open_:
+        r = 1e300  # every cell that has weight is kept whole
+    return cells.select(*MARGINS, "weight", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(r) * F.col("weight"))).otherwise(0.0).alias("probability"))
 
 
-def mix(docs: DataFrame, seed: int = 11, topic: Column | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, topic: Column | None = None, **options) -> DataFrame:
     """(doc_id, source, language, topic, n_tokens, weight, probability, kept) for every row of ``docs``.
 
-    Options are those of ``calibrate``.  ``kept`` compares a hash of doc_id with the probability
-    of the document's cell, so a repeated row has the same fate.  Documents of a cell without any
-    word have weight and probability 1.  A null doc_id hashes like any other value.  An empty
+    ``docs`` has doc_id, text, lang and source; options are those of ``calibrate``.  ``kept`` compares a hash of doc_id
+    with the probability of the document's cell, so a repeated row has the same fate; rows without a doc_id draw by
+    their text.  Documents of a cell without any word have weight and probability 1.  An empty
     table gives an empty result.  Extra columns are ignored.
     """
-    rows = cell_rows(docs, topic)
-    cells, (label, theme) = _calibrate(rows, **(DEFAULTS | options))
-    named = rows.withColumns({"language": label, "topic": theme})
-    joined = named.join(cells.drop("tokens"), ["source", "language", "topic"], "left")
+    rows = cell_rows(docs, topic, seed)
+    joined = rows.join(calibrate(rows, **options), list(MARGINS), "left")
     one = F.lit(1.0)
-    return joined.select("doc_id", "source", "language", "topic", "n_tokens", F.coalesce("weight", one).alias("weight"), F.coalesce("probability", one).alias("probability"), (_chance(seed) < F.coalesce("probability", one)).alias("kept"))
+    return joined.select("doc_id", *MARGINS, "n_tokens", F.coalesce("weight", one).alias("weight"), F.coalesce("probability", one).alias("probability"), (F.col("chance") < F.coalesce("probability", one)).alias("kept"))
 
 
-def sample(docs: DataFrame, seed: int = 11, topic: Column | None = None, **options) -> DataFrame:
+def sample(docs: DataFrame, seed: int = SEED, topic: Column | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that ``mix`` keeps, with all their columns.
 
     A document's cell is computed again from its own row, and only the table of cells is joined.
     """
-    cells, (label, theme) = _calibrate(cell_rows(docs, topic), **(DEFAULTS | options))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), _chance(seed).alias("chance"), *_cell_columns(topic)).withColumns({"language": label, "topic": theme})
-    joined = keyed.join(cells.drop("tokens", "weight"), ["source", "language", "topic"], "left")
+    cells = calibrate(cell_rows(docs, topic, seed), **options)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), _chance(seed).alias("chance"), *_cell_columns(topic))
+    joined = keyed.join(cells.drop("weight"), list(MARGINS), "left")
     return joined.filter(F.col("chance") < F.coalesce("probability", F.lit(1.0))).select("whole.*")

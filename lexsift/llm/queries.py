@@ -40,7 +40,8 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_token_counts, op5_url_filter, op6_simhash_dedup, op7_mixing, op8_pii, op9_exact_topk, op10_best_fit_packing)}
 _FINITE = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+_WORDS = "CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS BIGINT)"
+_TOPIC = """CASE WHEN contains(t, '@') THEN 'contact' WHEN contains(t, 'icense') OR contains(t, 'opyright') THEN 'legal'
+  WHEN contains(t, 'token = ') OR contains(t, '{') OR contains(t, '://') THEN 'technical' WHEN contains(t, '|') THEN 'tabular' ELSE 'prose' END"""
+
+
+def _raked(margin: str, of: str) -> str:
+    return f"(SELECT * REPLACE (w * goal_{margin} / sum(mass * w) OVER (PARTITION BY {margin}) AS w) FROM {of})"
+
+
 #: The other operators train models, hash or tokenise beyond SQL; the tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op2_embedding_dedup": f"""
@@ -69,6 +79,22 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a), degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept
 FROM embeddings v JOIN roots r ON r.a = v.vec_id LEFT JOIN degrees d ON d.a = v.vec_id""",
+    "op7_mixing": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS language, {_WORDS} AS n_tokens, coalesce(text, '') AS t FROM documents),
+marked AS (SELECT * EXCLUDE (t), {_TOPIC} AS topic, CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '?' || md5(t)) || ':{mixing.SEED}')[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS chance FROM docs),
+cells AS (SELECT source, language, topic, sum(n_tokens)::DOUBLE AS mass FROM marked GROUP BY ALL HAVING sum(n_tokens) > 0),
+all_mass AS (SELECT sum(mass) AS total FROM cells),
+{", ".join(f"goals_{m} AS (SELECT {m}, pow(sum(mass), {mixing.POWER}) AS g FROM cells GROUP BY {m}), shares_{m} AS (SELECT {m}, g / (SELECT sum(g) FROM goals_{m}) AS goal_{m} FROM goals_{m})" for m in mixing.MARGINS)},
+start AS (SELECT *, 1 / (SELECT total FROM all_mass) AS w FROM cells JOIN shares_source USING (source) JOIN shares_language USING (language) JOIN shares_topic USING (topic)),
+raked AS (SELECT 0 AS n, * FROM start UNION ALL SELECT n + 1 AS n, * EXCLUDE (n) FROM {_raked("topic", _raked("language", _raked("source", "raked")))} WHERE n < {mixing.ROUNDS}),
+last AS (SELECT source, language, topic, mass, w * (SELECT total FROM all_mass) AS weight FROM raked WHERE n = {mixing.ROUNDS}),
+ordered AS (SELECT *, coalesce(sum(mass) OVER before, 0) AS whole, sum(mass * weight) OVER rest AS open FROM last
+            WINDOW before AS (ORDER BY weight DESC, source, language, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY weight DESC, source, language, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+factor AS (SELECT ({mixing.KEEP} * (SELECT total FROM all_mass) - whole) / open AS r FROM ordered
+           WHERE ({mixing.KEEP} * (SELECT total FROM all_mass) - whole) / open * weight <= 1 ORDER BY weight DESC, source, language, topic LIMIT 1),
+final AS (SELECT source, language, topic, weight, least(1.0::DOUBLE, (SELECT r FROM factor) * weight) AS probability FROM last)
+SELECT doc_id, source, language, topic, n_tokens, round(coalesce(weight, 1.0::DOUBLE), 6) AS weight, round(coalesce(probability, 1.0::DOUBLE), 6) AS probability, chance < coalesce(probability, 1.0::DOUBLE) AS kept
+FROM marked LEFT JOIN final USING (source, language, topic)""",
     "op9_exact_topk": f"""
 WITH finite AS ({_FINITE}), whole AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM finite WHERE vec_id IS NOT NULL),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score

@@ -9,7 +9,8 @@ from lexsift.llm import queries
 @pytest.mark.parametrize("name", queries.ORACLE)
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    for name_ in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM read_parquet('{sf}/{name_}.parquet')")
     got, want = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLE[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)

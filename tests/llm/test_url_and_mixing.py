@@ -144,7 +144,9 @@ def test_mixing_against_plain_raking(spark, sf):
         assert mixing.mix(frame).count() == frame.count()
 
 
-def test_mixing_meets_given_targets_of_all_three_margins(spark):
+@pytest.mark.parametrize("pairs", [mixing.PAIRS, 1])
+def test_mixing_meets_given_targets_of_all_three_margins(spark, pairs, monkeypatch):
+    monkeypatch.setattr(mixing, "PAIRS", pairs)  # with one pair all margins are grouped sums
     rng = np.random.default_rng(0)
     rows = [(i, "w " * int(rng.integers(1, 60)), "en" if rng.random() < 0.7 else "fr", f"s{rng.integers(0, 4)}", "a" if rng.random() < 0.5 else "b") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
@@ -160,10 +162,31 @@ def test_mixing_meets_given_targets_of_all_three_margins(spark):
     assert part("language", "fr", lambda r: r.kept) / kept == pytest.approx(0.5, abs=0.06)
 
 
-def test_mixing_joins_rare_languages_into_one_class(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "LANGUAGES", 2)
-    df = spark.createDataFrame([(i, "w " * (9 - i % 5), f"l{i % 5}", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
-    assert {r.language for r in mixing.mix(df).collect()} == {"l0", "l1", mixing.OTHER}
+def test_mixing_rakes_many_languages_and_topics(spark):
+    """Hundreds of classes on each side; each has its own factor, and targets of rare ones hold."""
+    docs = [(i, "w " * (20 + i % 7), f"l{i % 150}", f"s{i // 150 % 2}", f"t{i // 300 % 4}") for i in range(2400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, subject string")
+    goals = {f"l{k}": 1.0 + k % 3 for k in range(150)}
+    rows = mixing.mix(df, topic=F.col("subject"), language_targets=goals).collect()
+    assert {r.language for r in rows} == goals.keys() and len({r.topic for r in rows}) == 4
+    by = defaultdict(float)
+    for r in rows:
+        by[r.language] += r.n_tokens * r.weight
+    for k, v in by.items():
+        assert v / sum(by.values()) == pytest.approx(goals[k] / sum(goals.values()), rel=1e-6)
+
+
+def test_mixing_tells_when_targets_cannot_be_met(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s"), (2, "a b", "fr", "r")], "doc_id long, text string, lang string, source string")
+    sources = spark.createDataFrame([("s", 9.0), ("r", 1.0)], "source string, target double")
+    with pytest.warns(UserWarning, match="margins not met"):
+        mixing.mix(df, source_targets=sources, language_targets={"en": 0.5, "fr": 0.5}, rounds=4)
+
+
+def test_mixing_draws_by_text_without_an_id(spark):
+    df = spark.createDataFrame([(None, f"word{i} " * 5, "en", "s") for i in range(400)] + [(-1, "x", "en", "s")], "doc_id long, text string, lang string, source string")
+    kept = sum(r.kept for r in mixing.mix(df, keep=0.5).collect())
+    assert 150 < kept < 250 and mixing.sample(df, keep=0.5).count() == kept
 
 
 def test_mixing_has_no_python_in_its_plan(spark, sf):
