@@ -31,7 +31,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,24 @@ def _raked(margin: str, of: str) -> str:
     return f"(SELECT * REPLACE (w * goal_{margin} / sum(mass * w) OVER (PARTITION BY {margin}) AS w) FROM {of})"
 
 
+_FITS = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+_RULED = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(v, h, p)}'" for v, h, p in _FITS) + " END"
+_LOWER = f"'{urlfilter.UPPER}', '{urlfilter.LOWER}'"
+_LINK = urlfilter.LINK.replace("'", "''")
+
+
+def _walk(kind: str, src: str, dst: str, verdict: str) -> str:
+    """CTEs rank_<kind>(host, rank): 80 rounds of personalised PageRank."""
+    return f"""seeds_{kind} AS (SELECT host, count(*)::DOUBLE / (SELECT count(*) FROM judged WHERE host <> '' AND ruled IS NOT NULL) AS s FROM judged WHERE host <> '' AND ruled = '{verdict}' GROUP BY host),
+steps_{kind} AS (SELECT {src} AS host, {dst} AS dst, w / sum(w) OVER (PARTITION BY {src}) AS p FROM edges),
+walk_{kind} AS (SELECT 0 AS n, host, s AS rank FROM seeds_{kind} UNION ALL
+  SELECT n, host, sum(x) AS rank FROM (
+    SELECT n + 1 AS n, t.dst AS host, {urlfilter.DAMPING} * r.rank * t.p AS x FROM walk_{kind} r JOIN steps_{kind} t ON t.host = r.host WHERE n < 80
+    UNION ALL SELECT r.n + 1, s.host, s.s / (SELECT sum(s) FROM seeds_{kind}) * r.rank * (CASE WHEN t.host IS NULL THEN 1 ELSE 1 - {urlfilter.DAMPING} END)
+    FROM walk_{kind} r LEFT JOIN (SELECT DISTINCT host FROM steps_{kind}) t ON t.host = r.host CROSS JOIN seeds_{kind} s WHERE n < 80) GROUP BY n, host),
+rank_{kind} AS (SELECT host, rank FROM walk_{kind} WHERE n = 80)"""
+
+
 #: The other operators train models, hash or tokenise beyond SQL; the tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op2_embedding_dedup": f"""
@@ -79,6 +97,16 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a), degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept
 FROM embeddings v JOIN roots r ON r.a = v.vec_id LEFT JOIN degrees d ON d.a = v.vec_id""",
+    "op5_url_filter": f"""
+WITH RECURSIVE parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_LOWER}) AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, regexp_extract_all(coalesce(html, ''), '{_LINK}', 1) AS links FROM pages),
+judged AS (SELECT page_id, host, path, links, {_RULED(lambda v, h, p: h + p)} AS rule, {_RULED(lambda v, h, p: v)} AS ruled FROM parts),
+linked AS (SELECT host, translate(unnest(links), {_LOWER}) AS dst FROM judged WHERE host <> ''),
+edges AS (SELECT host AS src, dst, count(*)::DOUBLE AS w FROM linked WHERE host <> dst GROUP BY host, dst),
+{_walk("trust", "src", "dst", "allow")},
+{_walk("distrust", "dst", "src", "block")}
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {urlfilter.RATIO} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN rank_trust t ON t.host = j.host LEFT JOIN rank_distrust d ON d.host = j.host""",
     "op7_mixing": f"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS language, {_WORDS} AS n_tokens, coalesce(text, '') AS t FROM documents),
 marked AS (SELECT * EXCLUDE (t), {_TOPIC} AS topic, CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '?' || md5(t)) || ':{mixing.SEED}')[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS chance FROM docs),

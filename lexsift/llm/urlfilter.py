@@ -1,7 +1,8 @@
 """URL verdicts from rules and, where no rule fits, from link-graph propagation over hosts.
 
 Trust flows from hosts with allowed pages along links; distrust flows from hosts with blocked
-pages against them (who links to a bad host is suspect).  Both are personalised PageRanks.
+pages against them (who links to a bad host is suspect).  Both are personalised PageRanks, and a page that a
+rule allows starts as much trust as a blocked one starts distrust, so that the two compare.
 """
 
 from __future__ import annotations
@@ -42,13 +43,13 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of walk.
 
-    ``edges(kind, src, dst, w)`` and ``seeds(kind, host)``.  A walk restarts at a seed with
-    probability 1 - damping and wherever its host has no edge.  Ranks of a kind add up to 1.
+    ``edges(kind, src, dst, w)`` and ``seeds(kind, host, s)``.  A walk restarts at a seed, in proportion to s, with
+    probability 1 - damping and wherever its host has no edge.  Ranks of a kind add up to the sum of its s.
     Walks go on until no rank changes by more than ``tolerance`` times itself; a host that is
     reached for the first time changes by all of its rank.
     """
-    start = seeds.groupBy("kind").agg(F.count("*").alias("n"))
-    start = cut(seeds.join(F.broadcast(start), "kind").select("kind", "host", (1 / F.col("n")).alias("s")))  # a row for each kind of walk
+    start = cut(seeds.groupBy("kind", "host").agg(F.sum("s").alias("s")))
+    mass = {r[0]: r[1] for r in start.groupBy("kind").agg(F.sum("s")).collect()}  # a number for each kind of walk
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
     step = materialise(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total")).alias("p")), "steps")
     rank, zero = start.withColumnRenamed("s", "rank"), F.lit(0.0)
@@ -56,8 +57,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         moved = rank.join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("x"))
         moved = cut(moved.groupBy("kind", "host").agg(F.sum("x").alias("x")))
         kept = {r[0]: r[1] for r in moved.groupBy("kind").agg(F.sum("x")).collect()}  # a number for each kind
-        back = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(1.0 - kept[k])), sorted(kept), F) if kept else F.lit(1.0)
-        back = back.otherwise(F.lit(1.0)) if kept else back
+        back = F.lit(1.0)
+        for k in sorted(kept):
+            back = F.when(F.col("kind") == k, F.lit(1.0 - kept[k] / mass[k])).otherwise(back)
         returned = start.select("kind", "host", (F.col("s") * back).alias("x"))
         both = moved.withColumn("old", zero).union(returned.withColumn("old", zero)).union(rank.select("kind", "host", zero.alias("x"), F.col("rank").alias("old")))
         both = cut(both.groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")))
@@ -71,6 +73,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages(page_id, url, html)``.
 
+    Seeds are weighed by their pages that a rule allows or blocks; trust and distrust of all hosts add up to 1.
     Where no rule fits, a host is blocked if its distrust exceeds ``ratio`` times its trust, else
     allowed; hosts that neither walk reaches, and urls without a host, are allowed.  Null urls
     and html count as empty.  Repeated rows are judged alike and their links count again.
@@ -83,8 +86,10 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     linked = judged.filter("host <> ''").select("host", F.explode("links").alias("dst")).select("host", F.translate("dst", UPPER, LOWER).alias("dst")).filter("host <> dst")
     counted = linked.groupBy("host", "dst").agg(F.count("*").cast("double").alias("w"))
     edges = cut(counted.select(F.lit("trust").alias("kind"), F.col("host").alias("src"), "dst", "w").union(counted.select(F.lit("distrust"), F.col("dst"), F.col("host"), "w")))
-    seeds = judged.filter("host <> '' and ruled is not null").select(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host").distinct()
-    rank = propagate(edges, cut(seeds), damping, rounds)
+    seeds = judged.filter("host <> '' and ruled is not null").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host").count()
+    seeds = cut(seeds)
+    number = seeds.agg(F.sum("count")).first()[0] or 1
+    rank = propagate(edges, seeds.select("kind", "host", (F.col("count") / number).alias("s")), damping, rounds)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     zero = F.lit(0.0)
     out = judged.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", zero)).withColumn("distrust", F.coalesce("distrust", zero))

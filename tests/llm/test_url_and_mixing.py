@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,24 +27,31 @@ def plain_rule(host, path):
     return max(fit)[1:] if fit else (None, None)
 
 
-def plain_ranks(edges, seeds, rounds=urlfilter.ROUNDS, d=urlfilter.DAMPING):
-    if not seeds:
-        return {}
+def plain_ranks(edges, seeds, rounds=300, d=urlfilter.DAMPING):
     out = defaultdict(float)
     for (a, _), w in edges.items():
         out[a] += w
-    rank = {s: 1 / len(seeds) for s in seeds}
-    for _ in range(rounds):
+    rank, mass = dict(seeds), sum(seeds.values())
+    for _ in range(rounds if seeds else 0):
         new = defaultdict(float)
         for (a, b), w in edges.items():
             new[b] += d * rank.get(a, 0) * w / out[a]
-        back = 1 - sum(new.values())
-        for s in seeds:
-            new[s] += back / len(seeds)
+        back = mass - sum(new.values())
+        for s, x in seeds.items():
+            new[s] += back * x / mass
         rank = new
     return rank
 
 
+def seeds_of(parts, ruled, verdict):
+    number = sum(1 for p, r in zip(parts, ruled) if p[0] and r[1])
+    seeds = defaultdict(float)
+    for p, r in zip(parts, ruled):
+        if p[0] and r[1] == verdict:
+            seeds[p[0]] += 1 / number
+    return seeds
+
+
 def plain_verdicts(pages):
     parts = [plain_parts(u) for _, u, _ in pages]
     ruled = [plain_rule(*p) for p in parts]
@@ -53,8 +61,8 @@ def plain_verdicts(pages):
             link = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in link)
             if host and link != host:
                 edges[host, link] += 1
-    trust = plain_ranks(edges, {p[0] for p, r in zip(parts, ruled) if p[0] and r[1] == "allow"})
-    distrust = plain_ranks({(b, a): w for (a, b), w in edges.items()}, {p[0] for p, r in zip(parts, ruled) if p[0] and r[1] == "block"})
+    trust = plain_ranks(edges, seeds_of(parts, ruled, "allow"))
+    distrust = plain_ranks({(b, a): w for (a, b), w in edges.items()}, seeds_of(parts, ruled, "block"))
     return sorted((i or -1, h, p, r[0] or "", r[1] or ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow")) for (i, _, _), (h, p), r in zip(pages, parts, ruled))
 
 
@@ -85,10 +93,34 @@ def test_trust_and_distrust_reach_as_far_as_links_do(spark):
     assert (got[21].verdict, got[22].verdict, got[22].trust) == ("allow", "allow", 0.0) and got[21].trust > 0
 
 
+def test_seeds_weigh_as_much_as_their_pages(spark):
+    """Two allowed pages and one blocked: the host's other pages are allowed, whatever the corpus has elsewhere."""
+    rules = (("allow", "m.net", "/good/"), ("block", "m.net", "/bad/"), ("allow", "org", "/"), ("block", "bad.org", "/"))
+    pages = [(1, "http://m.net/good/1", ""), (2, "http://m.net/good/2", ""), (3, "http://m.net/bad/1", ""), (4, "http://m.net/x", "")]
+    more = [(10 + i, f"http://h{i}.org/", "") for i in range(20)] + [(40, "http://bad.org/", "")]
+    for frame in (pages, pages + more, pages + more[:1] + more[-1:]):
+        got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(frame, "page_id long, url string, html string"), rules).collect()}
+        assert got[4] == "allow" and got[3] == "block"
+    flipped = [(5, "http://m.net/bad/2", ""), (6, "http://m.net/bad/3", "")]
+    assert {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages + flipped, "page_id long, url string, html string"), rules).collect()}[4] == "block"
+
+
+def test_url_sql_walks_along_links_as_well(spark):
+    rows = [(1, "http://farm.net/a", "<a href=http://com/de/x><a HREF='HTTP://hub.net/'>"), (2, "http://hub.net/", '<a href="http://farm.net/q">' * 3), (3, "http://good.org/", "<a href=//good.net/>"), (4, "http://good.net/", None), (5, "http://com/de/y", ""), (None, None, "x"), (6, "HTTP://Example.ORG/es/1?q#z", "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.execute(queries.ORACLE["op5_url_filter"])
+    columns = [d[0] for d in want.description]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).select(columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+    assert {r.page_id: r.verdict for r in got}[2] == "block"
+
+
 def test_ranks_settle(spark):
     edges = spark.createDataFrame([("trust", a, b, 1.0) for a, b in ("ab", "ba", "bc", "cd", "dc")], "kind string, src string, dst string, w double")
-    got = {r.host: r.rank for r in urlfilter.propagate(edges, spark.createDataFrame([("trust", "a")], "kind string, host string")).collect()}
-    expect = plain_ranks({(a, b): 1.0 for a, b in ("ab", "ba", "bc", "cd", "dc")}, {"a"}, rounds=500)
+    got = {r.host: r.rank for r in urlfilter.propagate(edges, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, s double")).collect()}
+    expect = plain_ranks({(a, b): 1.0 for a, b in ("ab", "ba", "bc", "cd", "dc")}, {"a": 1.0}, rounds=500)
     assert got == pytest.approx(expect, rel=1e-4)
 
 
