@@ -76,23 +76,39 @@ def base_spans(text: str) -> list[Span]:
 AROUND = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]{2,63}){1,4}", re.I)
 LOCAL_PHONE = re.compile(r"(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])")
 SIX = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![\w:])")
-KEYED = re.compile(r"(?<!\w)(?:api[_-]?key|access[_-]?key|passwo?r?d|secret|token)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,512})(?![A-Za-z0-9+/_-])", re.I)
+KEYED = re.compile(r"(?<!\w)(?:api[_-]?key|access[_-]?key|passwo?r?d|secret|token)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,}+)", re.I)
 NATIONAL = re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 TITLED = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ([A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?)(?!\w)")
 
 # Gazetteers and context words of the labelers.
-NAMES = frozenset("Alice Anna Carlos Carmen David Elena Emma Hans Ingrid James Jean John José Juan Karl Laura Linda Maria Marie Michael Paul Peter Pierre Robert Sarah Thomas".split())
-DOMAIN_ENDS = frozenset("com org net edu gov io de fr es uk eu info".split())
+NAMES = frozenset(
+    """Adam Ahmed Alain Alan Alejandro Alexander Alice Ana Andrea Andrew Angela Ann Anna Anne Antonio Barbara Ben Bernd Bernard Brian Carlos Carmen Carol Caroline
+    Catherine Charles Christian Christine Christopher Claire Claudia Daniel David Deborah Dieter Dominique Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Eva
+    Fatima Fernando Francesca Francisco Frank François Franz Gabriel Georg George Giulia Hans Heike Helen Helga Henri Ingrid Isabel Isabelle Jack Jacques James Jan
+    Jane Javier Jean Jennifer Jessica Joan John Jonas Jorge Joseph José Juan Julia Julie Karen Karl Kevin Klaus Laura Laurent Lena Linda Lisa Louis Lucia Luis
+    Manuel Marco Margaret Maria Marie Mark Martin Mary Matthew Max Michael Michel Miguel Mohamed Monika Nancy Nathalie Nicolas Nicole Olivier Pablo Patricia Patrick
+    Paul Pedro Peter Philippe Pierre Rafael Ralf Richard Robert Rosa Ruth Sabine Sandra Sara Sarah Sebastian Silvia Sofia Sophie Stefan Stephen Steven Susan
+    Sylvie Teresa Thomas Tim Ursula Uwe Victor Walter William Wolfgang""".split()
+)
+DOMAIN_ENDS = frozenset("com org net edu gov mil int info biz name".split())  # besides all of two letters
 CONTEXT = {
-    "email": ("mail", "contact", "write", "reach", "courriel", "correo"),
-    "ip": ("ip", "address", "host", "server", "addr"),
-    "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("call", "tel", "phone", "fax", "mobile", "telefon", "número"),
-    "secret": ("token", "key", "secret", "password", "passwd"),
-    "national_id": ("ssn", "social", "security", "id"),
-    "person": ("name", "from", "dear", "signed", "contact"),
+    "email": "mail email e-mail contact write reach courriel correo",
+    "ip": "ip address host server addr",
+    "card": "card visa mastercard amex credit payment karte carte tarjeta",
+    "phone": "call tel phone telephone fax mobile telefon número",
+    "secret": "token key secret password passwd",
+    "national_id": "ssn social security id",
+    "person": "name from dear signed contact",
 }
-AGAINST = ("version", "isbn", "issue", "figure", "page", "ratio", "score", "chapter", "section", "#")
+AGAINST = "version isbn issue figure page ratio score chapter section"
+
+
+def _words(words: str) -> re.Pattern:
+    """Any of the words as a word of its own, also with an s."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words.split()))})s?(?!\w)", re.I)
+
+
+SAID, DOUBTED = {k: _words(v) for k, v in CONTEXT.items()}, _words(AGAINST)
 
 
 def proposals(text: str) -> list[Span]:
@@ -121,32 +137,35 @@ def votes(text: str, kind: str, start: int, end: int) -> str:
     """One character for each labeler: shape, validity, gazetteer, context, counter-context, variety."""
     span = text[start:end]
     digits = "".join(c for c in span if c in "0123456789")
-    before = text[max(0, start - 32) : start].lower()
-    around = before + " " + text[end : end + 16].lower()
+    before = text[max(0, start - 32) : start]
+    listed = None  # no gazetteer has a say
     if kind == "email":
         shape = "@" in span or "at" in span.lower()
         valid = len(span) <= 254 and not re.search(r"\.\.|^-|-$", span)
-        listed = re.split(r"[.\s\])]+", span.lower())[-1] in DOMAIN_ENDS
+        ending = re.split(r"[.\s\])]+", span.lower())[-1]
+        listed = len(ending) == 2 or ending in DOMAIN_ENDS
     elif kind == "ip":
+        shape, valid = span.count(".") == 3 or span.count(":") > 3, True
         try:
             address = ipaddress.ip_address(span)
-            shape, valid, listed = True, True, address.is_global or address.is_private
+            listed = address.is_global or address.is_private and not address.is_unspecified
         except ValueError:
-            shape, valid, listed = False, False, False
+            valid = False
     elif kind == "card":
-        shape, valid, listed = 14 <= len(digits) <= 19, luhn(digits), digits[:1] in "3456"
+        shape, valid, listed = len(digits) in (15, 16), luhn(digits), digits[:1] in "3456"
     elif kind == "phone":
-        shape, valid, listed = len(digits) >= 10, 10 <= len(digits) <= 15 and digits[-10] not in "01", span.startswith("+") or span.startswith("(")
+        shape, valid = len(digits) >= 10, 10 <= len(digits) <= 15 and digits[-10] not in "01"
+        listed = span[0] in "+(" or None
     elif kind == "secret":
-        shape, valid, listed = len(span) >= 20, bool(digits) and any(c.isalpha() for c in span), bool(re.fullmatch(r"[0-9a-fA-F]+|[A-Za-z0-9+/_-]+", span))
+        shape, valid = len(span) >= 20, bool(digits) and any(c.isalpha() for c in span)
     elif kind == "national_id":
-        shape, valid, listed = len(digits) == 9, digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00", False
+        shape, valid = len(digits) == 9, digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00"
     else:
         shape, valid, listed = span[:1].isupper(), len(span) > 2, span.split()[0] in NAMES
-    said = any(w in around for w in CONTEXT[kind])
-    doubted = any(w in before for w in AGAINST)
+    said = SAID[kind].search(before) or SAID[kind].search(text[end : end + 16])
+    doubted = DOUBTED.search(before) or before.endswith("#")
     varied = len(set(span)) > 3
-    return "".join((YES if shape else NO, YES if valid else NO, YES if listed else (NO if kind == "person" else ABSTAIN), YES if said else ABSTAIN, NO if doubted else ABSTAIN, ABSTAIN if varied else NO))
+    return "".join((YES if shape else NO, YES if valid else NO, ABSTAIN if listed is None else YES if listed else NO, YES if said else ABSTAIN, NO if doubted else ABSTAIN, ABSTAIN if varied else NO))
 
 
 def pattern(text: str, span: Span) -> str:
@@ -174,28 +193,30 @@ def examine(text: str) -> tuple[list[Span], list[tuple[Span, str]]]:
 
 
 class Reliability:
-    """Dawid-Skene estimates from a tally of vote patterns, and a classifier trained on them."""
+    """Dawid-Skene estimates from a tally of vote patterns, and a classifier trained on them.
+
+    Each labeler has a sensitivity and a specificity for each kind.
+    """
 
     def __init__(self, tally: dict[str, int], rounds: int = 60):
         self.patterns = sorted(tally)
         weight = np.array([tally[p] for p in self.patterns], float)
         kinds = np.array([ORDER[p.split("|")[0]] for p in self.patterns], int)
         cast = np.array([[{YES: 1, NO: 0, ABSTAIN: 2}[c] for c in p.split("|")[1]] for p in self.patterns], int).reshape(-1, LABELERS)
+        of = (kinds[:, None] == np.arange(len(KINDS))).astype(float)  # patterns of each kind
+        yes, no = (cast == 1).astype(float), (cast == 0).astype(float)
         # posterior from the share of yes votes, then alternate
-        yes, no = (cast == 1).sum(1), (cast == 0).sum(1)
-        truth = (yes + 0.5) / (yes + no + 1.0)
-        self.sensitivity, self.specificity = np.full(LABELERS, 0.8), np.full(LABELERS, 0.8)
+        truth = (yes.sum(1) + 0.5) / (yes.sum(1) + no.sum(1) + 1.0)
+        self.sensitivity = np.full((len(KINDS), LABELERS), 0.8)
+        self.specificity = self.sensitivity.copy()
         for _ in range(rounds if len(weight) else 0):
-            for k in range(LABELERS):
-                voted = cast[:, k] != 2
-                w1, w0 = weight * truth * voted, weight * (1 - truth) * voted
-                # The prior keeps every labeler better than chance, so that truth keeps its meaning.
-                self.sensitivity[k] = np.clip(((w1 * (cast[:, k] == 1)).sum() + 8) / (w1.sum() + 10), 0.51, 0.999)
-                self.specificity[k] = np.clip(((w0 * (cast[:, k] == 0)).sum() + 8) / (w0.sum() + 10), 0.51, 0.999)
-            prior = np.array([((weight * truth)[kinds == k].sum() + 1) / (weight[kinds == k].sum() + 2) for k in range(len(KINDS))])
-            odds = np.log(prior / (1 - prior))[kinds]
-            for k in range(LABELERS):
-                odds = odds + np.where(cast[:, k] == 1, np.log(self.sensitivity[k] / (1 - self.specificity[k])), 0) + np.where(cast[:, k] == 0, np.log((1 - self.sensitivity[k]) / self.specificity[k]), 0)
+            true, false = of.T * (weight * truth), of.T * (weight * (1 - truth))
+            # The prior keeps every labeler better than chance, so that truth keeps its meaning.
+            self.sensitivity = np.clip((true @ yes + 8) / (true @ (yes + no) + 10), 0.51, 0.999)
+            self.specificity = np.clip((false @ no + 8) / (false @ (yes + no) + 10), 0.51, 0.999)
+            prior = (true.sum(1) + 1) / (true.sum(1) + false.sum(1) + 2)
+            for_, against = np.log(self.sensitivity / (1 - self.specificity))[kinds], np.log((1 - self.sensitivity) / self.specificity)[kinds]
+            odds = np.log(prior / (1 - prior))[kinds] + (yes * for_ + no * against).sum(1)
             truth = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         self.posterior = truth
         self._train(weight, truth)
@@ -218,7 +239,7 @@ class Reliability:
         for _ in range(steps):
             guess = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
             gradient = x.T @ (share * (guess - truth)) + ridge * self.weights
-            speed = 0.9 * speed - 1.0 * gradient
+            speed = 0.9 * speed - gradient
             self.weights += speed
 
     def accepted(self, least: float = 0.5) -> frozenset[str]:

@@ -82,11 +82,103 @@ def test_reliabilities_tell_a_random_labeler_from_good_ones():
         vote = lambda right: pii.YES if (true if rng.random() < right else not true) else pii.NO
         tally[f"email|{vote(0.95)}{vote(0.9)}{vote(0.55)}{vote(0.9)}--|4"] += 1
     found = pii.Reliability(tally)
-    assert found.sensitivity[0] > 0.9 and found.sensitivity[2] < 0.65 and found.specificity[1] > 0.8
+    assert found.sensitivity[0, 0] > 0.9 and found.sensitivity[0, 2] < 0.65 and found.specificity[0, 1] > 0.8
     assert "email|1111--|4" in found.accepted() and "email|0000--|4" not in found.accepted()
     assert pii.Reliability({}).accepted() == frozenset()
 
 
+def test_labelers_have_a_reliability_for_each_kind():
+    tally = {"email|11111-|4": 500, "email|1101--|4": 3, "person|11011-|4": 400, "person|110---|4": 100, "person|001-0-|3": 400}
+    found = pii.Reliability({k.replace("11111-", "1111--").replace("11011-", "1101--"): n for k, n in tally.items()})
+    assert found.sensitivity[pii.ORDER["email"], 2] > 0.9 > 0.6 > found.sensitivity[pii.ORDER["person"], 2]
+
+
+def test_long_secrets_are_proposed_whole():
+    assert pii.proposals("secret: " + "k3" * 5000 + " end") == [("secret", 8, 10_008)]
+
+
+def test_context_words_are_whole_words():
+    vote = lambda text, kind, span: pii.votes(text, kind, text.index(span), text.index(span) + len(span))[3:5]
+    for text, said in (("she did 123-45-6789", "-"), ("her id: 123-45-6789", "1"), ("IDs 123-45-6789", "1"), ("valid 123-45-6789", "-")):
+        assert vote(text, "national_id", "123-45-6789")[0] == said
+    for text, said in (("the trip 10.0.0.1", "-"), ("IP 10.0.0.1", "1"), ("10.0.0.1 hosts", "1")):
+        assert vote(text, "ip", "10.0.0.1")[0] == said
+    assert vote("webpage 555-123-4567", "phone", "555")[1] == "-" and vote("page 555-123-4567", "phone", "555")[1] == "0" and vote("#555-123-4567", "phone", "555")[1] == "0"
+
+
+LOOSE = {
+    "email": [pii.AROUND], "phone": [pii.LOCAL_PHONE], "ip": [pii.SIX], "secret": [pii.KEYED], "national_id": [pii.NATIONAL], "person": [pii.TITLED],
+}
+
+
+def plain_examined(text):
+    """Base spans and further proposals, by trying all patterns and comparing all pairs of spans."""
+    base = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in plain_spans(text)]
+    loose = [(k, *m.span(m.re.groups)) for k, ps in LOOSE.items() for p in ps for m in p.finditer(text)]
+    taken, last = [], 0
+    for s in sorted(loose, key=lambda s: (s[1], list(PLAIN | LOOSE).index(s[0]))):
+        if s[1] >= last and not any(b[1] < s[2] and s[1] < b[2] for b in base):
+            taken.append(s)
+            last = s[2]
+    return base, taken
+
+
+def plain_accepted(tally):
+    """Expectation-maximisation and the classifier in loops over single votes."""
+    truth = {}
+    for p in tally:
+        cast = p.split("|")[1]
+        truth[p] = (cast.count("1") + 0.5) / (cast.count("1") + cast.count("0") + 1)
+    bound = lambda x: min(0.999, max(0.51, x))
+    for _ in range(60):
+        odds = {}
+        for kind in pii.KINDS:
+            mine = [p for p in tally if p.startswith(kind + "|")]
+            good, bad = sum(tally[p] * truth[p] for p in mine), sum(tally[p] * (1 - truth[p]) for p in mine)
+            for p in mine:
+                odds[p] = math.log((good + 1) / (bad + 1))
+            for k in range(pii.LABELERS):
+                n = {(v, t): sum(tally[p] * (truth[p] if t else 1 - truth[p]) for p in mine if p.split("|")[1][k] == v) for v in "01" for t in (0, 1)}
+                sensitivity, specificity = bound((n["1", 1] + 8) / (n["1", 1] + n["0", 1] + 10)), bound((n["0", 0] + 8) / (n["1", 0] + n["0", 0] + 10))
+                for p in mine:
+                    v = p.split("|")[1][k]
+                    odds[p] += math.log(sensitivity / (1 - specificity)) if v == "1" else math.log((1 - sensitivity) / specificity) if v == "0" else 0
+        truth = {p: 1 / (1 + math.exp(-min(30, max(-30, o)))) for p, o in odds.items()}
+    rows = {p: {"1", p.split("|")[0], "size" + p.split("|")[2], *(f"{k}{v}" for k, v in enumerate(p.split("|")[1]) if v != "-")} for p in tally}
+    weights, speed = Counter(), Counter()
+    share = {p: math.sqrt(n) / sum(map(math.sqrt, tally.values())) for p, n in tally.items()}
+    for _ in range(400):
+        gradient = Counter()
+        for p, fs in rows.items():
+            error = share[p] * (1 / (1 + math.exp(-sum(weights[f] for f in fs))) - truth[p])
+            for f in fs:
+                gradient[f] += error
+        for f in set().union(*rows.values()):
+            speed[f] = 0.9 * speed[f] - gradient[f] - 1e-3 * weights[f]
+            weights[f] += speed[f]
+    return {p for p, fs in rows.items() if sum(weights[f] for f in fs) >= 0}
+
+
+def test_added_spans_against_a_plain_version(spark, sf):
+    rng = np.random.default_rng(1)
+    rows = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
+    said = ["mail", "did", "call", "version", "id", "dear", "page", "host", "#", "x"]
+    make = ["j.roe{} (at) mail (dot) com", "555-{}12-3456", "(212) 555-0{}17", "fe80:{}::1:2", "12:{}:45:07", "api_key = abc{}defghij1234567890", "Mr Peter Roe{}", "Dr Xu", "123-4{}-6789", "000-1{}-0000", "10.0.0.{}", "+1 555 123 45{}"]
+    for i in range(400):
+        rows.append((10_000 + i, " ".join(f"{rng.choice(said)} {rng.choice(make).format(rng.integers(0, 10))}," for _ in range(rng.integers(1, 4)))))
+    examined = {i: plain_examined(t or "") for i, t in rows}
+    tally = Counter(pii.pattern(t, s) for i, t in rows for part in examined[i] for s in part)
+    accepted = plain_accepted(tally)
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = 0
+    for i, t in rows:
+        base, extra = examined[i]
+        extra = [s for s in extra if pii.pattern(t, s) in accepted]
+        added += len(extra)
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + extra, key=lambda s: (s[1], pii.KINDS.index(s[0]))))
+    assert added > 50 and len(accepted) < len(tally)
+
+
 def test_toxicity_on_held_out_labels(spark):
     path = "/root/testdata/sf0.1"
     docs, labels = queries.table(spark, path, "documents"), queries.table(spark, path, "labels")
