@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,31 +16,62 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset (tests,
-    local runs) is a temporary folder of this machine used instead.
+    The session's ``spark.checkpoint.dir`` names it.  Only where that is unset and all of Spark
+    is in one process is a temporary folder of this machine used instead; a cluster without a
+    shared folder is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = spark.sparkContext._lexsift_dir = getattr(spark.sparkContext, "_lexsift_dir", None) or tempfile.mkdtemp(prefix="lexsift-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = context._lexsift_dir = getattr(context, "_lexsift_dir", None) or tempfile.mkdtemp(prefix="lexsift-")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(named)
     return named
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Paths of the tables that are written down meanwhile, so that they can be removed after use."""
+    _SCOPES.append(made := [])
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that ``materialise`` wrote; frames that read them can't be used any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that survives the loss of executors, and pins down anything that
-    depends on how rows were dealt over tasks.
+    depends on how rows were dealt over tasks.  The table stays, as results are read from it
+    lazily, until the path, which a ``scope`` tells, is given to ``remove``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexsift-{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for loops; Spark deletes it when it is no longer referenced."""
+    """Reliable checkpoint, for small tables in loops.
+
+    Spark deletes it once nothing refers to it if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is on; else it stays until the shared folder is cleared.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -1,15 +1,46 @@
 """The pipeline's stages, each against a plain version on what its predecessor kept."""
 
+import os
+
 import numpy as np
 import public_tokenizers
+import pytest
 from test_dedup_and_search import plain_fingerprint, reach
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexsift.llm import mixing, pii, toxicity
+from lexsift.llm import common, mixing, pii, toxicity
 from lexsift.llm.common import ascii_words
 
 
+def test_scratch_tables_are_told_and_removed(spark):
+    with common.scope() as made:
+        kept = common.materialise(spark.range(3), "a")
+        common.materialise(spark.range(4), "b")
+    common.materialise(spark.range(5), "c")
+    assert [p.split("lexsift-")[-1][0] for p in made] == ["a", "b"] and kept.count() == 3
+    common.remove(spark, made)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in made)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Fake:
+        conf = type("conf", (), {"get": staticmethod(lambda *_: None)})
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: type("conf", (), {"get": staticmethod(lambda *_: None)}))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Fake)
+
+
+def test_no_labels_keep_the_corpus(spark, sf):
+    """The toxicity stage without a single label keeps every document."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
+
+
 def test_stages_one_by_one(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = [docs.collect()]
