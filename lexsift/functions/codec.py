@@ -18,6 +18,21 @@ def code_bytes(number: Column) -> Column:
     return F.when(number < one, 1).when(number < two, 2).when(number < three, 3).otherwise(4)
 
 
+def code_hex(number: Column) -> Column:
+    """The bytes of a whole number in hexadecimal digits: the two top bits hold how many bytes follow the first."""
+    size = code_bytes(number)
+    return F.lower(F.lpad(F.hex(number + _mark(size)), size * 2, "0"))
+
+
+def code_number(code: Column) -> Column:
+    """The number that ``code_hex`` wrote."""
+    return F.conv(code, 16, 10).cast("long") - _mark(F.length(code) / 2)
+
+
+def _mark(size: Column) -> Column:
+    return F.when(size == 1, 0).when(size == 2, 1 << 14).when(size == 3, 2 << 22).otherwise(3 << 30).cast("long")
+
+
 #: Numbers in a stretch of a posting list.  Stretches are worked on apart and then joined up,
 #: so the list of a word that is in every review is no single task's work.
 STRETCH = 1 << 20
@@ -29,21 +44,37 @@ def gaps(postings: DataFrame, key: str = "token", stretch: int = STRETCH) -> Dat
     placed = postings.withColumn("_part", cut)
     last = placed.groupBy(key, "_part").agg(F.max("review_id").alias("_last"))
     parts = Window.partitionBy(key).orderBy("_part")
-    ahead = last.select(key, "_part", F.lag("_last", 1, 0).over(parts).alias("_ahead"))
+    ahead = last.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.lag("_last", 1, 0).over(parts).alias("_ahead"))
     inside = Window.partitionBy(key, "_part").orderBy("review_id")
-    stepped = placed.withColumn("_before", F.lag("review_id").over(inside)).join(ahead, [key, "_part"])
+    stepped = placed.withColumn("_before", F.lag("review_id").over(inside)).join(*_same(ahead, key)).drop("_key", "_at")
     gap = (F.col("review_id") - F.coalesce("_before", "_ahead")).cast("int")
     return stepped.select(*postings.columns, gap.alias("gap"))
 
 
+def _same(parts: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Join to ``parts(_key, _at, ...)`` on key and stretch; a null key is a key like any other."""
+    return parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))
+
+
+def ordinals(postings: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
+    """``postings(key, review_id, ...)`` with position: the place, from 1, in the key's list by review."""
+    placed = postings.withColumn("_part", F.floor(F.col("review_id") / stretch).cast("long"))
+    sizes = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    parts = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(parts), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(key, "_part").orderBy("review_id")
+    numbered = placed.withColumn("_within", F.row_number().over(inside)).join(*_same(ahead, key))
+    return numbered.select(*postings.columns, (F.col("_ahead") + F.col("_within")).alias("position"))
+
+
 def decoded(gapped: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
     """(key, review_id, tf): review ids again, as running sums of ``gapped(key, position, gap, tf)``."""
     placed = gapped.withColumn("_part", F.floor(F.col("position") / stretch).cast("long"))
     sums = placed.groupBy(key, "_part").agg(F.sum("gap").alias("_sum"))
     parts = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(parts), F.lit(0)).alias("_ahead"))
+    ahead = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(parts), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy(key, "_part").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumn("_run", F.sum("gap").over(inside)).join(ahead, [key, "_part"])
+    summed = placed.withColumn("_run", F.sum("gap").over(inside)).join(*_same(ahead, key))
     return summed.select(key, (F.col("_ahead") + F.col("_run")).cast("int").alias("review_id"), "tf")
 
 
@@ -60,3 +91,17 @@ def front_coded(numbered: DataFrame) -> DataFrame:
     before = F.lag("token").over(block)
     prefix = F.coalesce(shared_prefix(before, F.col("token")), F.lit(0)).cast("int")
     return numbered.select("token_id", "token", prefix.alias("prefix")).withColumn("suffix", F.expr("substring(token, prefix + 1)"))
+
+
+def front_decoded(coded: DataFrame) -> DataFrame:
+    """(token_id, token) restored from ``front_coded``'s token_id, prefix and suffix; a block is one row meanwhile."""
+    block = F.floor(F.col("token_id") / BLOCK).alias("_block")
+    blocks = coded.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("token_id", "prefix", "suffix"))).alias("words"))  # BLOCK words
+    none = F.array().cast("array<struct<token_id:int,token:string>>")
+
+    def add(done: Column, word: Column) -> Column:
+        before = F.when(F.size(done) > 0, F.element_at(done, -1)["token"]).otherwise("")
+        token = F.concat(before.substr(F.lit(1), word["prefix"]), word["suffix"])
+        return F.concat(done, F.array(F.struct(word["token_id"].alias("token_id"), token.alias("token"))))
+
+    return blocks.select(F.inline(F.aggregate("words", none, add)))

@@ -19,7 +19,7 @@ MANIFEST, VERSION = "manifest.json", 1
 def dense_ids(values: DataFrame, column: str, name: str, prefix: int) -> DataFrame:
     """Number the distinct values of ``column`` from 0 in sorted order.
 
-    Values are ranked within their first ``prefix`` characters and shifted by the number of
+    A null is the first value.  Values are ranked within their first ``prefix`` characters and shifted by the number of
     values in smaller prefixes, so no task sees all of them.
     """
     keyed = values.select(column).distinct().withColumn("_head", F.substring(column, 1, prefix))
@@ -27,7 +27,8 @@ def dense_ids(values: DataFrame, column: str, name: str, prefix: int) -> DataFra
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_head").orderBy(column)))
     shifts = sizes.select("_head", before.alias("_before"))
-    return ranked.join(shifts, "_head").select((F.col("_before") + F.col("_rank") - 1).cast("int").alias(name), column)
+    shifts = shifts.withColumnRenamed("_head", "_of")
+    return ranked.join(shifts, F.col("_head").eqNullSafe(F.col("_of"))).select((F.col("_before") + F.col("_rank") - 1).cast("int").alias(name), column)
 
 
 def term_postings(reviews: DataFrame) -> DataFrame:
@@ -59,6 +60,11 @@ class SearchIndex:
         postings = term_postings(reviews)
         return SearchIndex(attributes, postings, lexicon_of(postings))
 
+    @property
+    def access(self) -> str:
+        """The access path for terms with ``*``: what is stored, else LIKE over the lexicon."""
+        return "permuterm" if self.stored_rotations is not None else "bigram" if self.stored_bigrams is not None else "like"
+
     def cached(self) -> "SearchIndex":
         postings = self.postings.persist()
         return SearchIndex(self.reviews.persist(), postings, lexicon_of(postings).persist(), self.stored_bigrams, self.stored_rotations)

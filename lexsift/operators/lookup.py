@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsift.functions.tokens import matches
-
 from .index import SearchIndex
-from .wildcard import expand
+from .wildcard import expand_terms
 
 
 def review_attributes(index: SearchIndex, ids: Sequence[int]) -> DataFrame:
@@ -32,18 +29,43 @@ def frequencies(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
     """
     spark = index.lexicon.sparkSession
     asked = spark.createDataFrame([(t.lower(),) for t in dict.fromkeys(terms)], "term string").distinct()
-    found = expand(index.lexicon, terms).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    found = expand_terms(index, terms).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     zero = F.lit(0)
     return asked.join(found, "term", "left").select("term", F.coalesce("df", zero).cast("long").alias("df"), F.coalesce("cf", zero).cast("long").alias("cf"))
 
 
+#: Tokens of a query that are looked for by a list in the scan; more meet the postings by a join.
+LISTED = 1024
+
+
+def term_postings(index: SearchIndex, terms: Sequence[str]) -> tuple[DataFrame, dict[str, list[str]] | None]:
+    """Postings of the tokens that terms fit, and the tokens of each term.
+
+    Terms are expanded once, through the index.  Up to LISTED tokens are then a list (few) or a range (more) that the
+    sorted postings' files are picked by.  Beyond, the second result is None and the
+    postings have a column ``term`` and a row for each term that fits.
+    """
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    plain = {t: [t] for t in terms}
+    if not any("*" in t for t in terms):
+        return index.postings.filter(F.col("token").isin(terms)), plain
+    matched = expand_terms(index, terms).select("term", "token")
+    some = matched.limit(LISTED + 1).collect()
+    if len(some) > LISTED:
+        return index.postings.join(matched, "token"), None
+    fitting: dict[str, list[str]] = {t: [] for t in terms}
+    for term, token in some:
+        fitting[term].append(token)
+    return index.postings.filter(F.col("token").isin(sorted({t for _, t in some}))), fitting
+
+
 def reviews_with(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
     """(term, review_id, tf): reviews that hold a term; tf sums over the tokens it fits."""
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    token = F.col("token")
-    some = index.postings.filter(reduce(lambda a, b: a | b, (matches(token, t) for t in terms)))
-    fitting = F.array_compact(F.array(*(F.when(matches(token, t), F.lit(t)) for t in terms)))
-    return some.select(F.explode(fitting).alias("term"), "review_id", "tf").groupBy("term", "review_id").agg(F.sum("tf").alias("tf"))
+    some, fitting = term_postings(index, terms)
+    if fitting is not None:
+        chosen = F.array_compact(F.array(*(F.when(F.col("token").isin(tokens), F.lit(t)) for t, tokens in fitting.items())))
+        some = some.select(F.explode(chosen).alias("term"), "review_id", "tf")
+    return some.groupBy("term", "review_id").agg(F.sum("tf").alias("tf"))
 
 
 def reviews_of(index: SearchIndex, products: Sequence[str]) -> DataFrame:

@@ -11,10 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexsift.functions.tokens import matches
-
 from .index import SearchIndex
-from .lookup import frequencies
+from .lookup import frequencies, term_postings
 
 
 def term_counts(query: Sequence[str]) -> dict[str, int]:
@@ -57,12 +55,12 @@ def weigh(index: SearchIndex, query: Sequence[str]) -> list[Term]:
 def _term_frequencies(index: SearchIndex, terms: list[Term]) -> DataFrame:
     """(review_id, length, tf0, tf1, ...): one row for each review with any of the terms.
 
-    One pass over the postings with all terms side by side: the filter reaches the scan, sums
+    One pass over the postings with all terms side by side: tokens reach the scan as a list, sums
     are partial before the one shuffle, and scores are then computed within a row in term order.
     """
-    token = F.col("token")
-    some = index.postings.filter(reduce(lambda a, b: a | b, (matches(token, t.term) for t in terms)))
-    sums = [F.coalesce(F.sum(F.when(matches(token, t.term), F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, t in enumerate(terms)]
+    some, fitting = term_postings(index, [t.term for t in terms])
+    own = lambda t: F.col("term") == t.term if fitting is None else F.col("token").isin(fitting[t.term])
+    sums = [F.coalesce(F.sum(F.when(own(t), F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, t in enumerate(terms)]
     return some.groupBy("review_id", "length").agg(*sums)
 
 
@@ -108,9 +106,9 @@ def product_scores(index: SearchIndex, query: Sequence[str]) -> DataFrame:
     return blended.groupBy("product_id").agg(F.avg("rank").alias("rank"))
 
 
-def top(scores: DataFrame, k: int, key: str, by: Column | None = None) -> DataFrame:
-    """The k best rows, ties to the smaller key.  Ranks are compared to nine decimals."""
-    return scores.orderBy((F.round("rank", 9) if by is None else by).desc_nulls_last(), F.col(key).asc()).limit(max(0, k))
+def top(scores: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best rows, ties to the smaller key.  Ranks are compared as they are."""
+    return scores.orderBy(F.col("rank").desc_nulls_last(), F.col(key).asc()).limit(max(0, k))
 
 
 def vector_space_search(index: SearchIndex, query: Sequence[str], k: int) -> DataFrame:
@@ -118,12 +116,12 @@ def vector_space_search(index: SearchIndex, query: Sequence[str], k: int) -> Dat
 
 
 def log_rank() -> Column:
-    """Language-model ranks on a log scale, null for 0: they are too small for fixed decimals."""
+    """Language-model ranks on a log scale, null for 0, for showing: they are too small for fixed decimals."""
     return F.when(F.col("rank") > 0, F.round(F.log10("rank"), 9))
 
 
 def language_model_search(index: SearchIndex, query: Sequence[str], lam: float, k: int) -> DataFrame:
-    return top(lm_scores(index, query, lam), k, "review_id", log_rank())
+    return top(lm_scores(index, query, lam), k, "review_id")
 
 
 def product_search(index: SearchIndex, query: Sequence[str], k: int) -> DataFrame:

@@ -13,6 +13,21 @@ from lexsift.functions.tokens import ALPHABET, matches
 from .index import SearchIndex
 
 
+def expand_terms(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
+    """(term, token, df, cf) for every token that a term fits, through the index's own access path.
+
+    Terms without ``*`` are looked up in the lexicon; the others come from the stored rotations or
+    bigrams, by ranges and lists of keys that reach the scan, and meet the lexicon by token.
+    """
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    wild = [t for t in terms if "*" in t]
+    if index.access == "like" or not wild:
+        return expand(index.lexicon, terms)
+    exact = expand(index.lexicon, [t for t in terms if "*" not in t])
+    found = expand_by(index, wild, index.access).join(index.lexicon, "token").select("term", "token", "df", "cf")
+    return exact.union(found)
+
+
 def expand(lexicon: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(term, token, df, cf) for every lexicon token that a term fits; one scan for all terms."""
     terms = list(dict.fromkeys(t.lower() for t in terms))
@@ -66,5 +81,6 @@ def expand_by(index: SearchIndex, terms: Sequence[str], path: str) -> DataFrame:
     if path == "like":
         return expand(index.lexicon, terms).select("term", "token")
     candidates = {"permuterm": candidates_by_rotation, "bigram": candidates_by_bigram}[path]
-    frames = [candidates(index, t).filter(matches(F.col("token"), t)).select(F.lit(t.lower()).alias("term"), "token") for t in dict.fromkeys(terms)]
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    frames = [candidates(index, t).filter(matches(F.col("token"), t)).select(F.lit(t.lower()).alias("term"), "token") for t in terms]
     return reduce(DataFrame.union, frames)

@@ -87,6 +87,7 @@ def _lm(query, lam: float) -> str:
 
 _ROUND = " SELECT review_id, round(rank, 9) AS rank FROM ranked"
 _LOG = " SELECT review_id, CASE WHEN rank > 0 THEN round(log10(rank), 9) END AS log_rank FROM ranked"
+_CODED = "CASE WHEN gap < 64 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 4194304 THEN 3 ELSE 4 END"
 _PRODUCTS = (
     _vsm(q.PRODUCT_QUERY)
     + """, blended AS (SELECT v.product_id, avg(0.8 * rank * score / 5 + 0.2 * (CASE WHEN help_den = 0 THEN 0.5 ELSE help_num::DOUBLE / help_den END) * rank) AS rank
@@ -94,11 +95,18 @@ _PRODUCTS = (
 )
 
 
-def _top(sql: str, key: str, k: int, by: str = "rank") -> str:
-    return f"{sql} ORDER BY {by} DESC NULLS LAST, {key} LIMIT {k}"
+def _top(sql: str, key: str, k: int, of: str = "ranked") -> str:
+    return f"{sql} ORDER BY {of}.rank DESC NULLS LAST, {key} LIMIT {k}"
 
 
 ORACLE = {
+    "read_dump_reviews": BASE + "SELECT review_id, product_id, help_num, help_den, score, md5(regexp_replace(' ' || text, '\\n+$', '')) AS text_md5 FROM reviews",
+    "posting_codes": BASE + f"SELECT token, review_id, lpad(printf('%x', gap::BIGINT + (n - 1) * (1::BIGINT << (8 * n - 2))), 2 * n, '0') AS code, gap::BIGINT AS gap FROM (SELECT *, {_CODED} AS n FROM gaps)",
+    "front_decoding": BASE + "SELECT token_id, token FROM numbered",
+    "stored_permuterm_expand": BASE + _terms(q.PATTERNS) + " SELECT term, token, df, cf FROM matched",
+    "stored_bigram_expand": BASE + _terms(q.PATTERNS) + " SELECT term, token, df, cf FROM matched",
+    "stored_frequency": BASE + _terms(q.WILD + q.TERMS) + " SELECT term, CAST(coalesce(sum(df), 0) AS BIGINT) AS df, CAST(coalesce(sum(cf), 0) AS BIGINT) AS cf FROM terms LEFT JOIN matched USING (term) GROUP BY term",
+    "stored_reviews_with": _reviews_with(q.WILD),
     "vocabulary": BASE + "SELECT token FROM lexicon",
     "parse_reviews": BASE + "SELECT review_id, product_id, help_num, help_den, score, md5(' ' || text) AS text_md5 FROM reviews",
     "tokenize": BASE + "SELECT review_id, unnest(range(1, len(words) + 1)) AS position, unnest(words) AS token FROM split",
@@ -138,9 +146,17 @@ SELECT token_id, token, prefix, substring(token, prefix + 1) AS suffix FROM comm
     "vsm_wildcard_topk": _top(_vsm(q.VSM_WILD) + _ROUND, "review_id", 20),
     "vsm_unknown_term": _top(_vsm(q.UNKNOWN) + _ROUND, "review_id", 20),
     "lm_scores": _lm(q.LM, q.LAMBDA) + _LOG,
-    "lm_topk": _top(_lm(q.LM, q.LAMBDA) + _LOG, "review_id", 10, "log_rank"),
-    "lm_wildcard_topk": _top(_lm(q.LM_WILD, q.LAMBDA) + _LOG, "review_id", 20, "log_rank"),
-    "lm_unknown_term": _top(_lm(q.UNKNOWN, q.LAMBDA) + _LOG, "review_id", 20, "log_rank"),
+    "lm_topk": _top(_lm(q.LM, q.LAMBDA) + _LOG, "review_id", 10),
+    "lm_wildcard_topk": _top(_lm(q.LM_WILD, q.LAMBDA) + _LOG, "review_id", 20),
+    "lm_unknown_term": _top(_lm(q.UNKNOWN, q.LAMBDA) + _LOG, "review_id", 20),
     "product_scores": _PRODUCTS,
-    "product_topk": _top(_PRODUCTS, "product_id", 5),
+    "product_topk": _top(_PRODUCTS, "product_id", 5, "blended"),
+}
+ORACLE |= {
+    "stored_attributes": ORACLE["review_attributes"],
+    "stored_product_reviews": ORACLE["product_reviews"],
+    "stored_vsm_topk": ORACLE["vsm_wildcard_topk"],
+    "stored_lm_topk": ORACLE["lm_wildcard_topk"],
+    "stored_product_topk": ORACLE["product_topk"],
+    "search_as_typed": ORACLE["vsm_wildcard_topk"],
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from lexsift.functions import codec
 from lexsift.functions.tokens import tokens
 from lexsift.operators import lookup, rank, wildcard
 from lexsift.operators.index import SearchIndex
-from lexsift.sources.dump import as_record, parse_records
+from lexsift.sources.dump import PRODUCT, as_record, parse_records, read_dump
 from lexsift.sources.tables import reviews_of_tables
 
 TERMS = ("the", "OF", "and", "zzzzq", "in")
@@ -22,7 +26,7 @@ PRODUCT_QUERY = ("en*", "*ion", "the")
 SHORT = ("*a*", "*7*", "*")
 PATTERNS = ("wh*", "wh*n", "*ion", "t*e", "e*n*d", "*q*", "Be*ng", "xyzzy*")
 
-_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+_INDEXES: dict[tuple[str, ...], SearchIndex] = {}
 
 
 def index_of(spark: SparkSession, folder: str) -> SearchIndex:
@@ -33,6 +37,24 @@ def index_of(spark: SparkSession, folder: str) -> SearchIndex:
     return _INDEXES[key]
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of this machine only where all of Spark is in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='lexsift-')).rstrip('/')}/search-{uuid.uuid4().hex}"
+
+
+def stored_index_of(spark: SparkSession, folder: str, wildcard_path: str) -> SearchIndex:
+    """The folder's index with one wildcard access path, written and opened again, once in a session."""
+    key = (spark.sparkContext.applicationId, folder, wildcard_path)
+    if key not in _INDEXES:
+        path = _shared(spark)
+        index_of(spark, folder).write(path, wildcard_path)
+        _INDEXES[key] = SearchIndex.open(spark, path)
+    return _INDEXES[key]
+
+
 def _rounded(scores: DataFrame, key: str) -> DataFrame:
     return scores.select(key, F.round("rank", 9).alias("rank"))
 
@@ -51,6 +73,16 @@ def parse_reviews(spark, folder):
     return parse_records(written).filter("ok").select("review_id", "product_id", "help_num", "help_den", "score", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
+def read_dump_reviews(spark, folder):
+    """The reviews written as a dump of many files, in order, and read back."""
+    reviews = reviews_of_tables(spark, folder)
+    record = F.concat(F.lit(PRODUCT), as_record(F.col("product_id"), (F.col("help_num"), F.col("help_den")), F.col("score"), F.col("text")))
+    path = _shared(spark)
+    reviews.repartitionByRange("review_id").sortWithinPartitions("review_id").select(record.alias("value")).write.text(path)
+    found, _ = read_dump(spark, path)
+    return found.select("review_id", "product_id", "help_num", "help_den", "score", F.md5(F.encode(F.regexp_replace("text", "\n+$", ""), "utf-8")).alias("text_md5"))
+
+
 def tokenize(spark, folder):
     words = reviews_of_tables(spark, folder).select("review_id", F.posexplode(tokens(F.col("text"))).alias("position", "token"))
     return words.select("review_id", (F.col("position") + 1).cast("long").alias("position"), "token")
@@ -81,8 +113,15 @@ def posting_gaps(spark, folder):
 
 
 def posting_decode(spark, folder):
-    gapped = codec.gaps(index_of(spark, folder).postings)
-    return codec.decoded(gapped.withColumn("position", F.col("review_id")))
+    """Gaps in their order, without the reviews they came from, and reviews restored from them."""
+    postings = codec.gaps(codec.ordinals(index_of(spark, folder).postings.select("token", "review_id", "tf")))
+    return codec.decoded(postings.drop("review_id"))
+
+
+def posting_codes(spark, folder):
+    """Bytes of each gap, and the gap read from them again."""
+    coded = codec.gaps(index_of(spark, folder).postings).select("token", "review_id", codec.code_hex(F.col("gap")).alias("code"))
+    return coded.withColumn("gap", codec.code_number(F.col("code")))
 
 
 def product_postings(spark, folder):
@@ -102,6 +141,11 @@ def front_coding_prefix(spark, folder):
     return codec.front_coded(index_of(spark, folder).token_ids())
 
 
+def front_decoding(spark, folder):
+    coded = codec.front_coded(index_of(spark, folder).token_ids())
+    return codec.front_decoded(coded.select("token_id", "prefix", "suffix"))
+
+
 def bigram_index(spark, folder):
     return index_of(spark, folder).bigrams
 
@@ -215,6 +259,47 @@ def product_topk(spark, folder):
     return _rounded(rank.product_search(index_of(spark, folder), PRODUCT_QUERY, 5), "product_id")
 
 
+def stored_attributes(spark, folder):
+    return lookup.review_attributes(stored_index_of(spark, folder, "permuterm"), IDS)
+
+
+def stored_permuterm_expand(spark, folder):
+    return wildcard.expand_terms(stored_index_of(spark, folder, "permuterm"), PATTERNS)
+
+
+def stored_bigram_expand(spark, folder):
+    return wildcard.expand_terms(stored_index_of(spark, folder, "bigram"), PATTERNS)
+
+
+def stored_frequency(spark, folder):
+    return lookup.frequencies(stored_index_of(spark, folder, "bigram"), WILD + TERMS)
+
+
+def stored_reviews_with(spark, folder):
+    return lookup.reviews_with(stored_index_of(spark, folder, "permuterm"), WILD)
+
+
+def stored_product_reviews(spark, folder):
+    return lookup.reviews_of(stored_index_of(spark, folder, "bigram"), PRODUCTS)
+
+
+def stored_vsm_topk(spark, folder):
+    return _rounded(rank.vector_space_search(stored_index_of(spark, folder, "permuterm"), VSM_WILD, 20), "review_id")
+
+
+def stored_lm_topk(spark, folder):
+    return _log_rounded(rank.language_model_search(stored_index_of(spark, folder, "bigram"), LM_WILD, LAMBDA, 20))
+
+
+def stored_product_topk(spark, folder):
+    return _rounded(rank.product_search(stored_index_of(spark, folder, "permuterm"), PRODUCT_QUERY, 5), "product_id")
+
+
+def search_as_typed(spark, folder):
+    found = rank.search(stored_index_of(spark, folder, "permuterm"), " ".join(VSM_WILD), "reviews", "vector", 20)
+    return _rounded(found, "review_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -222,6 +307,7 @@ QUERIES = {
         product_postings, product_counts, posting_bytes, front_coding_prefix, bigram_index, bigram_ids, permuterm_index, review_attributes, token_frequency,
         token_collection_frequency, wildcard_frequency, wildcard_collection_frequency, reviews_with_token, reviews_with_wildcard, corpus_stats,
         product_reviews, wildcard_expand, wildcard_permuterm, wildcard_bigram, wildcard_bigram_short, query_terms, query_vector, vsm_scores, vsm_topk,
-        vsm_wildcard_topk, vsm_unknown_term, lm_scores, lm_topk, lm_wildcard_topk, lm_unknown_term, product_scores, product_topk,
+        read_dump_reviews, posting_codes, front_decoding, stored_attributes, stored_permuterm_expand, stored_bigram_expand, stored_frequency, stored_reviews_with,
+        stored_product_reviews, stored_vsm_topk, stored_lm_topk, stored_product_topk, search_as_typed, vsm_wildcard_topk, vsm_unknown_term, lm_scores, lm_topk, lm_wildcard_topk, lm_unknown_term, product_scores, product_topk,
     )
 }

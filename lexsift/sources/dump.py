@@ -11,6 +11,10 @@ PRODUCT, USER, HELP, SCORE, TIME, TEXT = "product/productId: ", "review/userId:
 FORM = rf"(?s)\A(.*?)\n{USER}.*?\n{HELP}(.*?)\n{SCORE}(.*?)\n{TIME}.*?\n{TEXT}(.*)\z"
 
 
+#: Records of a task are numbered in stretches of two to this power.
+STRETCH = 12
+
+
 def fields(record: Column) -> dict[str, Column]:
     """Columns of a record, which starts just after its product mark; nulls where it is malformed.
 
@@ -45,8 +49,8 @@ def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     reviews: review_id from 1 in file order without holes, product_id, help_num, help_den, score,
     text.  rejects: the malformed records and what precedes a file's first one.  Files are split
-    at record marks and read in parallel.  Ids come from the place within a block and the number of good
-    records in the blocks before, a small table, so texts are not shuffled to be numbered.
+    at record marks and read in parallel.  Ids come from the place within a short stretch of records and the
+    number of good records before it, a small table, so texts are not sorted to be numbered.
     """
     raw = spark.read.option("lineSep", f"\n{PRODUCT}").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r\n|\r$", "\n").alias("value"))
@@ -54,17 +58,22 @@ def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     head = F.col("value").startswith(PRODUCT)
     record = F.when(head, F.substring("value", len(PRODUCT) + 1, 2147483647)).otherwise(F.col("value"))
     parsed = parse_records(raw.select("file", "block", "at", head.alias("head"), record.alias("record")))
-    # A row for each block: where its numbers start, and which of them are no good records.
-    at, first = F.col("at"), F.min("at")
-    blocks = parsed.groupBy("file", "block").agg(first.alias("start"), F.count("*").alias("n"), F.min_by("head", "at").alias("headed"), F.collect_list(F.when(~F.col("ok"), at)).alias("bad"))
-    before_first = F.when((F.col("block") == 0) & ~F.col("headed"), F.array("start")).otherwise(F.array().cast("array<bigint>"))
-    blocks = blocks.select("file", "block", "start", "n", F.array_union("bad", before_first).alias("bad"))
-    ahead = F.coalesce(F.sum(F.col("n") - F.size("bad")).over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parsed.join(blocks.select("file", "block", "start", "bad", ahead.alias("ahead")), ["file", "block"])
-    good = ~F.array_contains("bad", at)
-    number = F.col("ahead") + at - F.col("start") + 1 - F.size(F.filter("bad", lambda x: x < at))
-    reviews = placed.filter(good).select(number.cast("int").alias("review_id"), "product_id", "help_num", "help_den", "score", "text")
-    return reviews, placed.filter(~good).select("file", "record")
+    at = F.col("at")
+    parsed = parsed.withColumn("stretch", F.shiftright("at", STRETCH))  # rows of a task that follow each other
+    # What stands before a file's first mark is no record, whatever it holds.
+    first = parsed.groupBy("file", "block").agg(F.min_by("head", "at").alias("headed"), F.min("at").alias("start"))
+    junk = first.filter("block = 0 and not headed").select(F.col("file").alias("_file"), F.col("start").alias("_junk"))
+    parsed = parsed.join(junk, F.col("file") == F.col("_file"), "left").withColumn("ok", F.col("ok") & ~F.coalesce(at == F.col("_junk"), F.lit(False))).drop("_file", "_junk")
+    # A row for each stretch: its good records, and which places hold bad ones, at most 2**STRETCH.
+    parts = parsed.groupBy("file", "block", "stretch").agg(F.min("at").alias("start"), F.count_if("ok").alias("good"), F.collect_list(F.when(~F.col("ok"), at)).alias("bad"))
+    blocks = parts.groupBy("file", "block").agg(F.sum("good").alias("good"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("good").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row for each block of the dump
+    inside = F.coalesce(F.sum("good").over(Window.partitionBy("file", "block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("inside", inside).join(blocks, ["file", "block"])
+    placed = parsed.join(parts.select("file", "block", "stretch", "start", "bad", "inside", "ahead"), ["file", "block", "stretch"])
+    number = F.col("ahead") + F.col("inside") + at - F.col("start") + 1 - F.size(F.filter("bad", lambda x: x < at))
+    reviews = placed.filter("ok").select(number.cast("int").alias("review_id"), "product_id", "help_num", "help_den", "score", "text")
+    return reviews, parsed.filter("not ok").select("file", "record")
 
 
 def as_record(product: Column, helpful: tuple[Column, Column], score: Column, text: Column) -> Column:
