@@ -31,15 +31,18 @@ PORTION = 1 << 20
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of all word shingles, repeats included; fewer words than a shingle are one; none have none."""
+    if len(words) < width:
+        return np.fromiter(map(_hash, [b" ".join(words)] if words else []), np.uint64)
+    return np.fromiter(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))), np.uint64)
+
+
 def fingerprint(words: list[bytes], width: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles; 0 without words."""
+    """Majority bits of the hashes of all word shingles; 0 without words."""
     if not words:
         return 0
-    if len(words) < width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.fromiter(map(_hash, shingles), np.uint64)
+    hashes = shingle_hashes(words, width)
     n, total = len(hashes), np.zeros(64, np.int64)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(n, 64)
     whole = n // 255 * 255
@@ -202,15 +205,3 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3) -
     least = members.groupBy("root").agg(F.min("rep").alias("least"))
     named = distinct.join(members.join(least, "root").select("fp", "root", "least"), "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, distance: int = DISTANCE, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of near-duplicates.
-
-    Of rows that repeat that doc_id one is kept, the least by its values.  Rows without a doc_id
-    can't be told apart and all stay.
-    """
-    first = near_duplicates(docs, distance, width).filter("doc_id = component_id").select(F.col("component_id").alias("doc_id")).distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "r.*")
-    return one.select(docs.columns).union(docs.filter("doc_id is null"))

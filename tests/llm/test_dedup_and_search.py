@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexsift.llm import components, embdedup, queries, simhash, topk
+from lexsift.llm import components, embdedup, neartext, queries, simhash, topk
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,12 +111,49 @@ def test_simhash_rows_without_an_id_link_and_bridge(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 3), (3, 3), (5, 3)]
 
 
-def test_simhash_keeps_one_row_of_each_group(spark):
-    rows = [(5, "a b c d", "en"), (2, "a b c d", "de"), (2, "a b c d", "de"), (9, "q w e r t", None), (None, "a b c d", "en")]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sorted((r.doc_id or 0, r.lang or "") for r in kept.collect()) == [(0, "en"), (2, "de"), (9, "")]
+def plain_set(text, width=5):
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_texts_keep_one_row_of_each_group(spark):
+    rows = [(5, "a b c d", "en"), (2, "A b c d", "de"), (2, "a b c d", "de"), (9, "q w e r t", None), (None, "a b c d", "en"), (8, None, "x"), (7, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = neartext.keep_first(docs)
+    assert sorted((r.doc_id or 0, r.lang or "") for r in kept.collect()) == [(0, "en"), (2, "de"), (7, "x"), (9, "")]
+    assert sorted((r.doc_id or 0, r.component_id) for r in neartext.near_texts(docs).collect()) == [(0, 2), (2, 2), (2, 2), (5, 2), (7, 7), (8, 7), (9, 9)]
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and neartext.keep_first(empty).count() == 0
+
+
+def test_near_texts_against_all_pairs(spark):
+    """Edited copies on both sides of the similarity, a crowd of copies of one text, and unrelated texts."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(60, 300)))) for i in range(300)]
+    for i in range(300):
+        words = rows[i][1].split()
+        for _ in range(max(1, round(len(words) * rng.uniform(0.003, 0.035)))):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((1000 + i, " ".join(words)))
+    base = rows[0][1].split()
+    for i in range(150):
+        words = base[:]
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((2000 + i, " ".join(words)))
+    sets = [plain_set(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] & sets[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    roots = reach(len(rows), links)
+    got = {r.doc_id: r.component_id for r in neartext.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expect = {rows[i][0]: rows[roots[i]][0] for i in range(len(rows))}
+    copies = [i for i in expect if expect[i] != i]
+    assert len(copies) > 250 and sum(got[i] == expect[i] for i in copies) >= 0.95 * len(copies)
+    whole = dict(zip((i for i, _ in rows), roots))
+    assert all(whole[i] == whole[c] for i, c in got.items())  # nothing is joined that should be apart
 
 
 def plain_links(rows, threshold=0.93):

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import public_tokenizers
 import pytest
-from test_dedup_and_search import plain_fingerprint, reach
+from test_dedup_and_search import jaccard, plain_set, reach
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -56,9 +56,9 @@ def test_stages_one_by_one(spark, sf, tmp_path):
     clean = [r for r in seen[0] if 1 / (1 + np.exp(-scorer(ascii_words((r.text or "").encode())))) < 0.3]
     assert sorted(r.doc_id for r in seen[1]) == sorted(r.doc_id for r in clean) and len(clean) > 0.5 * len(seen[0])
 
-    fps = [plain_fingerprint(r.text) for r in clean]
-    roots = reach(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
-    first = {min(clean[j].doc_id for j in range(len(fps)) if roots[j] == roots[i]) for i in range(len(fps))}
+    sets = [plain_set(r.text) for r in clean]
+    roots = reach(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])
+    first = {min(clean[j].doc_id for j in range(len(sets)) if roots[j] == roots[i]) for i in range(len(sets))}
     assert {r.doc_id for r in seen[2]} == first and len(seen[2]) == len(first)
 
     before = {r.doc_id: r for r in seen[2]}
