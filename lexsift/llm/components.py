@@ -47,6 +47,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.filter("a <> b").distinct()
 
 
+def leaning(edges: DataFrame) -> DataFrame:
+    """(node, root) after one contraction of ``edges(a, b)``: nodes of one root are connected, but connected nodes may have several roots."""
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return cut(_star(_star(edges, True), False).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``: root is the smallest node reachable.
 

@@ -38,6 +38,11 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))), np.uint64)
 
 
+def text_hash(words: list[bytes]) -> int:
+    """XXH64 (seed 42) of all words, space-joined; 0 without words."""
+    return _hash(b" ".join(words)) if words else 0
+
+
 def fingerprint(words: list[bytes], width: int = 3) -> int:
     """Majority bits of the hashes of all word shingles; 0 without words."""
     if not words:

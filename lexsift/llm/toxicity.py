@@ -193,9 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         if total > most:
             break
         last = at
-    rows = bags.filter(F.col("place") <= last if last is not None else F.lit(False)).toArrow().sort_by("place")
+    rows = bags.filter(F.col("place") <= last if last is not None else F.lit(False)).toArrow()
+    order = np.argsort(rows["place"].to_numpy()).tolist()
     pairs = [(np.frombuffer(b.as_py(), "<u2"), np.frombuffer(x.as_py(), "<f2")) for b, x in zip(rows["buckets"], rows["shares"], strict=True)]
-    return Model().fit(pairs, np.array(rows["toxic"].to_pylist(), int))
+    toxic = rows["toxic"].to_pylist()
+    del rows
+    return Model().fit([pairs[i] for i in order], np.array([toxic[i] for i in order], int))
 
 
 def _chances(texts: pa.Array, table: np.ndarray, bias: float, token: int) -> np.ndarray:

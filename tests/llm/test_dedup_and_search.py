@@ -45,6 +45,12 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_one_contraction_joins_connected_nodes_only(spark):
+    links = [(i, i + 1) for i in range(100, 120)] + [(7, x) for x in range(8, 40)]
+    got = {r.node: r.root for r in components.leaning(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all((n < 50) == (r < 50) and r < n for n, r in got.items()) and all(got[x] == 7 for x in range(8, 40))
+
+
 def test_forest_joins_links_given_in_pieces():
     label = components.forest(np.array([0, 3]), np.array([1, 4]), 6)
     label = components.forest(np.array([4]), np.array([1]), 6, label)
