@@ -105,7 +105,7 @@ linked AS (SELECT host, translate(unnest(links), {_LOWER}) AS dst FROM judged WH
 edges AS (SELECT host AS src, dst, count(*)::DOUBLE AS w FROM linked WHERE host <> dst GROUP BY host, dst),
 {_walk("trust", "src", "dst", "allow")},
 {_walk("distrust", "dst", "src", "block")}
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {urlfilter.RATIO} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {urlfilter.RATIO * (1 + urlfilter.MARGIN)} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN rank_trust t ON t.host = j.host LEFT JOIN rank_distrust d ON d.host = j.host""",
     "op7_mixing": f"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS language, {_WORDS} AS n_tokens, coalesce(text, '') AS t FROM documents),

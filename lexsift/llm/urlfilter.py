@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rounds end once no rank changes by more than its share TOLERANCE, so also not while new hosts are
 #: reached; ranks that have not settled after ROUNDS are an error.
 DAMPING, ROUNDS, RATIO, TOLERANCE = 0.85, 1000, 1.0, 1e-6
+#: By what share distrust has to exceed trust: rounding and unsettled ranks must not break ties.
+MARGIN = 1e-4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -74,7 +76,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages(page_id, url, html)``.
 
     Seeds are weighed by their pages that a rule allows or blocks; trust and distrust of all hosts add up to 1.
-    Where no rule fits, a host is blocked if its distrust exceeds ``ratio`` times its trust, else
+    Where no rule fits, a host is blocked if its distrust exceeds ``ratio`` times its trust (by more than the share MARGIN), else
     allowed; hosts that neither walk reaches, and urls without a host, are allowed.  Null urls
     and html count as empty.  Repeated rows are judged alike and their links count again.
     Links within a host are no edges.  Extra columns are ignored.
@@ -93,5 +95,5 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     zero = F.lit(0.0)
     out = judged.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", zero)).withColumn("distrust", F.coalesce("distrust", zero))
-    method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
+    method = F.when(F.col("distrust") > ratio * (1 + MARGIN) * F.col("trust"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")

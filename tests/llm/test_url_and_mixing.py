@@ -63,7 +63,7 @@ def plain_verdicts(pages):
                 edges[host, link] += 1
     trust = plain_ranks(edges, seeds_of(parts, ruled, "allow"))
     distrust = plain_ranks({(b, a): w for (a, b), w in edges.items()}, seeds_of(parts, ruled, "block"))
-    return sorted((i or -1, h, p, r[0] or "", r[1] or ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow")) for (i, _, _), (h, p), r in zip(pages, parts, ruled))
+    return sorted((i or -1, h, p, r[0] or "", r[1] or ("block" if distrust.get(h, 0) > trust.get(h, 0) * (1 + urlfilter.MARGIN) else "allow")) for (i, _, _), (h, p), r in zip(pages, parts, ruled))
 
 
 ODD = [
@@ -101,6 +101,8 @@ def test_seeds_weigh_as_much_as_their_pages(spark):
     for frame in (pages, pages + more, pages + more[:1] + more[-1:]):
         got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(frame, "page_id long, url string, html string"), rules).collect()}
         assert got[4] == "allow" and got[3] == "block"
+    even = pages[1:]  # as many allowed as blocked pages: a tie allows
+    assert {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(even, "page_id long, url string, html string"), rules).collect()}[4] == "allow"
     flipped = [(5, "http://m.net/bad/2", ""), (6, "http://m.net/bad/3", "")]
     assert {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages + flipped, "page_id long, url string, html string"), rules).collect()}[4] == "block"
 
