@@ -3,8 +3,8 @@
 Texts become 128-bit majority codes of their sets of word shingles.  Codes are dealt into groups
 that agree on a random choice of bits, so many that a pair at the least similarity meets with
 probability RECALL.  Groups are searched by the Gray-order index; pairs whose codes are as near as such a
-similarity allows are joined up to a forest, nearest pairs first, and the pairs of the forest are
-compared by their whole sets.  Pairs that are connected already need no further comparison.
+similarity allows connect texts to crowds.  Within a crowd all pairs are compared by their whole sets, but those whose
+sizes differ too much or that similar pairs connect already.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, ascii_words, cut, materialise
@@ -26,6 +26,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: more than on average; and how many standard deviations more they may differ.
 RECALL, SIGMAS = 0.95, 3.0
 BITS = 128
+#: Sets of a crowd that are compared at a time, or with as many others.
+BLOCK = 256
 
 
 def differing(similarity: float) -> float:
@@ -144,27 +146,93 @@ def candidates(nodes: DataFrame, ways: list[np.ndarray], similarity: float) -> D
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose shingle sets, by ``sets(node, shingles)``, have the similarity."""
+def similar(shingles: pa.Array, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that join just what sets of the similarity join; between the two sides, or, where there is one side, all.
+
+    Every pair is compared unless similar pairs connect it already or its sizes rule it out.
+    """
+    sets = [np.frombuffer(x.as_py(), "<u4") for x in shingles]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    sizes, side, both = sizes[order], side[order], len(np.unique(side)) > 1
+    _, tokens = np.unique(np.concatenate([np.zeros(0, "<u4"), *(sets[i] for i in order)]), return_inverse=True)
+    start = np.r_[0, np.cumsum(sizes)]
+    ends = np.searchsorted(sizes, sizes / similarity * (1 + 1e-9), "right")
+    label, has = np.arange(len(order)), np.zeros(len(tokens), np.uint8)
+    a, b = [order[:0]], [order[:0]]
+    for i, end in enumerate(ends):
+        open_ = label[i + 1 : end] != label[i]
+        if both:
+            open_ &= side[i + 1 : end] != side[i]
+        if not open_.any():
+            continue
+        has[tokens[start[i] : start[i + 1]]] = 1
+        shared = np.add.reduceat(has[tokens[start[i + 1] : start[end]]], start[i + 1 : end] - start[i + 1], dtype=np.int64)
+        has[tokens[start[i] : start[i + 1]]] = 0
+        found = i + 1 + np.flatnonzero(open_ & (shared >= similarity * (sizes[i] + sizes[i + 1 : end] - shared)))
+        if len(found):
+            roots, first = np.unique(label[found], return_index=True)
+            a.append(np.full(len(first), order[i]))
+            b.append(order[found[first]])
+            label[np.isin(label, roots)] = label[i]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def parts(members: DataFrame, similarity: float) -> DataFrame:
+    """``members(node, row, size, crowd)`` dealt into parts (crowd, low, p, high, q), with a side, in which all pairs of a crowd meet that sizes allow.
+
+    A crowd of up to BLOCK sets is one part.  A larger one falls into classes of size, so wide that sets of the similarity
+    are in the same or the next class, and a class into blocks; a part is a block or a pair of blocks.
+    """
+    step = math.log(1 / similarity) + 1e-6
+    crowds = members.groupBy("crowd").agg(F.count("*").alias("of"))
+    classed = members.join(crowds, "crowd").withColumn("low", F.when(F.col("of") <= BLOCK, 0).otherwise(F.floor(F.log(F.greatest("size", F.lit(1))) / step)).cast("long"))
+    units = cut(classed.groupBy("crowd", "low").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    near = lambda by, name: units.select("crowd", (F.col("low") + by).alias("low"), F.col("blocks").alias(name))
+    units = units.join(near(-1, "above"), ["crowd", "low"], "left").join(near(1, "below"), ["crowd", "low"], "left")
+    placed = classed.join(units, ["crowd", "low"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def each(blocks: str, part) -> Column:
+        made = F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda q: F.struct(*(x.cast("long").alias(n) for x, n in zip(part(q), ("low", "p", "high", "q", "side"), strict=True))))
+        return F.when(F.col(blocks) > 0, made).otherwise(F.array())
+
+    low, own = F.col("low"), F.col("block")
+    same = each("blocks", lambda q: (low, F.least(own, q), low, F.greatest(own, q), q < own))
+    above = each("above", lambda q: (low, own, low + 1, q, F.lit(0)))
+    below = each("below", lambda q: (low - 1, q, low, own, F.lit(1)))
+    return placed.select("node", "row", "crowd", F.explode(F.concat(same, above, below)).alias("x")).select("node", "row", "crowd", "x.*")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    first, second = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of the similarity that join what all such links within a crowd join, by the ``sets(row, shingles)`` of ``members``.
 
+    A link is made after its sets were compared, so none that holds is passed by for one that does not.
+    """
+    key = ["crowd", "low", "p", "high", "q"]
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        node = rows["node"].to_numpy()
+        a, b = similar(rows["shingles"].combine_chunks(), rows["side"].to_numpy(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            columns = [rows[c].to_numpy() for c in key]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for start, end in zip(np.r_[0, ends[:-1]], ends, strict=False):
+                if end - start > 1:
+                    yield compare(rows.slice(start, end - start))
+            held = rows.slice(ends[-1] if len(ends) else 0)  # the last part may go on
+        if held is not None and held.num_rows > 1:
+            yield compare(held)
 
-def _links(nodes: DataFrame, sets: DataFrame, ways: list[np.ndarray], similarity: float) -> DataFrame:
-    """(a, b): links found by these keys that connect what ``root`` holds apart."""
-    pairs = materialise(candidates(nodes, ways, similarity), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return materialise(similar(pairs, materialise(sets.join(asked, "node", "left_semi"), "sets"), similarity), "links")
+    dealt = parts(members, similarity).join(sets, "row").select(*key, "side", "node", "shingles")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def near_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, seed: int = 5) -> DataFrame:
@@ -173,22 +241,24 @@ def near_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     Texts link if the Jaccard similarity of their sets of word shingles, A-Z lower-cased, is at least ``similarity``;
     component_id is the smallest doc_id reachable.  Texts of the same words link always, so also those
     without words and null ones.  A text of fewer words than a shingle has one shingle of all its words.  Links that do not
-    hold are never made; links between different texts are found with a probability of about RECALL or more each.
+    hold are never made; links between different texts are found with a probability of about RECALL or more each, and
+    for certain where near codes connect their texts, be it by way of others.
     A row without a doc_id links like any other; its component is null if none of its rows has an id.  Repeated
     rows are kept, extra columns are ignored, an empty table gives an empty result.
     """
     found = materialise(profiles(docs, width).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("one").alias("one"), F.first("two").alias("two"), F.min("row").alias("row")), "nodes")
-    sets = found.select("row", "shingles").join(nodes.select("row", "node"), "row").select("node", "shingles")
+    size = (F.length("shingles") / 4).cast("long")
+    nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("one").alias("one"), F.first("two").alias("two"), F.first(size).alias("size"), F.min("row").alias("row")), "nodes")
     bits, keys = plan(nodes.count(), similarity)
     rng = np.random.default_rng(seed)
     ways = [rng.permutation(BITS)[:bits] for _ in range(keys)]
     first, rooted = keys // 4, nodes.withColumn("root", F.col("node"))
-    links = _links(rooted, sets, ways[:first], similarity)
-    # The other keys need not compare what the first ones have connected, such as crowds of copies.
-    rooted = nodes.join(leaning(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.union(_links(rooted, sets, ways[first:], similarity))
-    roots = components(links)
+    pairs = materialise(candidates(rooted, ways[:first], similarity), "pairs")
+    # The other keys need not look at what the first ones have connected.
+    rooted = nodes.join(leaning(pairs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = pairs.union(materialise(candidates(rooted, ways[first:], similarity), "pairs"))
+    members = cut(components(pairs).withColumnRenamed("root", "crowd").join(nodes.select("node", "row", "size"), "node"))
+    roots = components(materialise(links(members, found.select("row", "shingles"), similarity), "links"))
     members = cut(roots.join(nodes.select("node", "rep"), "node"))
     least = members.groupBy("root").agg(F.min("rep").alias("least"))
     named = nodes.select("node", "rep").join(members.join(least, "root").select("node", "root", "least"), "node", "left").select("node", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -162,6 +163,40 @@ def test_near_texts_against_all_pairs(spark):
     assert all(whole[i] == whole[c] for i, c in got.items())  # nothing is joined that should be apart
 
 
+@pytest.mark.parametrize("block", [neartext.BLOCK, 20])
+def test_near_texts_of_a_crowd_that_holds_links_and_none(spark, block, monkeypatch):
+    """Texts with near codes and similarities around 0.8: pairs below it hide none above it, in one part or many."""
+    monkeypatch.setattr(neartext, "BLOCK", block)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base, rows = rng.choices(vocabulary, k=240), []
+    for i in range(220):
+        words = base[: rng.randrange(190, 240)] if i % 3 else base[:]
+        for _ in range(rng.randrange(3, 7)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    sets = [plain_set(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    roots = reach(len(rows), links)
+    assert 0 < len(links) < 6000 and 3 < len(set(roots)) < 200
+    got = {r.doc_id: r.component_id for r in neartext.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(roots))
+
+
+def test_near_texts_compare_before_they_join():
+    """The set in the middle is near the others but not similar; they are similar to each other."""
+    sets = [range(100), [*range(84), *range(200, 216)], [*range(8, 100), *range(300, 308)], range(7, 100), range(0), range(500, 504), range(500, 505)]
+    shingles = pa.array([np.array(x, "<u4").tobytes() for x in sets], pa.binary())
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and jaccard(set(sets[i]), set(sets[j])) >= 0.8]
+    assert every == [(2, 0), (3, 0), (3, 2), (6, 5)]
+    a, b = neartext.similar(shingles, np.zeros(7, int), 0.8)
+    assert reach(7, list(zip(a, b))) == reach(7, every)
+    side = np.array([0, 0, 1, 0, 0, 1, 0])
+    a, b = neartext.similar(shingles, side, 0.8)
+    assert reach(7, list(zip(a, b))) == reach(7, [(i, j) for i, j in every if side[i] != side[j]])
+    assert [len(x) for x in neartext.similar(shingles[:0], side[:0], 0.8)] == [0, 0]
+
+
 def plain_links(rows, threshold=0.93):
     ok = [v is not None and label is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, label in rows]
     unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if o else None for (_, v, _), o in zip(rows, ok)]
