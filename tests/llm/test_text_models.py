@@ -343,6 +343,26 @@ def test_lm_row_sums():
         assert np.allclose(sums, expect[touched], atol=1e-3)
 
 
+@pytest.mark.parametrize("near", [lm.NEAR, 7])
+def test_lm_steps_as_plain_adagrad(near, monkeypatch):
+    """Steps over rows a few at a time, used once or often, against one row after the other."""
+    monkeypatch.setattr(lm, "NEAR", near)
+    v, rng = small_vocabulary(40_000), np.random.default_rng(4)
+    trainer = lm.Trainer(v, [rng.standard_normal((v.rows, lm.CLASSES)).astype(np.float32) for _ in range(3)])
+    weights, squares = trainer.weights[0].astype(float), trainer.squares[0].astype(float)
+    for _ in range(3):
+        rows, target = np.c_[rng.integers(0, 60, (300, 2)), rng.integers(0, 5000, (300, 2))], rng.integers(0, lm.CLASSES, 300)
+        logits = weights[rows].sum(axis=1) + v.class_start
+        error = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True) - np.eye(lm.CLASSES)[target]
+        for row in np.unique(rows):
+            gradient = (error * (rows == row).sum(axis=1)[:, None]).sum(axis=0)
+            squares[row] += gradient**2
+            weights[row] -= trainer.rate * gradient / np.sqrt(squares[row])
+        trainer._step(0, rows, v.class_start, target, False)
+    assert np.allclose(trainer.weights[0], weights, atol=1e-3) and np.allclose(trainer.squares[0], squares, rtol=1e-2, atol=1e-3)
+    assert trainer.used[0].sum() == 3600 and not trainer.used[1].any()
+
+
 def test_lm_learns_words_from_history():
     """Pairs of words that share a bin are told apart by the word before."""
     v = small_vocabulary(5000)
