@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,6 +104,13 @@ def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 20_000) -> Iter
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
+def give_back() -> None:
+    """Memory that is free, but that Arrow or C holds for later, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some systems have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _KEPT: dict = {}
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links whose components one task may find where a caller allows it; rounds of shuffles would be thousands of tasks for them.
+FEW = 1 << 18
+
 
 def forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest position reachable from each of ``n`` positions over the links (a, b).
@@ -47,19 +53,39 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.filter("a <> b").distinct()
 
 
-def leaning(edges: DataFrame) -> DataFrame:
-    """(node, root) after one contraction of ``edges(a, b)``: nodes of one root are connected, but connected nodes may have several roots."""
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, root) as ``components`` has them, of few ``edges(a long, b long)`` without null ends, by one task."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([c.to_numpy() for c in batch.columns]) for batch in it)], axis=1)
+        nodes, place = np.unique(links, return_inverse=True)
+        a, b = place.reshape(links.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest(a, b, len(nodes))])], names=["node", "root"])
+
+    return cut(edges.coalesce(1).mapInArrow(run, "node long, root long"))
+
+
+def leaning(edges: DataFrame, few: int = 0) -> DataFrame:
+    """(node, root) after one contraction of ``edges(a, b)``: nodes of one root are connected, but connected nodes may have several roots.
+
+    Up to ``few`` links, whose ends have to be long, are contracted to their components.
+    """
+    if few and edges.limit(few + 1).count() <= few:
+        return _at_once(edges.filter("a <> b"))
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return cut(_star(_star(edges, True), False).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``: root is the smallest node reachable.
 
     Nodes without a link don't appear.  Null ends and loops are ignored.  All joins are on
     node ids and may be split by adaptive execution where a node has very many links.
+    Up to ``few`` different links, whose ends have to be long, are the work of one task.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if few and edges.count() <= few:
+        return _at_once(edges)
     mark = None
     for _ in range(max_rounds):
         edges = cut(_star(_star(edges, True), False))

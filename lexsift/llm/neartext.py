@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, ascii_words, cut, materialise
-from .components import components, leaning
+from .components import FEW, components, leaning
 from .simhash import PORTION, GrayIndex, gray_rank, shingle_hashes, text_hash
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -255,10 +255,10 @@ def near_texts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     first, rooted = keys // 4, nodes.withColumn("root", F.col("node"))
     pairs = materialise(candidates(rooted, ways[:first], similarity), "pairs")
     # The other keys need not look at what the first ones have connected.
-    rooted = nodes.join(leaning(pairs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.join(leaning(pairs, FEW), "node", "left").withColumn("root", F.coalesce("root", "node"))
     pairs = pairs.union(materialise(candidates(rooted, ways[first:], similarity), "pairs"))
-    members = cut(components(pairs).withColumnRenamed("root", "crowd").join(nodes.select("node", "row", "size"), "node"))
-    roots = components(materialise(links(members, found.select("row", "shingles"), similarity), "links"))
+    members = cut(components(pairs, few=FEW).withColumnRenamed("root", "crowd").join(nodes.select("node", "row", "size"), "node"))
+    roots = components(materialise(links(members, found.select("row", "shingles"), similarity), "links"), few=FEW)
     members = cut(roots.join(nodes.select("node", "rep"), "node"))
     least = members.groupBy("root").agg(F.min("rep").alias("least"))
     named = nodes.select("node", "rep").join(members.join(least, "root").select("node", "root", "least"), "node", "left").select("node", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ascii_words, id_remainder, kept, materialise
+from .common import as_bytes, ascii_words, give_back, id_remainder, kept, materialise
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 STORED, KNOWN = 4096, 30_000
@@ -195,10 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         last = at
     rows = bags.filter(F.col("place") <= last if last is not None else F.lit(False)).toArrow()
     order = np.argsort(rows["place"].to_numpy()).tolist()
-    pairs = [(np.frombuffer(b.as_py(), "<u2"), np.frombuffer(x.as_py(), "<f2")) for b, x in zip(rows["buckets"], rows["shares"], strict=True)]
+    pairs = [(np.frombuffer(b.as_buffer(), "<u2"), np.frombuffer(x.as_buffer(), "<f2")) for b, x in zip(rows["buckets"], rows["shares"], strict=True)]  # in place, not copied
     toxic = rows["toxic"].to_pylist()
     del rows
-    return Model().fit([pairs[i] for i in order], np.array([toxic[i] for i in order], int))
+    model = Model().fit([pairs[i] for i in order], np.array([toxic[i] for i in order], int))
+    del pairs
+    give_back()  # else the driver holds the bags' memory as long as it lives
+    return model
 
 
 def _chances(texts: pa.Array, table: np.ndarray, bias: float, token: int) -> np.ndarray:

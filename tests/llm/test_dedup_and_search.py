@@ -39,6 +39,19 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_components_of_few_links_are_one_task(spark):
+    """Groups of near texts took rounds of shuffles, thousands of tasks that the driver keeps track of, for any few links."""
+    links = [(i, i + 1) for i in range(100, 160)] + [(x, -7) for x in range(8, 40)] + [(3, 3), (None, 1)]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(16)
+    found = [components.components(edges, few=100), components.leaning(edges, few=100)]
+    assert [f.rdd.getNumPartitions() for f in found] == [1, 1]
+    many = components.components(edges, few=91)  # 92 different links
+    assert many.rdd.getNumPartitions() > 1
+    for f in [*found, many]:
+        assert sorted(map(tuple, f.collect())) == sorted([*((i, 100) for i in range(100, 161)), *((x, -7) for x in [-7, *range(8, 40)])])
+    assert components.components(edges.limit(0), few=100).count() == 0
+
+
 def test_components_of_a_chain_a_star_and_a_loop(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 40)] + [(3, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

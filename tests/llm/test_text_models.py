@@ -245,6 +245,17 @@ def test_toxicity_samples_documents_within_its_bounds(spark, monkeypatch):
     assert seen[0] == (9, 5) and seen[1][0] == 4 and 0 < seen[2][0] < 9
 
 
+def test_toxicity_does_not_copy_the_bags_it_has_fetched(spark, monkeypatch):
+    """The driver held them twice, and their memory for good."""
+    docs = spark.createDataFrame([(i, f"some words {i}" * (i > 0)) for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    seen, given = [], []
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, bags, toxic: seen.extend(x for pair in bags for x in pair) or self)
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(1))
+    toxicity.train(docs, labels)
+    assert len(seen) == 18 and not any(isinstance(x.base, bytes) for x in seen) and given
+
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
