@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, materialise
+from .common import give_back, kept, materialise
 
 END = b"\n"  # no word holds a line break
 CLASSES = 32  # as many bins in each, and as many slots in a bin
@@ -42,7 +42,7 @@ ROWS, FEWEST, MOST = 4, 1 << 16, 1 << 20
 #: Tokens that a training task takes for each weight row, and least tokens for a task.
 PER_ROW, LEAST = 64, 1 << 21
 CHUNK, FAN = 1024, 32  # weight rows travel so many at a time; changes are added so many at a time
-SLICE = 1 << 25  # bytes of text that are split into words at a time
+SLICE = 1 << 22  # bytes of text that are split into words at a time
 
 
 def rows_for(tokens: int) -> int:
@@ -72,11 +72,13 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(token binary, c): occurrences in ``docs(text)``, each text followed by END."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("lm", "counts"), tuple)  # a worker lets go of the model of an earlier query
         for batch in it:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["token", "c"])
             for _, words, _ in split_words(batch.column(0)):
                 tally = words.value_counts()
                 yield pa.RecordBatch.from_arrays([tally.field(0), tally.field(1)], names=["token", "c"])
+        give_back()
 
     partial = docs.select(F.col("text").cast("string")).mapInArrow(run, "token binary, c long")
     return partial.groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
@@ -329,6 +331,8 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, per_
                     trainer.learn(ids, first)
             for row in trainer.changes():
                 yield pa.RecordBatch.from_pylist([row | {"task": task // FAN}], schema=schema)
+            del trainer
+            give_back()
 
         def add(table: pa.Table) -> pa.Table:
             change, used = _mean(table)
@@ -416,6 +420,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * np.r_[start, len(ids)]).astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
                 sums = pa.array(np.add.reduceat(base[ids], start))
                 yield pa.RecordBatch.from_arrays([keys, *(batch.column(c).slice(at, n) for c in (0, 2, 3)), pa.array(sizes + 1), pa.array(n_head), sums, data, tails, times], names=names)
+        give_back()
 
     names = ["key", "doc_id", "held_out", "part", "n_tokens", "n_head", "base_head", "ids", "tails", "times"]
     ddl = "key long, doc_id long, held_out boolean, part long, n_tokens long, n_head long, base_head double, ids binary, tails array<binary>, times array<int>"
@@ -471,6 +476,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, most: int = H
             for _, ids, first in _portions(batch.column(batch.schema.get_field_index("ids"))):
                 sums.append(np.add.reduceat(token_logs(v, w, ids, first) + v.share[ids], first))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sums))], names=[*batch.schema.names[:-1], "logs"])
+        give_back()
 
     ddl = "key long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, logs double"
     scored = encoded.select("key", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "ids").mapInArrow(run, ddl)

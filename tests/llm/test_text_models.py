@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -343,6 +344,19 @@ def test_words_are_split_as_bytes_are(texts):
     assert found == [(t or "").encode().lower().split() for t in texts]
 
 
+def test_lm_words_are_split_in_little_memory():
+    """All texts of a batch were split at once, and a worker kept ten times their size."""
+    texts = pa.array(["some words of a text " * 25_000] * 32)
+    tracemalloc.start()
+    before, most = pa.total_allocated_bytes(), 0
+    for _, words, sizes in lm.split_words(texts):
+        lm.coded(words, sizes, pa.array([b"some"], pa.binary()))
+        most = max(most, pa.total_allocated_bytes() - before)
+    of_numpy = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most + of_numpy < 6 * texts.nbytes
+
+
 def test_lm_row_sums():
     rng = np.random.default_rng(1)
     for top in (3, 50, 1 << 17):
