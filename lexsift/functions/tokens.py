@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,21 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
+def counted(words: Column) -> Column:
+    """Each distinct word of a list as ``token``, in order, with ``tf``: how often it stands there."""
+
+    def runs(w: Column) -> Column:
+        starts = F.array_compact(F.transform(w, lambda x, i: F.when(~x.eqNullSafe(F.get(w, i - 1)), i)))
+        return _bound(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.get(w, at).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(w)) - at).cast("long").alias("tf"))))
+
+    return _bound(F.sort_array(words), runs)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bigrams(token: Column) -> Column:
     """Pairs of neighbouring characters of ``$token$``, each once."""
     framed = F.concat(F.lit("$"), token, F.lit("$"))

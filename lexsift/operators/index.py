@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexsift.functions.codec import gaps
-from lexsift.functions.tokens import bigram_id, bigrams, rotations, tokens
+from lexsift.functions.tokens import bigram_id, bigrams, counted, rotations, tokens
 
 MANIFEST, VERSION = "manifest.json", 1
 
@@ -31,11 +31,14 @@ def dense_ids(values: DataFrame, column: str, name: str, prefix: int) -> DataFra
     return ranked.join(shifts, F.col("_head").eqNullSafe(F.col("_of"))).select((F.col("_before") + F.col("_rank") - 1).cast("int").alias(name), column)
 
 
-def term_postings(reviews: DataFrame) -> DataFrame:
-    """(token, review_id, length, tf): how often each token stands in each review of a given length."""
+def term_postings(reviews: DataFrame, repeated: bool = False) -> DataFrame:
+    """(token, review_id, length, tf): how often each token stands in each review of a given length.
+
+    Counted within a review, so nothing is shuffled; only where ids may be ``repeated`` rows of an id meet.
+    """
     words = reviews.select("review_id", tokens(F.col("text")).alias("words"))
-    exploded = words.select("review_id", F.size("words").alias("length"), F.explode("words").alias("token"))
-    return exploded.groupBy("token", "review_id", "length").agg(F.count("*").alias("tf"))
+    postings = words.select("review_id", F.size("words").alias("length"), F.inline(counted(F.col("words")))).select("token", "review_id", "length", "tf")
+    return postings.groupBy("token", "review_id", "length").agg(F.sum("tf").alias("tf")) if repeated else postings
 
 
 def lexicon_of(postings: DataFrame) -> DataFrame:
@@ -54,10 +57,15 @@ class SearchIndex:
     stored_rotations: DataFrame | None = None
 
     @staticmethod
-    def build(reviews: DataFrame) -> "SearchIndex":
-        """From ``reviews(review_id, product_id, help_num, help_den, score, text)``."""
-        attributes = reviews.select("review_id", "product_id", "help_num", "help_den", "score", F.size(tokens(F.col("text"))).alias("length"))
-        postings = term_postings(reviews)
+    def build(reviews: DataFrame, attributes: DataFrame | None = None, repeated: bool = False) -> "SearchIndex":
+        """From ``reviews(review_id, product_id, help_num, help_den, score, text)``.
+
+        ``attributes`` are the reviews with length in place of text, where that is cheaper to have; ``repeated`` says that an id may
+        stand in more than one row.
+        """
+        if attributes is None:
+            attributes = reviews.select("review_id", "product_id", "help_num", "help_den", "score", F.size(tokens(F.col("text"))).alias("length"))
+        postings = term_postings(reviews, repeated)
         return SearchIndex(attributes, postings, lexicon_of(postings))
 
     @property
@@ -65,8 +73,9 @@ class SearchIndex:
         """The access path for terms with ``*``: what is stored, else LIKE over the lexicon."""
         return "permuterm" if self.stored_rotations is not None else "bigram" if self.stored_bigrams is not None else "like"
 
-    def cached(self) -> "SearchIndex":
-        postings = self.postings.persist()
+    def cached(self, postings: bool = True) -> "SearchIndex":
+        """Kept by Spark; without ``postings`` these are counted anew from the texts by each query, which shuffles and writes nothing."""
+        postings = self.postings.persist() if postings else self.postings
         return SearchIndex(self.reviews.persist(), postings, lexicon_of(postings).persist(), self.stored_bigrams, self.stored_rotations)
 
     @cached_property

@@ -14,7 +14,7 @@ from lexsift.functions.tokens import tokens
 from lexsift.operators import lookup, rank, wildcard
 from lexsift.operators.index import SearchIndex
 from lexsift.sources.dump import PRODUCT, as_record, parse_records, read_dump
-from lexsift.sources.tables import reviews_of_tables
+from lexsift.sources.tables import attributes_of_tables, reviews_of_tables
 
 TERMS = ("the", "OF", "and", "zzzzq", "in")
 WILD = ("wh*", "*ION", "e*n*d", "*")
@@ -26,14 +26,24 @@ PRODUCT_QUERY = ("en*", "*ion", "the")
 SHORT = ("*a*", "*7*", "*")
 PATTERNS = ("wh*", "wh*n", "*ion", "t*e", "e*n*d", "*q*", "Be*ng", "xyzzy*")
 
+#: Bytes of Parquet.
+CACHED = 32 << 20
+
 _INDEXES: dict[tuple[str, ...], SearchIndex] = {}
 
 
 def index_of(spark: SparkSession, folder: str) -> SearchIndex:
-    """The index of a folder's reviews, built once in a session; its frames are cached and can be rebuilt."""
+    """The index of a folder's reviews, built once in a session; its frames are cached and can be rebuilt.
+
+    Postings of more than CACHED bytes of documents are not cached: they would be larger than the memory and go to disk.
+    """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _INDEXES:
-        _INDEXES[key] = SearchIndex.build(reviews_of_tables(spark, folder)).cached()
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+        index = SearchIndex.build(reviews_of_tables(spark, folder), attributes_of_tables(spark, folder), repeated)
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        _INDEXES[key] = index.cached(size <= CACHED)
     return _INDEXES[key]
 
 

@@ -1,0 +1,36 @@
+"""What building, coding and looking up may shuffle: nothing as large as the texts or postings more than once."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from lexsift.operators.index import SearchIndex
+from lexsift.plans import search_queries
+
+TEXTS = ["a b a", "b  B;a-c", "", None, "é a", "zz"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def build(spark, texts, **more):
+    rows = [(i + 1, "P", 0, 0, 5, t) for i, t in enumerate(texts)]
+    return SearchIndex.build(spark.createDataFrame(rows, "review_id int, product_id string, help_num smallint, help_den smallint, score tinyint, text string"), **more)
+
+
+def test_postings_are_counted_within_a_review(spark):
+    index = build(spark, TEXTS)
+    assert "Exchange" not in plan(index.postings)
+    assert {tuple(r) for r in index.postings.collect()} == {("a", 1, 3, 2), ("b", 1, 3, 1), ("b", 2, 4, 2), ("a", 2, 4, 1), ("c", 2, 4, 1), ("a", 5, 1, 1), ("zz", 6, 1, 1)}
+    assert index.postings.schema.simpleString() == "struct<token:string,review_id:int,length:int,tf:bigint>"
+
+
+def test_rows_of_one_review_meet(spark, sf, tmp_path):
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            (tmp_path / name).symlink_to(f"{sf}/{name}")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.union(docs.filter("doc_id = 0")).write.parquet(str(tmp_path / "documents.parquet"))
+    once, twice = ({(r.token, r.tf) for r in search_queries.index_of(spark, d).postings.filter("review_id = 1").collect()} for d in (sf, str(tmp_path)))
+    assert once and twice == {(t, 2 * n) for t, n in once}
