@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: Below these a number takes 1, 2 or 3 bytes, else 4.
 LIMITS = (64, 16384, 4194304)
@@ -33,49 +35,58 @@ def _mark(size: Column) -> Column:
     return F.when(size == 1, 0).when(size == 2, 1 << 14).when(size == 3, 2 << 22).otherwise(3 << 30).cast("long")
 
 
-#: Numbers in a stretch of a posting list.  Stretches are worked on apart and then joined up,
-#: so the list of a word that is in every review is no single task's work.
+#: Numbers in a stretch of a posting list.  Lists of more rows are cut into stretches that are worked on apart and led by
+#: what the ones before leave, so the list of a word that is in every review is no single task's work.
 STRETCH = 1 << 20
 
 
-def gaps(postings: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
-    """``postings(key, review_id, ...)`` with gap: the step from the key's previous review, the first from 0."""
-    cut = F.floor(F.col("review_id") / stretch).cast("long")
-    placed = postings.withColumn("_part", cut)
-    last = placed.groupBy(key, "_part").agg(F.max("review_id").alias("_last"))
-    parts = Window.partitionBy(key).orderBy("_part")
-    ahead = last.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.lag("_last", 1, 0).over(parts).alias("_ahead"))
-    inside = Window.partitionBy(key, "_part").orderBy("review_id")
-    stepped = placed.withColumn("_before", F.lag("review_id").over(inside)).join(*_same(ahead, key)).drop("_key", "_at")
-    gap = (F.col("review_id") - F.coalesce("_before", "_ahead")).cast("int")
-    return stepped.select(*postings.columns, gap.alias("gap"))
+def long_keys(rows: DataFrame, key: str = "token", stretch: int = STRETCH) -> list:
+    """Keys of more than ``stretch`` rows; there is at most one for each ``stretch`` rows."""
+    return [r[0] for r in rows.groupBy(key).count().filter(F.col("count") > stretch).select(key).collect()]
+
 
+def gaps(postings: DataFrame, key: str = "token", stretch: int = STRETCH, long: list | None = None) -> DataFrame:
+    """``postings(key, review_id, ...)`` with gap: the step from the key's previous review, the first from 0.
 
-def _same(parts: DataFrame, key: str) -> tuple[DataFrame, Column]:
-    """Join to ``parts(_key, _at, ...)`` on key and stretch; a null key is a key like any other."""
-    return parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))
+    ``long``: the keys of more than ``stretch`` rows, counted where not given.
+    """
+    step = lambda w: (F.col("review_id") - F.lag("review_id", 1, 0).over(w)).cast("int")
+    return _along(postings, key, "review_id", "review_id", F.max, step, "gap", stretch, long)
 
 
-def ordinals(postings: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
+def ordinals(postings: DataFrame, key: str = "token", stretch: int = STRETCH, long: list | None = None) -> DataFrame:
     """``postings(key, review_id, ...)`` with position: the place, from 1, in the key's list by review."""
-    placed = postings.withColumn("_part", F.floor(F.col("review_id") / stretch).cast("long"))
-    sizes = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    parts = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(parts), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(key, "_part").orderBy("review_id")
-    numbered = placed.withColumn("_within", F.row_number().over(inside)).join(*_same(ahead, key))
-    return numbered.select(*postings.columns, (F.col("_ahead") + F.col("_within")).alias("position"))
+    step = lambda w: F.sum("_n").over(_so_far(w))
+    return _along(postings.withColumn("_n", F.lit(1).cast("long")), key, "review_id", "_n", F.sum, step, "position", stretch, long).drop("_n")
 
 
-def decoded(gapped: DataFrame, key: str = "token", stretch: int = STRETCH) -> DataFrame:
+def decoded(gapped: DataFrame, key: str = "token", stretch: int = STRETCH, long: list | None = None) -> DataFrame:
     """(key, review_id, tf): review ids again, as running sums of ``gapped(key, position, gap, tf)``."""
-    placed = gapped.withColumn("_part", F.floor(F.col("position") / stretch).cast("long"))
-    sums = placed.groupBy(key, "_part").agg(F.sum("gap").alias("_sum"))
-    parts = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(parts), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(key, "_part").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumn("_run", F.sum("gap").over(inside)).join(*_same(ahead, key))
-    return summed.select(key, (F.col("_ahead") + F.col("_run")).cast("int").alias("review_id"), "tf")
+    step = lambda w: F.sum("gap").over(_so_far(w)).cast("int")
+    return _along(gapped, key, "position", "gap", F.sum, step, "review_id", stretch, long).select(key, "review_id", "tf")
+
+
+def _so_far(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _along(rows: DataFrame, key: str, order: str, value: str, of: Callable, step: Callable, name: str, stretch: int, long: list | None) -> DataFrame:
+    """``rows`` with column ``name``: ``step(window)`` along each key's list by ``order``.
+
+    Other lists are whole in one task and dealt out by key alone, so steps after each other share one shuffle.  A stretch of a long list
+    starts with a row that holds ``of`` all values of the stretches before it; that row is then dropped.  A null key is a key like any other.
+    """
+    long = long_keys(rows, key, stretch) if long is None else long
+    done = lambda some, *by: some.withColumn(name, step(Window.partitionBy(key, *by).orderBy(order)))
+    if not long:
+        return done(rows)
+    is_long = F.coalesce(F.col(key).isin([k for k in long if k is not None]), F.lit(None in long))
+    cut = rows.filter(is_long).withColumns({"_part": F.floor(F.col(order) / stretch).cast("long"), "_lead": F.lit(False)})
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    left = cut.groupBy(key, "_part").agg(of(value).alias("_of")).select(key, "_part", of("_of").over(before).alias(value), F.lit(True).alias("_lead"))
+    led = cut.unionByName(left.filter(F.col(value).isNotNull()), allowMissingColumns=True)
+    whole = done(rows.filter(~is_long))
+    return whole.unionByName(done(led, "_part").filter(~F.col("_lead")).select(*whole.columns))
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexsift.functions.codec import gaps
+from lexsift.functions.codec import STRETCH, gaps
 from lexsift.functions.tokens import bigram_id, bigrams, counted, rotations, tokens
 
 MANIFEST, VERSION = "manifest.json", 1
@@ -84,6 +84,11 @@ class SearchIndex:
         row = self.stats.first()
         return row.n_reviews, row.n_tokens
 
+    @cached_property
+    def long_tokens(self) -> list[str]:
+        """Tokens whose posting lists are worked on in stretches."""
+        return [r.token for r in self.lexicon.filter(F.col("df") > STRETCH).select("token").collect()]
+
     @property
     def stats(self) -> DataFrame:
         return self.reviews.agg(F.count("*").alias("n_reviews"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_tokens"))

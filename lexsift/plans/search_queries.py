@@ -119,18 +119,21 @@ def lexicon_stats(spark, folder):
 
 
 def posting_gaps(spark, folder):
-    return codec.gaps(index_of(spark, folder).postings.select("token", "review_id", "tf"))
+    index = index_of(spark, folder)
+    return codec.gaps(index.postings.select("token", "review_id", "tf"), long=index.long_tokens)
 
 
 def posting_decode(spark, folder):
     """Gaps in their order, without the reviews they came from, and reviews restored from them."""
-    postings = codec.gaps(codec.ordinals(index_of(spark, folder).postings.select("token", "review_id", "tf")))
-    return codec.decoded(postings.drop("review_id"))
+    index = index_of(spark, folder)
+    postings = codec.ordinals(index.postings.select("token", "review_id", "tf"), long=index.long_tokens)
+    return codec.decoded(codec.gaps(postings, long=index.long_tokens).drop("review_id"), long=index.long_tokens)
 
 
 def posting_codes(spark, folder):
     """Bytes of each gap, and the gap read from them again."""
-    coded = codec.gaps(index_of(spark, folder).postings).select("token", "review_id", codec.code_hex(F.col("gap")).alias("code"))
+    index = index_of(spark, folder)
+    coded = codec.gaps(index.postings, long=index.long_tokens).select("token", "review_id", codec.code_hex(F.col("gap")).alias("code"))
     return coded.withColumn("gap", codec.code_number(F.col("code")))
 
 
@@ -143,7 +146,8 @@ def product_counts(spark, folder):
 
 
 def posting_bytes(spark, folder):
-    gapped = codec.gaps(index_of(spark, folder).postings)
+    index = index_of(spark, folder)
+    gapped = codec.gaps(index.postings, long=index.long_tokens)
     return gapped.groupBy("token").agg(F.sum(codec.code_bytes(F.col("gap"))).alias("gap_bytes"), F.sum(codec.code_bytes(F.col("tf"))).alias("tf_bytes"))
 
 

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from lexsift.functions import codec
 from lexsift.operators.index import SearchIndex
 from lexsift.plans import search_queries
 
@@ -34,3 +35,19 @@ def test_rows_of_one_review_meet(spark, sf, tmp_path):
     docs.union(docs.filter("doc_id = 0")).write.parquet(str(tmp_path / "documents.parquet"))
     once, twice = ({(r.token, r.tf) for r in search_queries.index_of(spark, d).postings.filter("review_id = 1").collect()} for d in (sf, str(tmp_path)))
     assert once and twice == {(t, 2 * n) for t, n in once}
+
+
+def test_posting_lists_are_coded_and_decoded_with_one_shuffle(spark):
+    postings = build(spark, TEXTS).postings.select("token", "review_id", "tf")
+    coded = codec.gaps(codec.ordinals(postings, long=[]), long=[]).drop("review_id")
+    assert plan(codec.decoded(coded, long=[])).count("Exchange hashpartitioning") == 1
+
+
+def test_long_lists_are_coded_in_stretches(spark):
+    rows = [(k, i, 1) for k in (None, "p", "q") for i in range(3, 40, 1 if k != "q" else 30)]
+    lists = spark.createDataFrame(rows, "token string, review_id int, tf long")
+    assert set(codec.long_keys(lists, stretch=4)) == {None, "p"}
+    gapped = codec.gaps(codec.ordinals(lists, stretch=4), stretch=4)
+    at = {(r.token, r.review_id): (r.position, r.gap) for r in gapped.collect()}
+    assert at == {(k, i): ((i - 3) // (30 if k == "q" else 1) + 1, 3 if i == 3 else 30 if k == "q" else 1) for k, i, _ in rows}
+    assert sorted(map(str, codec.decoded(gapped.drop("review_id"), stretch=4).collect())) == sorted(map(str, lists.collect()))
