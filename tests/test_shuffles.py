@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexsift.functions import codec
 from lexsift.operators.index import SearchIndex
 from lexsift.plans import search_queries
+from lexsift.sources.tables import reviews_of_tables
 
 TEXTS = ["a b a", "b  B;a-c", "", None, "é a", "zz"]
 
@@ -51,3 +52,11 @@ def test_long_lists_are_coded_in_stretches(spark):
     at = {(r.token, r.review_id): (r.position, r.gap) for r in gapped.collect()}
     assert at == {(k, i): ((i - 3) // (30 if k == "q" else 1) + 1, 3 if i == 3 else 30 if k == "q" else 1) for k, i, _ in rows}
     assert sorted(map(str, codec.decoded(gapped.drop("review_id"), stretch=4).collect())) == sorted(map(str, lists.collect()))
+
+
+def test_attributes_of_tables_shuffle_no_text(spark, sf):
+    index = SearchIndex.build(reviews_of_tables(spark, sf), search_queries.attributes_of_tables(spark, sf))
+    shown = index.reviews._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.index("AS length") > shown.rindex("Join LeftOuter")  # counted below both joins
+    same = SearchIndex.build(reviews_of_tables(spark, sf)).reviews
+    assert index.reviews.columns == same.columns and sorted(map(tuple, index.reviews.collect()), key=str) == sorted(map(tuple, same.collect()), key=str)
