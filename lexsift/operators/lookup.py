@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import SearchIndex
-from .wildcard import expand_terms
+from .wildcard import expand_terms, fitting, fitting_tokens
 
 
 def review_attributes(index: SearchIndex, ids: Sequence[int]) -> DataFrame:
@@ -34,7 +34,7 @@ def frequencies(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
     return asked.join(found, "term", "left").select("term", F.coalesce("df", zero).cast("long").alias("df"), F.coalesce("cf", zero).cast("long").alias("cf"))
 
 
-#: Tokens of a query that are looked for by a list in the scan; more meet the postings by a join.
+#: Tokens of a query that are looked for by a list in the scan; where more fit, terms are compared with the postings' tokens.
 LISTED = 1024
 
 
@@ -43,27 +43,27 @@ def term_postings(index: SearchIndex, terms: Sequence[str]) -> tuple[DataFrame,
 
     Terms are expanded once, through the index.  Up to LISTED tokens are then a list (few) or a range (more) that the
     sorted postings' files are picked by.  Beyond, the second result is None and the
-    postings have a column ``term`` and a row for each term that fits.
+    postings have a column ``term`` and a row for each term that fits: each token is compared with the terms as it is read, as
+    a join to that many tokens would shuffle all postings.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     plain = {t: [t] for t in terms}
     if not any("*" in t for t in terms):
         return index.postings.filter(F.col("token").isin(terms)), plain
-    matched = expand_terms(index, terms).select("term", "token")
-    some = matched.limit(LISTED + 1).collect()
+    some = fitting_tokens(index, terms).limit(LISTED + 1).collect()
     if len(some) > LISTED:
-        return index.postings.join(matched, "token"), None
-    fitting: dict[str, list[str]] = {t: [] for t in terms}
+        return fitting(index.postings, terms), None
+    found: dict[str, list[str]] = {t: [] for t in terms}
     for term, token in some:
-        fitting[term].append(token)
-    return index.postings.filter(F.col("token").isin(sorted({t for _, t in some}))), fitting
+        found[term].append(token)
+    return index.postings.filter(F.col("token").isin(sorted({t for _, t in some}))), found
 
 
 def reviews_with(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
     """(term, review_id, tf): reviews that hold a term; tf sums over the tokens it fits."""
-    some, fitting = term_postings(index, terms)
-    if fitting is not None:
-        chosen = F.array_compact(F.array(*(F.when(F.col("token").isin(tokens), F.lit(t)) for t, tokens in fitting.items())))
+    some, found = term_postings(index, terms)
+    if found is not None:
+        chosen = F.array_compact(F.array(*(F.when(F.col("token").isin(tokens), F.lit(t)) for t, tokens in found.items())))
         some = some.select(F.explode(chosen).alias("term"), "review_id", "tf")
     return some.groupBy("term", "review_id").agg(F.sum("tf").alias("tf"))
 

@@ -28,16 +28,31 @@ def expand_terms(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
     return exact.union(found)
 
 
+def fitting_tokens(index: SearchIndex, terms: Sequence[str]) -> DataFrame:
+    """(term, token) as ``expand_terms`` has them, without a join to the lexicon."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    wild = [t for t in terms if "*" in t]
+    if index.access == "like" or not wild:
+        return expand(index.lexicon, terms).select("term", "token")
+    exact = expand(index.lexicon, [t for t in terms if "*" not in t]).select("term", "token")
+    return exact.union(expand_by(index, wild, index.access))
+
+
 def expand(lexicon: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(term, token, df, cf) for every lexicon token that a term fits; one scan for all terms."""
+    return fitting(lexicon.select("token", "df", "cf"), terms)
+
+
+def fitting(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """``rows(token, ...)`` with column ``term`` before the others, once for each term that the token fits."""
     terms = list(dict.fromkeys(t.lower() for t in terms))
     if not terms:
-        return lexicon.limit(0).select(F.lit("").alias("term"), "token", "df", "cf")
+        return rows.limit(0).select(F.lit("").alias("term"), *rows.columns)
     token = F.col("token")
     # The disjunction is redundant after the explode, but reaches the scan.
-    some = lexicon.filter(reduce(lambda a, b: a | b, (matches(token, t) for t in terms)))
-    fitting = F.array_compact(F.array(*(F.when(matches(token, t), F.lit(t)) for t in terms)))
-    return some.select(F.explode(fitting).alias("term"), "token", "df", "cf")
+    some = rows.filter(reduce(lambda a, b: a | b, (matches(token, t) for t in terms)))
+    fits = F.array_compact(F.array(*(F.when(matches(token, t), F.lit(t)) for t in terms)))
+    return some.select(F.explode(fits).alias("term"), *rows.columns)
 
 
 def rotated_key(term: str) -> str:
@@ -64,11 +79,15 @@ def required_bigrams(term: str) -> tuple[list[str], bool]:
 
 def candidates_by_rotation(index: SearchIndex, term: str) -> DataFrame:
     """(token): a superset of the fitting tokens, by a prefix of the sorted rotations."""
-    return index.permuterm.filter(F.col("rotation").startswith(rotated_key(term))).select("token").distinct()
+    key = rotated_key(term)
+    found = index.permuterm.filter(F.col("rotation").startswith(key)).select("token")
+    return found if "$" in key else found.distinct()  # the frame stands once in a token, so no two of its rotations start so
 
 
 def candidates_by_bigram(index: SearchIndex, term: str) -> DataFrame:
     """(token): a superset of the fitting tokens, by their bigrams."""
+    if not term.strip("*"):
+        return index.bigrams.filter(F.col("bigram").startswith("$")).select("token")  # one of each token
     needed, every = required_bigrams(term)
     found = index.bigrams.filter(F.col("bigram").isin(needed))
     if not every:

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from lexsift.functions import codec
+from lexsift.operators import lookup
 from lexsift.operators.index import SearchIndex
 from lexsift.plans import search_queries
 from lexsift.sources.tables import reviews_of_tables
@@ -60,3 +61,11 @@ def test_attributes_of_tables_shuffle_no_text(spark, sf):
     assert shown.index("AS length") > shown.rindex("Join LeftOuter")  # counted below both joins
     same = SearchIndex.build(reviews_of_tables(spark, sf)).reviews
     assert index.reviews.columns == same.columns and sorted(map(tuple, index.reviews.collect()), key=str) == sorted(map(tuple, same.collect()), key=str)
+
+
+def test_many_tokens_are_compared_without_a_join(spark, monkeypatch):
+    index = build(spark, ["aa ab ac", "aa b", "c"])
+    monkeypatch.setattr(lookup, "LISTED", 2)
+    found = lookup.reviews_with(index, ["a*", "*", "b"])
+    assert "Join" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {("a*", 1, 3), ("a*", 2, 1), ("b", 2, 1), ("*", 1, 3), ("*", 2, 2), ("*", 3, 1)}
