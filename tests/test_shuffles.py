@@ -1,11 +1,12 @@
 """What building, coding and looking up may shuffle: nothing as large as the texts or postings more than once."""
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from lexsift.functions import codec
-from lexsift.operators import lookup
+from lexsift.operators import lookup, wildcard
 from lexsift.operators.index import SearchIndex
 from lexsift.plans import search_queries
 from lexsift.sources.tables import reviews_of_tables
@@ -69,3 +70,14 @@ def test_many_tokens_are_compared_without_a_join(spark, monkeypatch):
     found = lookup.reviews_with(index, ["a*", "*", "b"])
     assert "Join" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {("a*", 1, 3), ("a*", 2, 1), ("b", 2, 1), ("*", 1, 3), ("*", 2, 2), ("*", 3, 1)}
+
+
+def test_all_tokens_come_from_the_access_paths_without_a_shuffle(spark):
+    index = build(spark, ["aa ab ac", "aa b", "c"])
+    for path, frame in (("permuterm", {"stored_rotations": index.permuterm}), ("bigram", {"stored_bigrams": index.bigrams})):
+        own = replace(index, lexicon=spark.createDataFrame(index.lexicon.collect(), index.lexicon.schema))
+        own = replace(own, **{k: spark.createDataFrame(f.collect(), f.schema) for k, f in frame.items()})
+        for term in ("*", "**"):
+            found = wildcard.expand_by(own, [term], path)
+            assert "Exchange" not in plan(found)
+            assert sorted(r.token for r in found.collect()) == ["aa", "ab", "ac", "b", "c"]
