@@ -49,6 +49,11 @@ def rotations(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.concat(framed, framed), i, size))
 
 
+def unrotated(rotation: Column) -> Column:
+    """The token that a rotation is of."""
+    return F.concat(F.substring_index(rotation, "$", -1), F.substring_index(rotation, "$", 1))
+
+
 def like_pattern(term: str) -> str:
     """A term with ``*`` as an SQL LIKE pattern; nothing else is special."""
     return term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")

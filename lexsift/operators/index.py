@@ -6,12 +6,12 @@ import json
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexsift.functions.codec import STRETCH, gaps
-from lexsift.functions.tokens import bigram_id, bigrams, counted, rotations, tokens
+from lexsift.functions.tokens import bigram_id, bigrams, counted, rotations, tokens, unrotated
 
 MANIFEST, VERSION = "manifest.json", 1
 
@@ -139,8 +139,10 @@ class SearchIndex:
         if folder[0].exists(folder[1]):
             raise FileExistsError(path)
 
-        def put(df: DataFrame, name: str, *keys: str) -> None:
-            df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{path}/{name}")
+        def put(df: DataFrame, name: str, *keys: str, told: dict[str, Column] | None = None) -> None:
+            """Columns that are ``told`` by others are not shuffled, but made after it."""
+            kept = df.drop(*(told or {})).repartitionByRange(*keys).sortWithinPartitions(*keys)
+            kept.withColumns(told or {}).select(*df.columns).write.parquet(f"{path}/{name}")
 
         put(self.postings, "postings", "token", "review_id")
         written = SearchIndex(self.reviews, spark.read.parquet(f"{path}/postings"), self.lexicon)
@@ -151,7 +153,7 @@ class SearchIndex:
         if wildcard == "bigram":
             put(access.bigrams, "bigrams", "bigram", "token")
         else:
-            put(access.permuterm, "permuterm", "rotation")
+            put(access.permuterm, "permuterm", "rotation", told={"token": unrotated(F.col("rotation"))})
         stream = folder[0].create(folder[0].makeQualified(spark._jvm.org.apache.hadoop.fs.Path(path, MANIFEST)))
         stream.write(json.dumps({"version": VERSION, "wildcard": wildcard}).encode())
         stream.close()

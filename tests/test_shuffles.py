@@ -5,7 +5,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from lexsift.functions import codec
+from lexsift.functions import codec, tokens
 from lexsift.operators import lookup, wildcard
 from lexsift.operators.index import SearchIndex
 from lexsift.plans import search_queries
@@ -81,3 +81,16 @@ def test_all_tokens_come_from_the_access_paths_without_a_shuffle(spark):
             found = wildcard.expand_by(own, [term], path)
             assert "Exchange" not in plan(found)
             assert sorted(r.token for r in found.collect()) == ["aa", "ab", "ac", "b", "c"]
+
+
+def test_tokens_are_read_from_their_rotations(spark):
+    words = spark.createDataFrame([("a",), ("abab",), ("x1y",)], "token string")
+    turned = words.select("token", F.explode(tokens.rotations(F.col("token"))).alias("r")).select("token", tokens.unrotated(F.col("r")).alias("again"))
+    assert turned.count() == 11 and turned.filter("token <> again").count() == 0
+
+
+def test_stored_rotations_have_all_columns(spark, tmp_path):
+    index = build(spark, ["aa ab ac", "aa b", "c"])
+    stored = index.write(str(tmp_path / "index"), "permuterm")
+    assert stored.permuterm.columns == index.permuterm.columns
+    assert sorted(map(tuple, stored.permuterm.collect())) == sorted(map(tuple, index.permuterm.collect()))
